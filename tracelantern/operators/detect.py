@@ -40,13 +40,14 @@ def rule_places(rules: RuleSet, candidates: Column) -> Column:
 
 
 def rule_id_at(rules: RuleSet, place: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(r.rule_id) for r in rules]), place)
+    ids = F.array(*[F.lit(r.rule_id) for r in rules]).cast("array<string>")
+    return F.get(ids, place - 1)
 
 
 def with_candidates(lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """Lines that hold text, with their candidate rules."""
+    """Lines with their candidate rules; lines without text have none."""
     scan = WordScan([rule.patterns for rule in rules])
-    return lines.where(F.col("line").isNotNull()).withColumn("candidates", scan.candidates(F.col("line")))
+    return lines.withColumn("candidates", scan.candidates(F.coalesce("line", F.lit(""))))
 
 
 def hits(lines: DataFrame, rules: RuleSet) -> DataFrame:

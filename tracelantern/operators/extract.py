@@ -12,11 +12,12 @@ from tracelantern.functions.dialect import to_java
 from tracelantern.functions.prefilter import folded
 from tracelantern.tables import lookups
 
-_LINE = F.col("line")
+def _line() -> Column:
+    return F.col("line")
 
 
 def _find_all(pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
-    return F.regexp_extract_all(_LINE, F.lit(to_java(pattern, ignore_case)), F.lit(group))
+    return F.regexp_extract_all(_line(), F.lit(to_java(pattern, ignore_case)), F.lit(group))
 
 
 def _when_present(present: Column, values: Column) -> Column:
@@ -25,11 +26,11 @@ def _when_present(present: Column, values: Column) -> Column:
 
 
 def ip_values() -> Column:
-    return _when_present(_LINE.contains("."), _find_all(lookups.IP_TOKEN, 1))
+    return _when_present(_line().contains("."), _find_all(lookups.IP_TOKEN, 1))
 
 
 def user_values() -> Column:
-    text = folded(_LINE)
+    text = folded(_line())
     return _when_present(
         text.contains("user") | text.contains("account"),
         _find_all(lookups.USER_TOKEN, 1, ignore_case=True),
@@ -38,18 +39,18 @@ def user_values() -> Column:
 
 def event_id_values() -> Column:
     return _when_present(
-        folded(_LINE).contains("eventid"), _find_all(lookups.EVENT_ID_TOKEN, 1, ignore_case=True)
+        folded(_line()).contains("eventid"), _find_all(lookups.EVENT_ID_TOKEN, 1, ignore_case=True)
     )
 
 
 def timestamp_values() -> Column:
     return _when_present(
-        _LINE.contains(":") & _LINE.contains("-"), _find_all(lookups.TIMESTAMP_TOKEN)
+        _line().contains(":") & _line().contains("-"), _find_all(lookups.TIMESTAMP_TOKEN)
     )
 
 
 def _tokens(lines: DataFrame, values: Column) -> DataFrame:
-    return lines.where(_LINE.isNotNull()).select(
+    return lines.where(_line().isNotNull()).select(
         "file_id", "line_no", F.posexplode(values).alias("place", "value")
     )
 
@@ -76,7 +77,7 @@ def timestamp_tokens(lines: DataFrame) -> DataFrame:
 
 def event_time(line_no: Column) -> Column:
     """First timestamp of the line, else ``Line <n>``."""
-    first = F.regexp_extract(_LINE, to_java(lookups.TIMESTAMP_TOKEN), 0)
+    first = F.regexp_extract(_line(), to_java(lookups.TIMESTAMP_TOKEN), 0)
     return F.coalesce(F.nullif(first, F.lit("")), F.format_string("Line %d", line_no))
 
 
@@ -99,18 +100,17 @@ def ioc_values(kind: str) -> Column:
         return F.filter(values, _kept_hash)
     if kind == "ipv4":
         values = F.filter(values, _kept_address)
-    return _when_present(_LINE.contains(_IOC_TEXT[kind]), values)
+    return _when_present(_line().contains(_IOC_TEXT[kind]), values)
+
+
+def _marked(kind: str) -> Column:
+    """The indicators of one type as structs that name the type."""
+    values = F.coalesce(ioc_values(kind), F.array().cast("array<string>"))
+    place, name = F.lit(IOC_TYPES.index(kind)).alias("place"), F.lit(kind).alias("ioc_type")
+    return F.transform(values, lambda value: F.struct(place, name, value.alias("value")))
 
 
 def iocs(lines: DataFrame, kinds: tuple[str, ...] = IOC_TYPES) -> DataFrame:
     """(file_id, line_no, place, ioc_type, value); ``place`` is the order of the type."""
-    found = [
-        F.transform(
-            F.coalesce(ioc_values(kind), F.array().cast("array<string>")),
-            lambda v, kind=kind: F.struct(
-                F.lit(IOC_TYPES.index(kind)).alias("place"), F.lit(kind).alias("ioc_type"), v.alias("value")
-            ),
-        )
-        for kind in kinds
-    ]
-    return lines.where(_LINE.isNotNull()).select("file_id", "line_no", F.inline(F.concat(*found)))
+    found = [_marked(kind) for kind in kinds]
+    return lines.where(_line().isNotNull()).select("file_id", "line_no", F.inline(F.concat(*found)))
