@@ -3,7 +3,8 @@
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,14 @@ _SCHEMA = (
 
 def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, body) of the ``*.yml`` files of a folder; other suffixes are not rules."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yml").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.yml").text(folder, wholetext=True)
     stem = F.regexp_replace("_metadata.file_name", r"\.yml$", "")
     return files.select(stem.alias("stem"), F.col("value").alias("body"))
 
 
 def parse_rules(bodies: DataFrame) -> DataFrame:
     """Every rule file as a rule row or, with ``rejected`` set, as the reason it is skipped."""
-    return bodies.mapInPandas(_parse_batches, _SCHEMA)
+    return bodies.mapInArrow(_parse_batches, _SCHEMA)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -35,16 +36,31 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("rejected").isNotNull()).select("stem", "rejected")
 
 
+def rule_folder(spark: SparkSession, log_folder: str) -> str | None:
+    """``sigma_rules`` beside the logs, else under the working folder, else none."""
+    for folder in (f"{log_folder.rstrip('/')}/sigma_rules", "sigma_rules"):
+        try:
+            spark.read.format("binaryFile").load(folder)
+            return folder
+        except AnalysisException:  # no such folder
+            continue
+    return None
+
+
 def load_keyword_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Usable rules of a folder."""
     return accepted(parse_rules(read_rule_files(spark, folder)))
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [part.split()[0] for part in _SCHEMA.split(", ")]
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = pa.string()
+    schema = pa.schema(
+        [("stem", text), ("rejected", text), ("rule_id", text), ("severity", text), ("weight", pa.int32()),
+         ("category", text), ("technique_id", text), ("description", text), ("patterns", pa.list_(text))]
+    )
     for batch in batches:
-        rows = [_rule_row(stem, body) for stem, body in zip(batch["stem"], batch["body"])]
-        yield pd.DataFrame(rows, columns=columns)
+        rows = [_rule_row(row["stem"], row["body"]) for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def _rule_row(stem: str, body: str) -> dict:
@@ -63,7 +79,6 @@ def _rule_row(stem: str, body: str) -> dict:
         severity, weight = {name: (name, points) for name, points in KEYWORD_WEIGHTS}.get(level, KEYWORD_DEFAULT)
         return {
             "stem": stem,
-            "rejected": None,
             "rule_id": f"sigma_{stem}",
             "severity": severity,
             "weight": weight,

@@ -1,6 +1,10 @@
 """File facts: name, type, size, hashes, number of lines."""
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MIB = 1024 * 1024
@@ -32,3 +36,51 @@ def text_manifest(table: DataFrame, name: Column, text: Column, lines: DataFrame
     )
     counts = lines.groupBy("file_id").agg(F.count("*").alias("total_lines"))
     return facts.join(counts, "file_id", "left").na.fill(0, ["total_lines"])
+
+
+# Files up to this size are hashed in the JVM; larger ones are streamed.
+_MOST_IN_ROW = 256 * _MIB
+
+
+def file_manifest(spark: SparkSession, path: str | list[str], lines: DataFrame) -> DataFrame:
+    """(file_id, name, type, size_bytes, size_label, md5, sha256, total_lines) of files."""
+    listed = spark.read.format("binaryFile").load(path).withColumn("file_id", F.col("_metadata.file_path"))
+    small = listed.where(F.col("length") <= _MOST_IN_ROW).select(
+        "file_id", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")
+    )
+    # the content column is not read for these
+    large = listed.where(F.col("length") > _MOST_IN_ROW).select("file_id", "length")
+    hashed = small.unionByName(
+        large.mapInPandas(_hash_files, "file_id string, length long, md5 string, sha256 string")
+    )
+    name = F.element_at(F.split(F.url_decode(F.replace("file_id", F.lit("+"), F.lit("%2B"))), "/"), -1)
+    facts = hashed.select(
+        "file_id",
+        name.alias("name"),
+        file_type(F.col("file_id")).alias("type"),
+        F.col("length").alias("size_bytes"),
+        size_label(F.col("length")).alias("size_label"),
+        "md5",
+        "sha256",
+    )
+    counts = lines.groupBy("file_id").agg(F.count("*").alias("total_lines"))
+    return facts.join(counts, "file_id", "left").na.fill(0, ["total_lines"])
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of files, read in pieces: a hash runs over a whole file in one go."""
+    for batch in batches:
+        digests = [_digests(uri) for uri in batch["file_id"]]
+        yield batch.assign(md5=[d[0] for d in digests], sha256=[d[1] for d in digests])
+
+
+def _digests(uri: str) -> tuple[str, str]:
+    from pyarrow.fs import FileSystem
+
+    store, inner = FileSystem.from_uri(uri)
+    md5, sha256 = hashlib.md5(), hashlib.sha256()
+    with store.open_input_stream(inner) as stream:
+        while piece := stream.read(8 * _MIB):
+            md5.update(piece)
+            sha256.update(piece)
+    return md5.hexdigest(), sha256.hexdigest()
