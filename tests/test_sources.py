@@ -127,7 +127,7 @@ def test_keyword_rules(spark, tmp_path):
         "null_level.yml": RULE.format(level="null", tags="[]", keywords="[k]"),
         "null_tags.yml": RULE.format(level="low", tags="null", keywords="[k]"),
         "no_detection.yml": "title: x",
-        "empty.yml": "",
+        "empty.yml": "# nothing\n",
         "map.yml": RULE.format(level="low", tags="[]", keywords="{a: b}"),
         "none.yml": RULE.format(level="low", tags="[]", keywords="[]"),
         "number.yml": RULE.format(level="low", tags="[]", keywords="[1]"),

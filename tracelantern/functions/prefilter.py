@@ -55,13 +55,17 @@ class WordScan:
             else:
                 self._words[place] = set().union(*picked)
 
-    def candidates(self, line: Column) -> Column:
-        """Array of the 1-based places of the rules that may match the line."""
+    def candidates(self, line: Column, probes: tuple[str, ...] = ()) -> Column:
+        """Array of the 1-based places of the rules that may match the line.
+
+        ``probes`` are further regexes over the folded line, for the scan's own
+        linear-time engine; -1 stands for the first one being found, and so on.
+        """
         always = F.array(*[F.lit(p) for p in self._always]).cast("array<int>")
-        if not self._words:
+        if not self._words and not probes:
             return always
         places = list(self._words)
-        groups = []
+        groups = [(probe, {-n: probe}) for n, probe in enumerate(probes, 1)]
         for start in range(0, len(places), _GROUP):
             members = {p: _alternation(self._words[p]) for p in places[start:start + _GROUP]}
             groups.append(("|".join(members.values()), members))
@@ -138,6 +142,10 @@ def _places_found(text: pa.Array, groups) -> pa.Array:
         near = pc.indices_nonzero(pc.match_substring_regex(text, any_word))
         if len(near) == 0:
             continue
+        if len(members) == 1:  # the group's test was the member's test
+            rows.append(near.to_numpy())
+            places.append(np.full(len(near), next(iter(members)), dtype=np.int32))
+            continue
         part = text.take(near)
         for place, words in members.items():
             hit = near.take(pc.indices_nonzero(pc.match_substring_regex(part, words))).to_numpy()

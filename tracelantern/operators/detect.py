@@ -44,10 +44,10 @@ def rule_id_at(rules: RuleSet, place: Column) -> Column:
     return F.get(ids, place - 1)
 
 
-def with_candidates(lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """Lines with their candidate rules; lines without text have none."""
+def with_candidates(lines: DataFrame, rules: RuleSet, probes: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with their candidate rules and probes; lines without text have none."""
     scan = WordScan([rule.patterns for rule in rules])
-    return lines.withColumn("candidates", scan.candidates(F.coalesce("line", F.lit(""))))
+    return lines.withColumn("candidates", scan.candidates(F.coalesce("line", F.lit("")), probes))
 
 
 def hits(lines: DataFrame, rules: RuleSet) -> DataFrame:

@@ -81,26 +81,45 @@ def event_time(line_no: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.format_string("Line %d", line_no))
 
 
-_IOC_TEXT = {"ipv4": ".", "url": "://", "domain": ".", "email": "@", "cve": "CVE-"}
+_IOC_TEXT = {"url": "://", "domain": ".", "email": "@", "cve": "CVE-"}
 IOC_TYPES = tuple(kind for kind, _ in lookups.IOC_PATTERNS)
 
+# Looser forms of the costly patterns, for the scan that goes before a search
+# (see ``functions.prefilter``): lower case, linear-time syntax.
+PROBES = {
+    "ip": r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}",
+    "hash": r"[a-f0-9]{32}",
+    "domain": r"[a-z0-9]\.(?:com|net|org|io|xyz|info|ru|cn|tk|top|cc|pw|biz|me|co|uk|de|fr)",
+}
 
-def _kept_hash(value: Column) -> Column:
-    return F.size(F.array_distinct(F.split(value, ""))) > 4
+
+def hash_values() -> Column:
+    """Whole words that are 32, 40 or 64 hex digits; the length tells the kind."""
+    return _find_all(r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b")
+
+
+_HASH_SIZES = {"md5": 32, "sha1": 40, "sha256": 64}
+
+
+def _kept_hash(size: int, value: Column) -> Column:
+    return (F.length(value) == size) & (F.size(F.array_distinct(F.split(value, ""))) > 4)
 
 
 def _kept_address(value: Column) -> Column:
     return ~reduce(lambda a, b: a | b, [value.startswith(p) for p in ("0.", "127.", "255.")])
 
 
-def ioc_values(kind: str) -> Column:
-    """Array of the indicators of one type in the line, noise removed."""
-    values = _find_all(dict(lookups.IOC_PATTERNS)[kind])
-    if kind in ("md5", "sha1", "sha256"):
-        return F.filter(values, _kept_hash)
+def ioc_values(kind: str, hashes: Column | None = None, ips: Column | None = None) -> Column:
+    """Array of the indicators of one type in the line, noise removed.
+
+    ``hashes`` and ``ips`` may bring the line's hash words and quads if they are known.
+    """
+    if kind in _HASH_SIZES:
+        words = hash_values() if hashes is None else hashes
+        return F.filter(words, lambda value: _kept_hash(_HASH_SIZES[kind], value))
     if kind == "ipv4":
-        values = F.filter(values, _kept_address)
-    return _when_present(_line().contains(_IOC_TEXT[kind]), values)
+        return F.filter(ip_values() if ips is None else ips, _kept_address)
+    return _when_present(_line().contains(_IOC_TEXT[kind]), _find_all(dict(lookups.IOC_PATTERNS)[kind]))
 
 
 def _marked(kind: str) -> Column:

@@ -58,19 +58,31 @@ def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
         values = F.coalesce(values, F.array().cast("array<string>"))
         return F.transform(values, lambda value, at: _fact(kind, value, at if place is None else F.lit(place)))
 
+    def if_probed(name: str, values: Column) -> Column:
+        return F.when(F.array_contains("candidates", -1 - list(extract.PROBES).index(name)), values)
+
+    def ioc(kind: str) -> Column:
+        values = extract.ioc_values(kind, F.col("hashes"), F.col("ips"))
+        return if_probed(kind, values) if kind in extract.PROBES else values
+
     rule_hits = F.transform(
         detect.rule_places(rules, F.col("candidates")),
         lambda place: _fact(RULE, detect.rule_id_at(rules, place), place),
     )
     parts = [
         F.array(_fact(LINE, F.lit(""), F.lit(0))),
-        tagged(IP, extract.ip_values()),
+        tagged(IP, F.col("ips")),
         tagged(USER, extract.user_values()),
         tagged(EVENT_ID, extract.event_id_values()),
-        *[tagged(kind, extract.ioc_values(kind), n) for n, kind in enumerate(extract.IOC_TYPES)],
+        *[tagged(kind, ioc(kind), n) for n, kind in enumerate(extract.IOC_TYPES)],
         rule_hits,
     ]
-    return detect.with_candidates(lines, rules).select("file_id", "line_no", F.inline(F.concat(*parts)))
+    return (
+        detect.with_candidates(lines, rules, tuple(extract.PROBES.values()))
+        .withColumn("ips", if_probed("ip", extract.ip_values()))
+        .withColumn("hashes", if_probed("hash", extract.hash_values()))
+        .select("file_id", "line_no", F.inline(F.concat(*parts)))
+    )
 
 
 def _fact(kind: str, value: Column, place: Column) -> Column:
