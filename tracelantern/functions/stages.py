@@ -1,15 +1,28 @@
 """Intermediate results that several branches of a job read."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The DataFrame, computed once and kept in the cluster's shared checkpoint folder."""
-    session = df.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
+def kept(df: DataFrame, *cluster_by: str) -> DataFrame:
+    """The DataFrame, computed once and written to the cluster's shared checkpoint folder.
+
+    It is a Parquet table, so each branch reads only the columns and, thanks to the
+    order within the files, mostly only the rows it needs; its true size is known to
+    the planner, and a lost executor costs nothing but a second read.
+    """
+    path = f"{_folder(df.sparkSession)}/tracelantern-{uuid.uuid4()}"
+    ordered = df.sortWithinPartitions(*cluster_by) if cluster_by else df
+    ordered.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(session: SparkSession) -> str:
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
         # only a local run without the setting gets a folder of its own
-        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelantern-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="tracelantern-")
+        session.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")

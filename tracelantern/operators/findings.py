@@ -16,7 +16,7 @@ def with_rule(hit_counts: DataFrame, rules: DataFrame) -> DataFrame:
 def first_findings(hits: DataFrame, n: int) -> DataFrame:
     """(file_id, rule_id, line_no, content, rank): the first n hits of every rule."""
     found = hits.select("file_id", "rule_id", "line_no", strip(F.col("line")).alias("content"))
-    return first_rows(found, ["file_id", "rule_id"], [F.col("line_no")], n, spread=["line_no"])
+    return first_rows(found, ["file_id", "rule_id"], [F.col("line_no")], n)
 
 
 def more_than(counts: DataFrame, n: int) -> DataFrame:
@@ -78,7 +78,7 @@ def timeline(hits: DataFrame, rules: DataFrame) -> DataFrame:
 def first_events(events: DataFrame, n: int = 500) -> DataFrame:
     """First n timeline events of every file; times compare as text."""
     order = [F.col("time"), F.col("line"), F.col("rule_ord")]
-    return first_rows(events, ["file_id"], order, n, spread=["line", "rule_ord"])
+    return first_rows(events, ["file_id"], order, n)
 
 
 def first_hit_line(counts: DataFrame) -> DataFrame:

@@ -12,17 +12,21 @@ def first_rows(
     order: list[Column],
     n: int,
     rank: str = "rank",
-    spread: list[str] | None = None,
+    large_groups: bool = True,
 ) -> DataFrame:
     """Rows with rank 1..n in each group, ranked by ``order``.
 
-    Spark cuts every group to n rows per task before the shuffle.  With ``spread``
-    (columns that tell the rows of a group apart) the survivors of a hot group are
-    first cut once more in 64 shards, so the last task gets at most 64 * n rows of it.
+    Spark cuts every group to n rows per task before the shuffle.  Where a group may
+    have rows in very many tasks, the survivors are cut once more in shards of tasks,
+    so the last task gets at most 64 * n rows of a group.  The result does not depend
+    on which shard a row is in.
     """
-    if spread:
-        shard = F.pmod(F.xxhash64(*spread), F.lit(_SHARDS))
-        df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, shard).orderBy(*order)))
-        df = df.where(F.col(rank) <= n).drop(rank)
-    df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return df.where(F.col(rank) <= n)
+    if large_groups:
+        sharded = df.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(_SHARDS)))
+        df = _cut(sharded, [*keys, "shard"], order, n, rank).drop("shard", rank)
+    return _cut(df, keys, order, n, rank)
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(rank, place).where(F.col(rank) <= n)

@@ -39,11 +39,15 @@ def total_lines(lines: DataFrame) -> DataFrame:
 
 def log_period(lines: DataFrame) -> DataFrame:
     """(file_id, log_start, log_end): the first and the last timestamp by position."""
-    stamps = extract.timestamp_values()
-    per_line = lines.select("file_id", "line_no", stamps.alias("stamps")).where(F.size("stamps") > 0)
-    return per_line.groupBy("file_id").agg(
-        F.min_by(F.col("stamps")[0], "line_no").alias("log_start"),
-        F.max_by(F.element_at("stamps", -1), "line_no").alias("log_end"),
+    stamps = lines.select("file_id", "line_no", extract.timestamp_values().alias("stamps"))
+    stamped = F.when(F.size("stamps") > 0, F.col("line_no"))
+    return (
+        stamps.groupBy("file_id")
+        .agg(
+            F.min_by(F.get("stamps", F.lit(0)), stamped).alias("log_start"),
+            F.max_by(F.element_at("stamps", -1), stamped).alias("log_end"),
+        )
+        .where(F.col("log_start").isNotNull())
     )
 
 

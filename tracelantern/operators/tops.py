@@ -9,7 +9,7 @@ from tracelantern.operators.ranking import first_rows
 def top_tokens(counts: DataFrame, n: int) -> DataFrame:
     """Most frequent tokens of a file; equals rank by first appearance."""
     order = [F.desc("cnt"), F.col("first_seen"), F.col("value")]
-    return first_rows(counts, ["file_id"], order, n, spread=["value"])
+    return first_rows(counts, ["file_id"], order, n)
 
 
 def with_bars(top: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def top_techniques(techniques: DataFrame, n: int | None = None) -> DataFrame:
     if n is None:
         # one row per technique and file, so a group is never larger than the technique table
         return techniques.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)))
-    return first_rows(techniques, ["file_id"], order, n)
+    return first_rows(techniques, ["file_id"], order, n, large_groups=False)
 
 
 def first_iocs(iocs: DataFrame, n: int) -> DataFrame:
     """First n indicators of each type of a file, in value order."""
-    return first_rows(iocs, ["file_id", "ioc_type"], [F.col("value")], n, spread=["value"])
+    return first_rows(iocs, ["file_id", "ioc_type"], [F.col("value")], n)
 
 
 def ioc_totals(iocs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ class Analysis:
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return kept(rollup.rollup(self.lines, self.rules))
+        return kept(rollup.rollup(self.lines, self.rules), "kind", "file_id")
 
     def _counted(self, kind: str) -> DataFrame:
         return self.rollup.where(F.col("kind") == kind).drop("kind")

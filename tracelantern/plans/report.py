@@ -27,10 +27,10 @@ def file_report(analysis: Analysis) -> DataFrame:
     )
 
 
-def _listed(ranked: DataFrame, order: str, name: str, *fields: str | Column) -> DataFrame:
-    """(file_id, name): the ranked rows of a file as a list; the lists are capped upstream."""
+def _listed(ranked: DataFrame, order: str, name: str, *fields: str | Column, keys=("file_id",)) -> DataFrame:
+    """(keys, name): the ranked rows of a group as a list; the lists are capped upstream."""
     entry = F.struct(*fields)
-    return ranked.groupBy("file_id").agg(
+    return ranked.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), entry.alias("entry")))),
             lambda e: e.entry,
@@ -64,13 +64,9 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
     )
     summary = findings.findings_summary(analysis.hit_counts, analysis.rule_frame)
     details = _listed(
-        findings.first_findings(analysis.hits, DETAILS_PER_RULE).withColumn(
-            "file_id", F.struct("file_id", "rule_id")
-        ),
-        "rank", "details", F.col("line_no").alias("line"), "content",
-    ).select("file_id.file_id", "file_id.rule_id", "details").join(
-        analysis.hit_counts.select("file_id", "rule_id", "first_seen"), ["file_id", "rule_id"]
-    )
+        findings.first_findings(analysis.hits, DETAILS_PER_RULE), "rank", "details",
+        F.col("line_no").alias("line"), "content", keys=("file_id", "rule_id"),
+    ).join(analysis.hit_counts.select("file_id", "rule_id", "first_seen"), ["file_id", "rule_id"])
     parts = [
         analysis.period,
         _listed(analysis.top_ips(TOP_IPS), "rank", "top_ips", "value", "cnt"),
