@@ -62,6 +62,7 @@ def split_view(name: str, table: str, key: str, text: str) -> str:
 
 DOC_LINES = split_view("doc_lines", "documents", "doc_id", "text")
 PAGE_LINES = split_view("page_lines", "pages", "page_id", "html")
+URL_LINES = "url_lines AS (SELECT page_id::VARCHAR AS file_id, 1 AS line_no, url AS line FROM pages)"
 CHAT_LINES = """chat_lines AS (
   SELECT conv_id::VARCHAR AS file_id, turn + 1 AS line_no, text AS line FROM conversations)"""
 
@@ -234,6 +235,62 @@ def stix_case() -> str:
     return "CASE ioc_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in lookups.STIX_TYPES) + " END"
 
 
+def top_list(name: str, tokens: str, n: int) -> str:
+    return f"""{name} AS (
+  SELECT file_id, to_json(list(json_array(value, cnt) ORDER BY cnt DESC, seen)[1:{n}]) AS listed
+  FROM (SELECT file_id, value, count(*) AS cnt, min((line_no, place)) AS seen FROM {tokens} GROUP BY file_id, value)
+  GROUP BY file_id)"""
+
+
+DOCUMENT_PARTS = (
+    top_list("ip_list", "ips", 10),
+    top_list("user_list", "users", 10),
+    top_list("event_id_list", "event_ids", 20),
+    """technique_list AS (
+  SELECT file_id, to_json(list({'id': technique_id, 'name': coalesce(technique_name, ''), 'hits': hits}
+                               ORDER BY hits DESC, seen)) AS listed
+  FROM technique_hits GROUP BY file_id)""",
+    """match_list AS (
+  SELECT file_id, to_json(list({'name': name, 'severity': severity, 'description': description}
+                               ORDER BY corr_ord)) AS listed
+  FROM matches GROUP BY file_id)""",
+    f"""ioc_map AS (
+  SELECT file_id, to_json(map_from_entries(list({{'k': ioc_type, 'v': vals}} ORDER BY seen))) AS listed
+  FROM (SELECT file_id, ioc_type, list_sort(list(DISTINCT value))[1:100] AS vals,
+               min((line_no, list_position({q(IOC_KINDS)}, ioc_type))) AS seen
+        FROM iocs GROUP BY file_id, ioc_type)
+  GROUP BY file_id)""",
+    """summary_map AS (
+  SELECT file_id, to_json(map_from_entries(list(
+    {'k': rule_id, 'v': {'count': cnt, 'severity': severity, 'category': category,
+                         'description': description, 'mitre': technique_id}}
+    ORDER BY first_line, rule_ord))) AS listed
+  FROM ruled GROUP BY file_id)""",
+    f"""detail_map AS (
+  SELECT file_id, to_json(map_from_entries(list({{'k': rule_id, 'v': details}} ORDER BY first_line, rule_ord))) AS listed
+  FROM ruled JOIN (
+    SELECT file_id, rule_id, list({{'line': line_no, 'content': {STRIPPED}}} ORDER BY line_no)[1:50] AS details
+    FROM hits GROUP BY file_id, rule_id) USING (file_id, rule_id)
+  GROUP BY file_id)""",
+)
+DOCUMENT = f"""SELECT h.file_id, json_object(
+  'file', h.file_id, 'file_md5', NULL, 'file_sha256', NULL, 'file_size_bytes', NULL,
+  'total_lines', h.total_lines, 'log_start', log_start, 'log_end', log_end,
+  'unique_ips', h.unique_ips, 'unique_users', h.unique_users,
+  'threat_score', h.threat_score, 'threat_level', h.threat_level,
+  'top_ips', coalesce(i.listed, '[]'::JSON), 'top_users', coalesce(u.listed, '[]'::JSON),
+  'event_id_summary', coalesce(e.listed, '[]'::JSON),
+  'detection_rules_total', {len(DETECTION_RULES)}, 'sigma_rules_loaded', 0,
+  'detection_rules_triggered', h.rules_triggered,
+  'mitre_techniques_detected', coalesce(t.listed, '[]'::JSON), 'correlations', coalesce(m.listed, '[]'::JSON),
+  'iocs', coalesce(o.listed, '{{}}'::JSON), 'findings_summary', coalesce(s.listed, '{{}}'::JSON),
+  'findings_detail', coalesce(d.listed, '{{}}'::JSON))::VARCHAR AS report
+FROM headline h LEFT JOIN period USING (file_id)
+LEFT JOIN ip_list i USING (file_id) LEFT JOIN user_list u USING (file_id)
+LEFT JOIN event_id_list e USING (file_id) LEFT JOIN technique_list t USING (file_id)
+LEFT JOIN match_list m USING (file_id) LEFT JOIN ioc_map o USING (file_id)
+LEFT JOIN summary_map s USING (file_id) LEFT JOIN detail_map d USING (file_id)"""
+
 KEYWORD_HIT = (
     "regexp_matches(line, '(?i)whoami /all|net view|.*powershell.*hidden|systeminfo collected')"
 )
@@ -299,8 +356,9 @@ JOIN labels_of USING (ioc_type) WHERE rank <= 10""", EVENT_LOG, IOCS, IOC_SET, L
         "ioc_ipv4_docs": ioc_query("ipv4", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_domain_docs": ioc_query("domain", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_url_pages": ioc_query(
-            "url", PAGE_LINES, "page_lines",
+            "url", URL_LINES, "url_lines",
             pattern=rf"https?://[^\s\x0b\x1c-\x1f{_WIDE_SPACE}\"'<>]+"),
+        "ioc_domain_pages": ioc_query("domain", URL_LINES, "plain", ascii_view("plain", "url_lines")),
         "hits_all": sql("SELECT file_id, line_no, rule_id FROM hits", *EVENT_HITS),
         "hits_pages": sql("SELECT file_id, line_no, rule_id FROM hits",
                           PAGE_LINES, ascii_view("plain", "page_lines"), hits_cte("plain")),
@@ -374,6 +432,7 @@ FROM (SELECT file_id, list(tactic) FILTER (tactic IS NOT NULL) AS seen FROM tact
   {len(DETECTION_RULES)} AS detection_rules_total, 0 AS keyword_rules_loaded,
   {len({r[3] for r in DETECTION_RULES})} AS rule_categories
 FROM headline LEFT JOIN period USING (file_id)""", *EVENT_HEADLINE, STAMPS, PERIOD),
+        "json_report": sql(DOCUMENT, *EVENT_HEADLINE, STAMPS, PERIOD, *DOCUMENT_PARTS),
         "page_report": sql(
             """SELECT file_id, total_lines, coalesce(n, 0) AS rules_triggered, coalesce(t, 0) AS techniques,
   threat_score, threat_level

@@ -264,7 +264,8 @@ def queries() -> dict[str, Query]:
         "ioc_ipv4_docs": _ioc_query("ipv4", views.doc_lines),
         "ioc_domain_docs": _ioc_query("domain", views.doc_lines),
         "ioc_email_docs": _ioc_query("email", views.doc_lines),
-        "ioc_url_pages": _ioc_query("url", views.page_lines),
+        "ioc_url_pages": _ioc_query("url", views.url_lines),
+        "ioc_domain_pages": _ioc_query("domain", views.url_lines),
         "hits_all": lambda spark, folder: _keys(_hits(spark, folder)),
         "hits_pages": lambda spark, folder: _keys(
             detect.hits(views.page_lines(spark, folder), RuleSet.builtin())),

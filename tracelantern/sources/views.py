@@ -45,6 +45,13 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
     return text_lines(table(spark, folder, "pages"), F.col("page_id"), F.col("html"))
 
 
+def url_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of ``pages`` as one-line files."""
+    return spread(table(spark, folder, "pages").select(
+        F.col("page_id").cast("string").alias("file_id"), F.lit(1).cast("long").alias("line_no"), F.col("url").alias("line")
+    ))
+
+
 def chat_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of ``conversations`` as records; a record keeps its line breaks."""
     return spread(table(spark, folder, "conversations").select(
