@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import plain
-from tracelantern.functions.dialect import to_java
+from tracelantern.functions.dialect import to_java, to_re2
 from tracelantern.functions.text import strip
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.plans import report, stix
@@ -104,6 +104,29 @@ def test_dialect(spark, pattern):
         assert found == [[m.group() for m in re.finditer(pattern, t, flags)] for t in texts]
 
 
+def test_linear_time_form_of_every_rule():
+    """Every built-in pattern has one, and it agrees with Python on ASCII text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [t for t in [*PHRASES, *EDGES, "x.locked\n", "a\x1cb; id"] if t and t.isascii()]
+    for rule in RuleSet.builtin():
+        for pattern in rule.patterns:
+            exact = to_re2(pattern, word_edges=True)
+            found = pc.match_substring_regex(pa.array(texts), "(?i)" + exact).to_pylist()
+            assert found == [bool(re.search(pattern, t, re.I)) for t in texts], pattern
+    for pattern in (r"(?=a)b", r"(a)\1", r"[\S]a", r"é", r"(?i)a", r"a++"):
+        assert to_re2(pattern, word_edges=True) is None
+
+
+def test_rules_that_need_the_exact_search(spark):
+    patterns = (r"(a)\1", r"x(?!y)", r"\bkö", r"é+$", r"(?s)p.q", r"\d\Bz")
+    rules = RuleSet(tuple(Rule(f"r{n}", "LOW", 1, "Own", "", "d", (p,)) for n, p in enumerate(patterns)))
+    rows = [("f", n, t) for n, t in enumerate(["AA", "xz xy", "xy", "KÖ", "akö", "É", "é\n", "p\nq", "1z", "\u0661z é"])]
+    found = pairs(detect.hits(spark.createDataFrame(rows, SCHEMA), rules).select("line_no", "rule_id"))
+    assert found == {(n, r.rule_id) for _, n, t in rows for r in rules if re.search(r.patterns[0], t, re.I)}
+
+
 def test_strip(spark):
     texts = ["\u00a0\t x y \x1c\u2003", "\x1f\x85", "", "no"]
     frame = spark.createDataFrame([(t,) for t in texts], "line string")
@@ -121,6 +144,21 @@ def test_tokens(lines, rows):
         assert found == plain.tokens(rows, pattern, flags)
 
 
+def test_very_long_lines(spark):
+    """Lines that exhaust a recursive or a backtracking search."""
+    rows = [
+        ("f", 1, "a." * 20000 + "com x.org"),
+        ("f", 2, "rotation multiple " + "a record " * 20000),
+        ("f", 3, "é rotation multiple a record"),
+        ("f", 4, "1." * 5000),
+    ]
+    lines = spark.createDataFrame(rows, SCHEMA)
+    assert pairs(detect.hits(lines, RuleSet.builtin()).select("line_no", "rule_id")) == set()
+    assert pairs(extract.iocs(lines, ("domain",)).select("line_no", "value")) == {
+        (1, "a." * 20000 + "com"), (1, "x.org")}
+    assert {(r.line_no, r.value) for r in extract.iocs(lines, ("ipv4",)).collect()} == {(4, "1.1.1.1")}
+
+
 def test_iocs_and_period(lines, rows):
     assert pairs(rollup.ioc_set(extract.iocs(lines)).drop("first_seen")) == plain.indicators(rows)
     found = {r.file_id: (r.log_start, r.log_end) for r in rollup.log_period(lines).collect()}

@@ -1,4 +1,4 @@
-"""Python ``re`` syntax to ``java.util.regex`` syntax.
+"""Python ``re`` syntax to the syntax of the JVM and of Arrow's linear-time engine.
 
 Rule and token patterns follow Python's Unicode reading of ``\\b \\w \\d \\s`` and
 of ``.`` and ``$``.  Java reads the same escapes differently (and not the same way
@@ -6,6 +6,10 @@ in every release), so they are spelled out as character classes here.
 """
 
 import re
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
@@ -14,6 +18,11 @@ _CLASSES = {
     "d": r"\p{Nd}",
     "s": _SPACE,
 }
+_RE2_CLASSES = {
+    "w": _WORD,
+    "d": r"\p{Nd}",
+    "s": r"\t-\r\x1c- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}",
+}
 _EDGE = rf"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 _NOT_EDGE = rf"(?:(?<![{_WORD}])(?![{_WORD}])|(?<=[{_WORD}])(?=[{_WORD}]))"
 _PIECE = re.compile(r"\\.|\[\^?\]?|\{(\d*)(,?)(\d*)\}|.", re.DOTALL)
@@ -25,12 +34,48 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
     UNIX_LINES makes ``.`` stop only at ``\\n`` and ``$`` accept a final ``\\n``,
     as in Python; case is ignored by Unicode rules when asked for.
     """
+    return ("(?idu)" if ignore_case else "(?d)") + _translate(pattern, _java_escape)
+
+
+def to_re2(pattern: str, word_edges: bool) -> str | None:
+    """Linear-time pattern for the same search without regard to case, or None.
+
+    With ``word_edges`` it is exact on ASCII text.  Without, word edges are left out
+    (that engine knows them for ASCII only), so it finds at least what Python finds.
+    """
+    if re.search(r"\(\?[^:]", pattern) or not pattern.isascii():
+        return None  # flags, look-around and other letters are left to the exact search
+
+    def escape(letter: str, in_class: bool, rest: str) -> str:
+        if letter in "bB" and not in_class and not word_edges:
+            return ""
+        if letter in _RE2_CLASSES:
+            return _RE2_CLASSES[letter] if in_class else f"[{_RE2_CLASSES[letter]}]"
+        if letter.lower() in _RE2_CLASSES and not in_class:
+            return f"[^{_RE2_CLASSES[letter.lower()]}]"
+        if letter in "SDW" or letter == "b" and in_class or letter.isdigit():
+            raise _NoEquivalent
+        return {"Z": r"\z"}.get(letter, "\\" + letter)
+
+    try:
+        translated = _translate(pattern, escape, end=r"(?:\n?\z)")
+        pc.match_substring_regex(pa.array([""]), translated)
+        return translated
+    except (_NoEquivalent, pa.ArrowInvalid):
+        return None
+
+
+class _NoEquivalent(Exception):
+    pass
+
+
+def _translate(pattern: str, escape: Callable[[str, bool, str], str], end: str = "$") -> str:
     out = []
     in_class = False
     for match in _PIECE.finditer(pattern):
         piece = match.group()
         if piece.startswith("\\"):
-            out.append(_escape(piece[1], in_class, pattern, match.end()))
+            out.append(escape(piece[1], in_class, pattern[match.end():]))
         elif piece.startswith("[") and not in_class:
             in_class = True
             out.append(piece.replace("]", "\\]"))
@@ -45,19 +90,21 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             low, comma, high = match.groups()
             counted = len(piece) > 2
             out.append(f"{{{low or 0}{comma}{high}}}" if counted else "\\" + piece)
+        elif piece == "$" and not in_class:
+            out.append(end)
         else:
             out.append(piece)
-    return ("(?idu)" if ignore_case else "(?d)") + "".join(out)
+    return "".join(out)
 
 
-def _escape(letter: str, in_class: bool, pattern: str, end: int) -> str:
+def _java_escape(letter: str, in_class: bool, rest: str) -> str:
     if letter in _CLASSES:
         return _CLASSES[letter] if in_class else f"[{_CLASSES[letter]}]"
     if letter.lower() in _CLASSES:
         return f"[^{_CLASSES[letter.lower()]}]"
     if letter == "b" and not in_class:
         # next to a plain word character only the outer side needs a look
-        plain = re.match(r"\w(?![*?{])", pattern[end:], re.ASCII)
+        plain = re.match(r"\w(?![*?{])", rest, re.ASCII)
         return f"(?<![{_WORD}])" if plain else _EDGE
     if letter == "b":
         return r"\x08"

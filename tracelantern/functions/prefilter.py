@@ -1,17 +1,20 @@
-"""Which rules can match a line at all, from a scan for literal words.
+"""Which rules match a line, by Arrow's linear-time regex engine, batch by batch.
 
-Most lines match few rules, and failing regex searches are the costly part of
-detection.  Every match of a rule must contain certain literal words.  An Arrow
-scan of the folded lines, batch by batch, finds the rules whose words occur; only
-their regexes are then searched.  The scan never decides a match: it only skips
-searches that are bound to fail.
+Most lines match few rules.  Every match of a rule must contain certain literal
+words, so a scan for the words of a dozen rules at once comes first; the rules' own
+regexes follow only on the lines that have some.  What this engine cannot decide
+(word edges beside non-ASCII letters, syntax it lacks) is left to an exact search in
+the JVM on the few lines concerned.
 
 The scan is an Arrow UDF because its automaton reads each byte once per group of
-rules; the same scan in JVM regexes or substring tests was ten times slower.
+rules and never backtracks.  The same scan in JVM regexes or substring tests was
+ten times slower, and a long line that nearly matches ``a.*b.*c`` could hold up a
+backtracking search for hours.
 """
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelantern.functions.dialect import to_re2
+
 try:  # the parse tree of the standard library; without it every rule is searched
     from re import _parser
 except ImportError:
@@ -40,42 +45,44 @@ def folded(line: Column) -> Column:
     return F.lower(line)
 
 
-class WordScan:
-    """Candidate rules of a line, for rules given as tuples of patterns."""
+# Added to the place of a rule that still needs an exact search on the line.
+OPEN = 1_000_000
+
+
+class RuleScan:
+    """Rules found in a line, for rules given as tuples of patterns."""
 
     def __init__(self, rules: list[tuple[str, ...]]):
         self._uses = Counter()
-        self._always = []
-        self._words = {}
         choices = [[self._choices(p) for p in patterns] for patterns in rules]
-        for place, per_pattern in enumerate(choices, 1):
+        tests = []
+        for place, (patterns, per_pattern) in enumerate(zip(rules, choices), 1):
             picked = [self._pick(c) for c in per_pattern]
-            if None in picked:
-                self._always.append(place)
-            else:
-                self._words[place] = set().union(*picked)
-
-    def candidates(self, line: Column, probes: tuple[str, ...] = ()) -> Column:
-        """Array of the 1-based places of the rules that may match the line.
-
-        ``probes`` are further regexes over the folded line, for the scan's own
-        linear-time engine; -1 stands for the first one being found, and so on.
+            words = None if None in picked else _alternation(set().union(*picked))
+            tests.append(_RuleTest(place, words, _joined(patterns, True), _joined(patterns, False),
+                                   exact=not any("\\b" in p.lower() for p in patterns)))
+        guarded = [t for t in tests if t.words is not None]
+        self._groups = [
+            ("|".join(t.words for t in guarded[start:start + _GROUP]), guarded[start:start + _GROUP])
+            for start in range(0, len(guarded), _GROUP)
+        ]
+        self._groups += [(None, [t]) for t in tests if t.words is None]
+
+    def found(self, line: Column, probes: tuple[str, ...] = ()) -> Column:
+        """Array of the 1-based places of the rules found in the line.
+
+        Where the scan alone cannot tell, the place is raised by ``OPEN``.  ``probes``
+        are further regexes over the folded line: -1 stands for the first, and so on.
         """
-        always = F.array(*[F.lit(p) for p in self._always]).cast("array<int>")
-        if not self._words and not probes:
-            return always
-        places = list(self._words)
-        groups = [(probe, {-n: probe}) for n, probe in enumerate(probes, 1)]
-        for start in range(0, len(places), _GROUP):
-            members = {p: _alternation(self._words[p]) for p in places[start:start + _GROUP]}
-            groups.append(("|".join(members.values()), members))
+        groups = self._groups
+        if not groups and not probes:
+            return F.array().cast("array<int>")
 
         @F.arrow_udf("array<int>")
         def scan(text: pa.Array) -> pa.Array:
-            return _places_found(text, groups)
+            return _scan_texts(text, groups, probes)
 
-        found = scan(folded(line))
-        return F.concat(found, always) if self._always else found
+        return scan(folded(line))
 
     def _choices(self, pattern: str):
         """Words of the pattern's matches as nested (all, any) choices."""
@@ -135,25 +142,49 @@ def _alternation(words: set[str]) -> str:
     return "|".join(re.escape(word) for word in sorted(words))
 
 
-def _places_found(text: pa.Array, groups) -> pa.Array:
-    """Per text, the places whose words occur: groups first, then their members."""
+def _joined(patterns: tuple[str, ...], word_edges: bool) -> str | None:
+    """One linear-time regex for any of the patterns, or None."""
+    translated = [to_re2(p, word_edges) for p in patterns]
+    return None if None in translated else "(?i)" + "|".join(f"(?:{p})" for p in translated)
+
+
+class _RuleTest(NamedTuple):
+    place: int
+    words: str | None  # regex for words of which every match has one
+    on_ascii: str | None  # exact on ASCII text
+    on_any: str | None  # finds at least the matches, all of them right if ``exact``
+    exact: bool
+
+
+def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
+    """Per text, the rules found: words of groups first, then the groups' rules."""
     rows, places = [], []
-    for any_word, members in groups:
-        near = pc.indices_nonzero(pc.match_substring_regex(text, any_word))
-        if len(near) == 0:
-            continue
-        if len(members) == 1:  # the group's test was the member's test
-            rows.append(near.to_numpy())
-            places.append(np.full(len(near), next(iter(members)), dtype=np.int32))
-            continue
-        part = text.take(near)
-        for place, words in members.items():
-            hit = near.take(pc.indices_nonzero(pc.match_substring_regex(part, words))).to_numpy()
-            rows.append(hit)
-            places.append(np.full(len(hit), place, dtype=np.int32))
-    row = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    place = np.concatenate(places) if places else np.empty(0, dtype=np.int32)
+
+    def note(hit: np.ndarray, place: int) -> None:
+        rows.append(hit)
+        places.append(np.full(len(hit), place, dtype=np.int32))
+
+    def matching(indices: pa.Array, regex: str | None) -> np.ndarray:
+        if regex is None or len(indices) == 0:
+            return indices.to_numpy()
+        hit = pc.match_substring_regex(text.take(indices), regex)
+        return indices.take(pc.indices_nonzero(hit)).to_numpy()
+
+    ascii_text = pc.string_is_ascii(text)
+    everything = pa.array(np.arange(len(text)))
+    for n, probe in enumerate(probes, 1):
+        note(matching(everything, probe), -n)
+    for words, tests in groups:
+        near = everything if words is None else pc.indices_nonzero(pc.match_substring_regex(text, words))
+        is_ascii = ascii_text.take(near)
+        plain, other = near.filter(is_ascii), near.filter(pc.invert(is_ascii))
+        for test in tests:
+            if test.exact and test.on_any is not None:
+                note(matching(near, test.on_any), test.place)
+                continue
+            note(matching(plain, test.on_ascii), test.place + (OPEN if test.on_ascii is None else 0))
+            note(matching(other, test.on_any), test.place + OPEN)
+    row = np.concatenate(rows).astype(np.int64)
     order = np.argsort(row, kind="stable")
-    ends = np.cumsum(np.bincount(row.astype(np.int64), minlength=len(text)))
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order]))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)[order]))

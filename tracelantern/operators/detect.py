@@ -1,15 +1,15 @@
 """Rule hits: every line against every rule, one row per (line, rule) that matches.
 
 All rules sit in one projection, so a line is read once, stays in its partition
-and nothing is shuffled.  Each rule is one regex alternation, searched in the JVM;
-a word scan (see ``functions.prefilter``) tells which of them are worth a search.
+and nothing is shuffled.  The scan of ``functions.prefilter`` decides nearly all
+pairs of line and rule; the rest are decided here by an exact search in the JVM.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelantern.functions.dialect import to_java
-from tracelantern.functions.prefilter import WordScan
+from tracelantern.functions.prefilter import OPEN, RuleScan
 from tracelantern.tables.ruleset import Rule, RuleSet
 
 _GROUP = 12
@@ -34,9 +34,17 @@ def _matches_at(rules: RuleSet, place: Column, line: Column) -> Column:
     return whole
 
 
-def rule_places(rules: RuleSet, candidates: Column) -> Column:
-    """The candidates, an array of 1-based rule places, that match the line."""
-    return F.filter(candidates, lambda place: _matches_at(rules, place, F.col("line")))
+def rule_places(rules: RuleSet, found: Column) -> Column:
+    """1-based places of the rules that match the line, from the result of the scan."""
+    line = F.col("line")
+    certain = F.filter(found, lambda place: (place > 0) & (place < OPEN))
+    checked = F.filter(
+        found, lambda place: (place > OPEN) & _matches_at(rules, place - OPEN, line)
+    )
+    return F.when(
+        F.exists(found, lambda place: place > OPEN),
+        F.array_sort(F.concat(certain, F.transform(checked, lambda place: place - OPEN))),
+    ).otherwise(F.array_sort(certain))
 
 
 def rule_id_at(rules: RuleSet, place: Column) -> Column:
@@ -44,17 +52,16 @@ def rule_id_at(rules: RuleSet, place: Column) -> Column:
     return F.get(ids, place - 1)
 
 
-def with_candidates(lines: DataFrame, rules: RuleSet, probes: tuple[str, ...] = ()) -> DataFrame:
-    """Lines with their candidate rules and probes; lines without text have none."""
-    scan = WordScan([rule.patterns for rule in rules])
-    return lines.withColumn("candidates", scan.candidates(F.coalesce("line", F.lit("")), probes))
+def scanned(lines: DataFrame, rules: RuleSet, probes: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with the rules and probes the scan found; lines without text have none."""
+    scan = RuleScan([rule.patterns for rule in rules])
+    return lines.withColumn("found", scan.found(F.coalesce("line", F.lit("")), probes))
 
 
 def hits(lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """(file_id, line_no, line, rule_ord, rule_id); a rule hits a line at most once."""
+    """Lines with rule_ord and rule_id, once per rule that matches the line."""
     return (
-        with_candidates(lines, rules)
-        .select("file_id", "line_no", "line",
-                F.explode(rule_places(rules, F.col("candidates"))).alias("rule_ord"))
+        scanned(lines, rules)
+        .select(*lines.columns, F.explode(rule_places(rules, F.col("found"))).alias("rule_ord"))
         .withColumn("rule_id", rule_id_at(rules, F.col("rule_ord")))
     )

@@ -3,8 +3,10 @@
 Everything here is a narrow projection over ``lines``: no shuffle.
 """
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def event_time(line_no: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.format_string("Line %d", line_no))
 
 
-_IOC_TEXT = {"url": "://", "domain": ".", "email": "@", "cve": "CVE-"}
+_IOC_TEXT = {"url": "://", "email": "@", "cve": "CVE-"}
 IOC_TYPES = tuple(kind for kind, _ in lookups.IOC_PATTERNS)
 
 # Looser forms of the costly patterns, for the scan that goes before a search
@@ -109,6 +111,34 @@ def _kept_address(value: Column) -> Column:
     return ~reduce(lambda a, b: a | b, [value.startswith(p) for p in ("0.", "127.", "255.")])
 
 
+# The JVM's search for a repeated group recurses once per repetition; a line with
+# more dots than this could exhaust its stack and is searched in Python instead.
+_MOST_DOTS = 1000
+
+
+@lru_cache(maxsize=None)
+def _dotted_search():
+    pattern, probe = dict(lookups.IOC_PATTERNS)["domain"], PROBES["domain"]
+
+    def found(line: str | None) -> list[str]:
+        return re.findall(pattern, line) if line and re.search(probe, line) else []
+
+    @F.arrow_udf("array<string>")
+    def search(lines: pa.Array) -> pa.Array:
+        return pa.array([found(line) for line in lines.to_pylist()], pa.list_(pa.string()))
+
+    return search
+
+
+def domain_values() -> Column:
+    line = _line()
+    dots = F.length(line) - F.length(F.replace(line, F.lit("."), F.lit("")))
+    dotted = F.when(dots > _MOST_DOTS, line)  # null, and so not searched, for nearly all lines
+    return F.when(dotted.isNotNull(), _dotted_search()(dotted)).when(
+        line.contains("."), _find_all(dict(lookups.IOC_PATTERNS)["domain"])
+    )
+
+
 def ioc_values(kind: str, hashes: Column | None = None, ips: Column | None = None) -> Column:
     """Array of the indicators of one type in the line, noise removed.
 
@@ -119,6 +149,8 @@ def ioc_values(kind: str, hashes: Column | None = None, ips: Column | None = Non
         return F.filter(words, lambda value: _kept_hash(_HASH_SIZES[kind], value))
     if kind == "ipv4":
         return F.filter(ip_values() if ips is None else ips, _kept_address)
+    if kind == "domain":
+        return domain_values()
     return _when_present(_line().contains(_IOC_TEXT[kind]), _find_all(dict(lookups.IOC_PATTERNS)[kind]))
 
 

@@ -63,14 +63,13 @@ def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
         return F.transform(values, lambda value, at: _fact(kind, value, at if place is None else F.lit(place)))
 
     def if_probed(name: str, values: Column) -> Column:
-        return F.when(F.array_contains("candidates", -1 - list(extract.PROBES).index(name)), values)
+        return F.when(F.array_contains("found", -1 - list(extract.PROBES).index(name)), values)
 
     def ioc(kind: str) -> Column:
-        values = extract.ioc_values(kind, F.col("hashes"), F.col("ips"))
-        return if_probed(kind, values) if kind in extract.PROBES else values
+        return F.col("domains") if kind == "domain" else extract.ioc_values(kind, F.col("hashes"), F.col("ips"))
 
     rule_hits = F.transform(
-        detect.rule_places(rules, F.col("candidates")),
+        detect.rule_places(rules, F.col("found")),
         lambda place: _fact(RULE, detect.rule_id_at(rules, place), place),
     )
     parts = [
@@ -82,9 +81,10 @@ def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
         rule_hits,
     ]
     return (
-        detect.with_candidates(lines, rules, tuple(extract.PROBES.values()))
+        detect.scanned(lines, rules, tuple(extract.PROBES.values()))
         .withColumn("ips", if_probed("ip", extract.ip_values()))
         .withColumn("hashes", if_probed("hash", extract.hash_values()))
+        .withColumn("domains", if_probed("domain", extract.ioc_values("domain")))
         .select("file_id", "line_no", F.inline(F.concat(*parts)))
     )
 
