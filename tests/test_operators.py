@@ -91,7 +91,7 @@ def test_spliced_lines(spark, parts):
 
 @pytest.mark.parametrize("pattern", [
     r"\bab\b", r"\Bb", r"[\w-]+", r"[^\s\d]+", r"\W\S\D", r"a{2}", r"a{,2}b", r"a{x", r"[[a]b", r"[]a]c", r"[^]]d",
-    r"[a&&b]", r"\w+$", r"é\b", r".+", r"\bx?y",
+    r"[a&&b]", r"\w+$", r"é\b", r".+", r"\bx?y", r"\b[a-c]+\b", r"\b(?:a|ab|\d)+\b", r"\b[a-c.]+\b", r"\b(?:x|)y\b",
 ])
 def test_dialect(spark, pattern):
     texts = ["ab", "éab", "ab_", "a-b c", "aab", "b", "a{x", "[b", "ab]c", "xd]d", "a&b", "x\n", "x\r", "né e\u0301",

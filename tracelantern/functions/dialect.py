@@ -11,6 +11,11 @@ from collections.abc import Callable
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:  # the parse tree of the standard library; without it word edges look both ways
+    from re import _parser
+except ImportError:
+    _parser = None
+
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 _CLASSES = {
@@ -34,7 +39,43 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
     UNIX_LINES makes ``.`` stop only at ``\\n`` and ``$`` accept a final ``\\n``,
     as in Python; case is ignored by Unicode rules when asked for.
     """
-    return ("(?idu)" if ignore_case else "(?d)") + _translate(pattern, _java_escape)
+    before, after = "", ""
+    if _one_sided(pattern, 0):
+        pattern, before = pattern[2:], f"(?<![{_WORD}])"
+    if _one_sided(pattern, -1):
+        pattern, after = pattern[:-2], f"(?![{_WORD}])"
+    flags = "(?idu)" if ignore_case else "(?d)"
+    return flags + before + _translate(pattern, _java_escape) + after
+
+
+def _one_sided(pattern: str, end: int) -> bool:
+    """Whether the pattern has a word edge at this end (0 or -1) and, next to it, always
+    a word character, so that only the outer side of the edge needs a look."""
+    written = pattern.startswith(r"\b") if end == 0 else pattern.endswith(r"\b")
+    if _parser is None or not written:
+        return False
+    tree = list(_parser.parse(pattern))
+    edge = (_parser.AT, _parser.AT_BOUNDARY)
+    return len(tree) > 1 and tree[end] == edge and _is_word(tree[1 if end == 0 else -2], end)
+
+
+def _is_word(node, end: int) -> bool:
+    op, arg = node
+    if op is _parser.LITERAL:
+        return chr(arg).isalnum() or arg == ord("_")
+    if op is _parser.RANGE:
+        return all(_is_word((_parser.LITERAL, c), end) for c in range(arg[0], arg[1] + 1))
+    if op is _parser.CATEGORY:
+        return arg in (_parser.CATEGORY_DIGIT, _parser.CATEGORY_WORD)
+    if op is _parser.IN:
+        return all(_is_word(part, end) for part in arg)
+    if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+        return arg[0] > 0 and len(arg[2]) > 0 and _is_word(arg[2][end], end)
+    if op is _parser.SUBPATTERN:
+        return len(arg[-1]) > 0 and _is_word(arg[-1][end], end)
+    if op is _parser.BRANCH:
+        return all(len(branch) > 0 and _is_word(branch[end], end) for branch in arg[1])
+    return False
 
 
 def to_re2(pattern: str, word_edges: bool) -> str | None:
@@ -103,9 +144,7 @@ def _java_escape(letter: str, in_class: bool, rest: str) -> str:
     if letter.lower() in _CLASSES:
         return f"[^{_CLASSES[letter.lower()]}]"
     if letter == "b" and not in_class:
-        # next to a plain word character only the outer side needs a look
-        plain = re.match(r"\w(?![*?{])", rest, re.ASCII)
-        return f"(?<![{_WORD}])" if plain else _EDGE
+        return _EDGE
     if letter == "b":
         return r"\x08"
     if letter == "B":

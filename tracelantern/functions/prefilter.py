@@ -68,21 +68,21 @@ class RuleScan:
         ]
         self._groups += [(None, [t]) for t in tests if t.words is None]
 
-    def found(self, line: Column, probes: tuple[str, ...] = ()) -> Column:
-        """Array of the 1-based places of the rules found in the line.
+    def found(self, text: Column, probes: tuple[str, ...] = ()) -> Column:
+        """Array of the 1-based places of the rules found in a folded line.
 
         Where the scan alone cannot tell, the place is raised by ``OPEN``.  ``probes``
-        are further regexes over the folded line: -1 stands for the first, and so on.
+        are further regexes over the same text: -1 stands for the first, and so on.
         """
         groups = self._groups
         if not groups and not probes:
             return F.array().cast("array<int>")
 
         @F.arrow_udf("array<int>")
-        def scan(text: pa.Array) -> pa.Array:
-            return _scan_texts(text, groups, probes)
+        def scan(texts: pa.Array) -> pa.Array:
+            return _scan_texts(texts, groups, probes)
 
-        return scan(folded(line))
+        return scan(text)
 
     def _choices(self, pattern: str):
         """Words of the pattern's matches as nested (all, any) choices."""

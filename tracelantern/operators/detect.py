@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelantern.functions.dialect import to_java
-from tracelantern.functions.prefilter import OPEN, RuleScan
+from tracelantern.functions.prefilter import OPEN, RuleScan, folded
 from tracelantern.tables.ruleset import Rule, RuleSet
 
 _GROUP = 12
@@ -52,16 +52,11 @@ def rule_id_at(rules: RuleSet, place: Column) -> Column:
     return F.get(ids, place - 1)
 
 
-def scanned(lines: DataFrame, rules: RuleSet, probes: tuple[str, ...] = ()) -> DataFrame:
-    """Lines with the rules and probes the scan found; lines without text have none."""
-    scan = RuleScan([rule.patterns for rule in rules])
-    return lines.withColumn("found", scan.found(F.coalesce("line", F.lit("")), probes))
-
-
 def hits(lines: DataFrame, rules: RuleSet) -> DataFrame:
     """Lines with rule_ord and rule_id, once per rule that matches the line."""
+    scan = RuleScan([rule.patterns for rule in rules])
     return (
-        scanned(lines, rules)
+        lines.withColumn("found", scan.found(folded(F.coalesce("line", F.lit("")))))
         .select(*lines.columns, F.explode(rule_places(rules, F.col("found"))).alias("rule_ord"))
         .withColumn("rule_id", rule_id_at(rules, F.col("rule_ord")))
     )

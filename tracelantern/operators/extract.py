@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelantern.functions.dialect import to_java
-from tracelantern.functions.prefilter import folded
+from tracelantern.functions.prefilter import RuleScan, folded
 from tracelantern.tables import lookups
 
 def _line() -> Column:
@@ -31,17 +31,20 @@ def ip_values() -> Column:
     return _when_present(_line().contains("."), _find_all(lookups.IP_TOKEN, 1))
 
 
-def user_values() -> Column:
-    text = folded(_line())
+def user_values(text: Column | None = None) -> Column:
+    """``text`` may bring the folded line."""
+    text = folded(_line()) if text is None else text
     return _when_present(
         text.contains("user") | text.contains("account"),
         _find_all(lookups.USER_TOKEN, 1, ignore_case=True),
     )
 
 
-def event_id_values() -> Column:
+def event_id_values(text: Column | None = None) -> Column:
+    """``text`` may bring the folded line."""
+    text = folded(_line()) if text is None else text
     return _when_present(
-        folded(_line()).contains("eventid"), _find_all(lookups.EVENT_ID_TOKEN, 1, ignore_case=True)
+        text.contains("eventid"), _find_all(lookups.EVENT_ID_TOKEN, 1, ignore_case=True)
     )
 
 
@@ -139,18 +142,31 @@ def domain_values() -> Column:
     )
 
 
-def ioc_values(kind: str, hashes: Column | None = None, ips: Column | None = None) -> Column:
-    """Array of the indicators of one type in the line, noise removed.
+def scanned(lines: DataFrame, rules: list[tuple[str, ...]]) -> DataFrame:
+    """Lines with their ``folded`` text, with ``found``, what one scan of it finds of
+    rules and probes, and with the values of the costly patterns, searched only where
+    their probe was found."""
 
-    ``hashes`` and ``ips`` may bring the line's hash words and quads if they are known.
-    """
+    def if_probed(name: str, values: Column) -> Column:
+        return F.when(F.array_contains("found", -1 - list(PROBES).index(name)), values)
+
+    return (
+        lines.withColumn("folded", folded(F.coalesce(_line(), F.lit(""))))
+        .withColumn("found", RuleScan(rules).found(F.col("folded"), tuple(PROBES.values())))
+        .withColumn("ips", if_probed("ip", ip_values()))
+        .withColumn("hashes", if_probed("hash", hash_values()))
+        .withColumn("domains", if_probed("domain", domain_values()))
+    )
+
+
+def ioc_values(kind: str) -> Column:
+    """Array of the indicators of one type in a scanned line, noise removed."""
     if kind in _HASH_SIZES:
-        words = hash_values() if hashes is None else hashes
-        return F.filter(words, lambda value: _kept_hash(_HASH_SIZES[kind], value))
+        return F.filter("hashes", lambda value: _kept_hash(_HASH_SIZES[kind], value))
     if kind == "ipv4":
-        return F.filter(ip_values() if ips is None else ips, _kept_address)
+        return F.filter("ips", _kept_address)
     if kind == "domain":
-        return domain_values()
+        return F.col("domains")
     return _when_present(_line().contains(_IOC_TEXT[kind]), _find_all(dict(lookups.IOC_PATTERNS)[kind]))
 
 
@@ -164,4 +180,4 @@ def _marked(kind: str) -> Column:
 def iocs(lines: DataFrame, kinds: tuple[str, ...] = IOC_TYPES) -> DataFrame:
     """(file_id, line_no, place, ioc_type, value); ``place`` is the order of the type."""
     found = [_marked(kind) for kind in kinds]
-    return lines.where(_line().isNotNull()).select("file_id", "line_no", F.inline(F.concat(*found)))
+    return scanned(lines, []).select("file_id", "line_no", F.inline(F.concat(*found)))

@@ -62,12 +62,6 @@ def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
         values = F.coalesce(values, F.array().cast("array<string>"))
         return F.transform(values, lambda value, at: _fact(kind, value, at if place is None else F.lit(place)))
 
-    def if_probed(name: str, values: Column) -> Column:
-        return F.when(F.array_contains("found", -1 - list(extract.PROBES).index(name)), values)
-
-    def ioc(kind: str) -> Column:
-        return F.col("domains") if kind == "domain" else extract.ioc_values(kind, F.col("hashes"), F.col("ips"))
-
     rule_hits = F.transform(
         detect.rule_places(rules, F.col("found")),
         lambda place: _fact(RULE, detect.rule_id_at(rules, place), place),
@@ -75,18 +69,13 @@ def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
     parts = [
         F.array(_fact(LINE, F.lit(""), F.lit(0))),
         tagged(IP, F.col("ips")),
-        tagged(USER, extract.user_values()),
-        tagged(EVENT_ID, extract.event_id_values()),
-        *[tagged(kind, ioc(kind), n) for n, kind in enumerate(extract.IOC_TYPES)],
+        tagged(USER, extract.user_values(F.col("folded"))),
+        tagged(EVENT_ID, extract.event_id_values(F.col("folded"))),
+        *[tagged(kind, extract.ioc_values(kind), n) for n, kind in enumerate(extract.IOC_TYPES)],
         rule_hits,
     ]
-    return (
-        detect.scanned(lines, rules, tuple(extract.PROBES.values()))
-        .withColumn("ips", if_probed("ip", extract.ip_values()))
-        .withColumn("hashes", if_probed("hash", extract.hash_values()))
-        .withColumn("domains", if_probed("domain", extract.ioc_values("domain")))
-        .select("file_id", "line_no", F.inline(F.concat(*parts)))
-    )
+    scanned = extract.scanned(lines, [rule.patterns for rule in rules])
+    return scanned.select("file_id", "line_no", F.inline(F.concat(*parts)))
 
 
 def _fact(kind: str, value: Column, place: Column) -> Column:
