@@ -317,6 +317,24 @@ FROM (SELECT file_id, line_no, {STRIPPED} AS content, {EVENT_TIME} AS time FROM
   md5(text) AS md5, sha256(text) AS sha256, coalesce(n, 0) AS total_lines
 FROM documents d LEFT JOIN (SELECT file_id, count(*) AS n FROM doc_lines GROUP BY 1) l
   ON l.file_id = d.doc_id::VARCHAR""", DOC_LINES),
+        "text_scan": sql(
+            """SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS file_id, line,
+  row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS line_no
+FROM event_log JOIN events ON event_id + 1 = event_log.line_no""", EVENT_LOG),
+        "event_xml_scan": sql(
+            r"""SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS file_id,
+  '<Event xmlns=''e''><System>' || chr(10) || '<Data>' || regexp_replace(line, '[<>&]', '_', 'g') || '</Data>'
+    || chr(10) || '</System></Event>' AS line,
+  row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS line_no
+FROM event_log JOIN events ON event_id + 1 = event_log.line_no""", EVENT_LOG),
+        "file_manifest_scan": sql(
+            """SELECT file_id, 'Text Log' AS type, strlen(body) AS size_bytes,
+  CASE WHEN strlen(body) >= 1048576 THEN format('{:.1f} MB', strlen(body) / 1048576.0)
+       ELSE format('{:,} bytes', strlen(body)) END AS size_label,
+  md5(body) AS md5, sha256(body) AS sha256, total_lines
+FROM (SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS file_id, count(*) AS total_lines,
+             string_agg(line || chr(10), '' ORDER BY event_id) AS body
+      FROM event_log JOIN events ON event_id + 1 = event_log.line_no GROUP BY 1)""", EVENT_LOG),
         "timestamps": sql("SELECT file_id, line_no, place, value FROM stamps", EVENT_LOG, STAMPS),
         "ip_counts": token_counts(IPS, "ips"),
         "user_counts": token_counts(USERS, "users"),

@@ -13,12 +13,17 @@ def kept(df: DataFrame, *cluster_by: str) -> DataFrame:
     order within the files, mostly only the rows it needs; its true size is known to
     the planner, and a lost executor costs nothing but a second read.
     """
-    path = f"{_folder(df.sparkSession)}/tracelantern-{uuid.uuid4()}"
+    path = new_path(df.sparkSession)
     ordered = df.sortWithinPartitions(*cluster_by) if cluster_by else df
     ordered.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(session: SparkSession) -> str:
+    """A path not yet used in the shared folder."""
+    return f"{_folder(session)}/tracelantern-{uuid.uuid4()}"
+
+
 def _folder(session: SparkSession) -> str:
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if folder is None:

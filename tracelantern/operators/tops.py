@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from tracelantern.operators.ranking import first_rows
 
 
-def top_tokens(counts: DataFrame, n: int) -> DataFrame:
-    """Most frequent tokens of a file; equals rank by first appearance."""
+def top_tokens(counts: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
+    """Most frequent tokens of a file (or of the given keys); equals rank by first appearance."""
     order = [F.desc("cnt"), F.col("first_seen"), F.col("value")]
-    return first_rows(counts, ["file_id"], order, n)
+    return first_rows(counts, keys or ["file_id"], order, n)
 
 
 def with_bars(top: DataFrame) -> DataFrame:

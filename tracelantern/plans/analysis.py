@@ -98,9 +98,8 @@ class Analysis:
         return detect.hits(self.lines, self.rules)
 
     @cached_property
-    def headline(self) -> DataFrame:
-        """One row of counters per file."""
-        # one grouping of the roll-up gives every distinct count
+    def counters(self) -> DataFrame:
+        """Distinct counts per file, from one grouping of the roll-up."""
         counted = {
             "unique_ips": F.col("kind") == rollup.IP,
             "unique_users": F.col("kind") == rollup.USER,
@@ -108,17 +107,26 @@ class Analysis:
             "rules_triggered": F.col("kind") == rollup.RULE,
             "total_iocs": F.col("kind").isin(*extract.IOC_TYPES),
         }
-        counters = self.rollup.groupBy("file_id").agg(
+        return self.rollup.groupBy("file_id").agg(
             F.sum(F.when(F.col("kind") == rollup.LINE, F.col("cnt"))).alias("total_lines"),
             *[F.count(F.when(test, 1)).alias(name) for name, test in counted.items()],
         )
+
+    @cached_property
+    def headline(self) -> DataFrame:
+        """One row of counters, score and level per file."""
         return (
-            counters.join(rollup.distinct_per_file(self.techniques, "techniques"), "file_id", "left")
+            self.counters.join(rollup.distinct_per_file(self.techniques, "techniques"), "file_id", "left")
             .join(rollup.distinct_per_file(self.matches, "correlations"), "file_id", "left")
             .join(self.scores, "file_id", "left")
             .na.fill(0, ["techniques", "correlations"])
         )
 
+    def top_tokens(self, n: int) -> DataFrame:
+        """The n most frequent tokens of each kind (ip, user, event_id) of a file."""
+        counts = self.rollup.where(F.col("kind").isin(rollup.IP, rollup.USER, rollup.EVENT_ID))
+        return tops.top_tokens(counts, n, ["file_id", "kind"])
+
     def top_ips(self, n: int = 10) -> DataFrame:
         return tops.top_tokens(self.ip_counts, n)
 

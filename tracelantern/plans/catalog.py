@@ -2,14 +2,15 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelantern.functions import stages
 from tracelantern.functions.text import shortened, snippet, strip
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.plans import report, stix
 from tracelantern.plans.analysis import Analysis
-from tracelantern.sources import keyword_rules, manifest, views
+from tracelantern.sources import keyword_rules, manifest, text_files, views
 from tracelantern.tables import frames
 from tracelantern.tables.ruleset import RuleSet
 
@@ -225,6 +226,40 @@ def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _event_files(spark: SparkSession, folder: str, text: Column) -> str:
+    """Path of text files written from the rendered events, one per event type and day."""
+    path = stages.new_path(spark)
+    rows = views.rendered_events(spark, folder).select("event_type", "day", "line_no", text.alias("value"))
+    ordered = rows.repartition("event_type", "day").sortWithinPartitions("event_type", "day", "line_no")
+    ordered.drop("line_no").write.partitionBy("event_type", "day").text(path)
+    return path
+
+
+def _short_id(rows: DataFrame) -> DataFrame:
+    """Event type and day in place of a file's path."""
+    short = F.regexp_extract("file_id", "event_type=(.*?/day=.*?)/", 1)
+    return rows.withColumn("file_id", F.replace(short, F.lit("/day="), F.lit(" ")))
+
+
+def text_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Rendered events through text files and back: scan and line numbers."""
+    return _short_id(text_files.read_log_lines(spark, _event_files(spark, folder, F.col("line"))))
+
+
+def event_xml_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as event XML, an element over three lines."""
+    body = F.regexp_replace("line", "[<>&]", "_")
+    xml = F.format_string("<Event xmlns='e'><System>\n<Data>%s</Data>\n</System></Event>", body)
+    return _short_id(text_files.read_event_xml(spark, _event_files(spark, folder, xml)))
+
+
+def file_manifest_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts about the text files of the rendered events."""
+    path = _event_files(spark, folder, F.col("line"))
+    facts = manifest.file_manifest(spark, path, text_files.read_log_lines(spark, path))
+    return _short_id(facts).drop("name")
+
+
 def event_snippets(spark: SparkSession, folder: str) -> DataFrame:
     """Display forms of every document line: stripped, cut with and without dots."""
     lines = views.doc_lines(spark, folder).withColumn("content", strip(F.col("line")))
@@ -245,7 +280,10 @@ def queries() -> dict[str, Query]:
         "chat_records_numbered": views.chat_lines,
         "event_log_lines": views.event_log,
         "line_snippets": event_snippets,
+        "text_scan": text_scan,
+        "event_xml_scan": event_xml_scan,
         "file_manifest": file_manifest,
+        "file_manifest_scan": file_manifest_scan,
         "timestamps": timestamps,
         "ip_counts": _token_query(extract.ip_tokens),
         "user_counts": _token_query(extract.user_tokens),

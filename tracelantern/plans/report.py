@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelantern import __version__
 from tracelantern.functions.text import shortened
-from tracelantern.operators import findings, score, tops
+from tracelantern.operators import findings, rollup, score, tops
 from tracelantern.plans.analysis import Analysis
 from tracelantern.tables import frames
 
@@ -38,6 +38,23 @@ def _listed(ranked: DataFrame, order: str, name: str, *fields: str | Column, key
     )
 
 
+def _top_lists(analysis: Analysis) -> DataFrame:
+    """(file_id, top_ips, top_users, event_id_summary): ranked (value, cnt) lists."""
+    lists = {
+        "top_ips": (rollup.IP, TOP_IPS),
+        "top_users": (rollup.USER, TOP_USERS),
+        "event_id_summary": (rollup.EVENT_ID, TOP_EVENT_IDS),
+    }
+
+    def listed(kind: str, n: int) -> Column:
+        wanted = (F.col("kind") == kind) & (F.col("rank") <= n)
+        rows = F.array_sort(F.collect_list(F.when(wanted, F.struct("rank", "value", "cnt"))))
+        return F.transform(rows, lambda row: F.struct(row.value.alias("value"), row.cnt.alias("cnt")))
+
+    top = analysis.top_tokens(max(n for _, n in lists.values()))
+    return top.groupBy("file_id").agg(*[listed(*lists[name]).alias(name) for name in lists])
+
+
 def _mapped(ranked: DataFrame, order: str, name: str, key: str, value: Column) -> DataFrame:
     """(file_id, name): the ranked rows of a file as a map in that order."""
     entries = F.array_sort(
@@ -69,9 +86,8 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
     ).join(analysis.hit_counts.select("file_id", "rule_id", "first_seen"), ["file_id", "rule_id"])
     parts = [
         analysis.period,
-        _listed(analysis.top_ips(TOP_IPS), "rank", "top_ips", "value", "cnt"),
-        _listed(analysis.top_users(TOP_USERS), "rank", "top_users", "value", "cnt"),
-        _listed(analysis.top_event_ids(TOP_EVENT_IDS), "rank", "event_id_summary", "value", "cnt"),
+        analysis.scores,
+        _top_lists(analysis),
         _listed(
             findings.named(tops.top_techniques(analysis.techniques), ""), "rank", "mitre_techniques_detected",
             F.col("technique_id").alias("id"), F.col("technique_name").alias("name"), "hits",
@@ -85,17 +101,18 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
         ),
         _mapped(details, "first_seen", "findings_detail", "rule_id", F.col("details")),
     ]
-    whole = analysis.headline.withColumnRenamed("correlations", "n_correlations")
+    whole = analysis.counters
     for part in parts:
         whole = whole.join(part, "file_id", "left")
     if files is None:
-        files = analysis.files.select(
-            "file_id",
-            F.col("file_id").alias("file"),
-            *[F.lit(None).cast("string").alias(name) for name in ("file_md5", "file_sha256")],
-            F.lit(None).cast("long").alias("file_size_bytes"),
-        )
-    whole = whole.join(files, "file_id", "left")
+        whole = whole.withColumns({
+            "file": F.col("file_id"),
+            "file_md5": F.lit(None).cast("string"),
+            "file_sha256": F.lit(None).cast("string"),
+            "file_size_bytes": F.lit(None).cast("long"),
+        })
+    else:
+        whole = whole.join(files, "file_id", "left")
 
     def or_empty(name: str) -> Column:
         kind = whole.schema[name].dataType

@@ -64,6 +64,11 @@ def chat_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` rendered as log lines; a file is one user on one day and the
     line number is the place of the event in the event stream."""
+    return spread(rendered_events(spark, folder).select("file_id", "line_no", "line"))
+
+
+def rendered_events(spark: SparkSession, folder: str) -> DataFrame:
+    """``event_log`` with the event type and day."""
     kind = F.col("event_type")
     ident = F.col("event_id")
     event_id = (
@@ -92,9 +97,10 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     stamp = F.when(kind == "click", F.replace(stamp, F.lit(" "), F.lit("T"))).when(
         kind == "purchase", F.lit("-")).otherwise(stamp)
-    return spread(table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
+        "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.concat(F.col("user_id").cast("string"), F.date_format("ts", "'-'yyyy-MM-dd")).alias("file_id"),
         (ident + 1).alias("line_no"),
         F.concat_ws(" ", stamp, event_id, F.concat(F.lit("user=u"), F.col("user_id").cast("string")),
                     F.concat(F.lit("src="), source), detail, phrase).alias("line"),
-    ))
+    )
