@@ -59,8 +59,10 @@ class RuleScan:
         for place, (patterns, per_pattern) in enumerate(zip(rules, choices), 1):
             picked = [self._pick(c) for c in per_pattern]
             words = None if None in picked else _alternation(set().union(*picked))
-            tests.append(_RuleTest(place, words, _joined(patterns, True), _joined(patterns, False),
-                                   exact=not any("\\b" in p.lower() for p in patterns)))
+            on_any = _joined(patterns, False)
+            exact = on_any is not None and not any("\\b" in p.lower() for p in patterns)
+            tests.append(_RuleTest(place, words, _joined(patterns, True), on_any, exact))
+        self.open_places = [t.place for t in tests if not t.exact]
         guarded = [t for t in tests if t.words is not None]
         self._groups = [
             ("|".join(t.words for t in guarded[start:start + _GROUP]), guarded[start:start + _GROUP])
@@ -71,7 +73,8 @@ class RuleScan:
     def found(self, text: Column, probes: tuple[str, ...] = ()) -> Column:
         """Array of the 1-based places of the rules found in a folded line.
 
-        Where the scan alone cannot tell, the place is raised by ``OPEN``.  ``probes``
+        Where the scan alone cannot tell, which happens only to ``open_places``, the
+        place is raised by ``OPEN``.  ``probes``
         are further regexes over the same text: -1 stands for the first, and so on.
         """
         groups = self._groups
@@ -152,8 +155,8 @@ class _RuleTest(NamedTuple):
     place: int
     words: str | None  # regex for words of which every match has one
     on_ascii: str | None  # exact on ASCII text
-    on_any: str | None  # finds at least the matches, all of them right if ``exact``
-    exact: bool
+    on_any: str | None  # finds at least the matches on any text
+    exact: bool  # ``on_any`` finds just the matches
 
 
 def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
@@ -179,7 +182,7 @@ def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
         is_ascii = ascii_text.take(near)
         plain, other = near.filter(is_ascii), near.filter(pc.invert(is_ascii))
         for test in tests:
-            if test.exact and test.on_any is not None:
+            if test.exact:
                 note(matching(near, test.on_any), test.place)
                 continue
             note(matching(plain, test.on_ascii), test.place + (OPEN if test.on_ascii is None else 0))

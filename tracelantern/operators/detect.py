@@ -12,8 +12,6 @@ from tracelantern.functions.dialect import to_java
 from tracelantern.functions.prefilter import OPEN, RuleScan, folded
 from tracelantern.tables.ruleset import Rule, RuleSet
 
-_GROUP = 12
-
 
 def matches(rule: Rule, line: Column) -> Column:
     """Condition: any pattern of the rule is found in the line, whatever the case."""
@@ -21,42 +19,36 @@ def matches(rule: Rule, line: Column) -> Column:
     return line.rlike(to_java(one, ignore_case=True))
 
 
-def _matches_at(rules: RuleSet, place: Column, line: Column) -> Column:
-    """Condition: the rule at a 1-based place matches the line."""
-    whole = F.lit(False)
-    numbered = list(enumerate(rules, 1))
-    for start in reversed(range(0, len(numbered), _GROUP)):
-        group = numbered[start:start + _GROUP]
-        test = F.lit(False)
-        for n, rule in reversed(group):
-            test = F.when(place == n, matches(rule, line)).otherwise(test)
-        whole = F.when(place <= group[-1][0], test).otherwise(whole)
-    return whole
-
-
-def rule_places(rules: RuleSet, found: Column) -> Column:
+def rule_places(rules: RuleSet, scan: RuleScan, found: Column) -> Column:
     """1-based places of the rules that match the line, from the result of the scan."""
-    line = F.col("line")
     certain = F.filter(found, lambda place: (place > 0) & (place < OPEN))
-    checked = F.filter(
-        found, lambda place: (place > OPEN) & _matches_at(rules, place - OPEN, line)
-    )
-    return F.when(
-        F.exists(found, lambda place: place > OPEN),
-        F.array_sort(F.concat(certain, F.transform(checked, lambda place: place - OPEN))),
-    ).otherwise(F.array_sort(certain))
+    if not scan.open_places:
+        return certain
+
+    def matches_at(place: Column) -> Column:
+        test = F.lit(False)
+        for n in scan.open_places:
+            test = F.when(place == OPEN + n, matches(rules.rules[n - 1], F.col("line"))).otherwise(test)
+        return test
+
+    checked = F.transform(F.filter(found, matches_at), lambda place: place - OPEN)
+    return F.when(F.exists(found, lambda place: place > OPEN), F.concat(certain, checked)).otherwise(certain)
 
 
 def rule_id_at(rules: RuleSet, place: Column) -> Column:
-    ids = F.array(*[F.lit(r.rule_id) for r in rules]).cast("array<string>")
+    ids = F.lit([r.rule_id for r in rules]).cast("array<string>")
     return F.get(ids, place - 1)
 
 
+def scan_for(rules: RuleSet) -> RuleScan:
+    return RuleScan([rule.patterns for rule in rules])
+
+
 def hits(lines: DataFrame, rules: RuleSet) -> DataFrame:
     """Lines with rule_ord and rule_id, once per rule that matches the line."""
-    scan = RuleScan([rule.patterns for rule in rules])
+    scan = scan_for(rules)
     return (
         lines.withColumn("found", scan.found(folded(F.coalesce("line", F.lit("")))))
-        .select(*lines.columns, F.explode(rule_places(rules, F.col("found"))).alias("rule_ord"))
+        .select(*lines.columns, F.explode(rule_places(rules, scan, F.col("found"))).alias("rule_ord"))
         .withColumn("rule_id", rule_id_at(rules, F.col("rule_ord")))
     )

@@ -142,7 +142,7 @@ def domain_values() -> Column:
     )
 
 
-def scanned(lines: DataFrame, rules: list[tuple[str, ...]]) -> DataFrame:
+def scanned(lines: DataFrame, scan: RuleScan) -> DataFrame:
     """Lines with their ``folded`` text, with ``found``, what one scan of it finds of
     rules and probes, and with the values of the costly patterns, searched only where
     their probe was found."""
@@ -152,7 +152,7 @@ def scanned(lines: DataFrame, rules: list[tuple[str, ...]]) -> DataFrame:
 
     return (
         lines.withColumn("folded", folded(F.coalesce(_line(), F.lit(""))))
-        .withColumn("found", RuleScan(rules).found(F.col("folded"), tuple(PROBES.values())))
+        .withColumn("found", scan.found(F.col("folded"), tuple(PROBES.values())))
         .withColumn("ips", if_probed("ip", ip_values()))
         .withColumn("hashes", if_probed("hash", hash_values()))
         .withColumn("domains", if_probed("domain", domain_values()))
@@ -180,4 +180,4 @@ def _marked(kind: str) -> Column:
 def iocs(lines: DataFrame, kinds: tuple[str, ...] = IOC_TYPES) -> DataFrame:
     """(file_id, line_no, place, ioc_type, value); ``place`` is the order of the type."""
     found = [_marked(kind) for kind in kinds]
-    return scanned(lines, []).select("file_id", "line_no", F.inline(F.concat(*found)))
+    return scanned(lines, RuleScan([])).select("file_id", "line_no", F.inline(F.concat(*found)))

@@ -35,7 +35,7 @@ def findings_by_category(hit_counts: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, category, rules, hits): rules in first-hit order, at most one entry per rule."""
     return with_rule(hit_counts, rules).groupBy("file_id", "category").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("first_seen", "rule_id", "cnt"))),
+            F.sort_array(F.collect_list(F.struct("first_seen", "rule_id", "cnt"))),
             lambda r: F.struct(r.rule_id.alias("rule_id"), r.cnt.alias("cnt")),
         ).alias("rules"),
         F.sum("cnt").alias("hits"),

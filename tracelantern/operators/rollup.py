@@ -53,38 +53,40 @@ def log_period(lines: DataFrame) -> DataFrame:
 
 # kinds of facts, besides "rule" and one per indicator type
 LINE, IP, USER, EVENT_ID, RULE = "line", "ip", "user", "event_id", "rule"
+ALL = (LINE, IP, USER, EVENT_ID, *extract.IOC_TYPES, RULE)
 
 
-def facts(lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """(file_id, line_no, kind, value, place): everything counted about a line, in one pass."""
+def facts(lines: DataFrame, rules: RuleSet, kinds: tuple[str, ...] = ALL) -> DataFrame:
+    """(file_id, line_no, kind, value, place): what is counted about a line, in one pass."""
 
     def tagged(kind: str, values: Column, place: int | None = None) -> Column:
         values = F.coalesce(values, F.array().cast("array<string>"))
         return F.transform(values, lambda value, at: _fact(kind, value, at if place is None else F.lit(place)))
 
+    scan = detect.scan_for(rules)
     rule_hits = F.transform(
-        detect.rule_places(rules, F.col("found")),
+        detect.rule_places(rules, scan, F.col("found")),
         lambda place: _fact(RULE, detect.rule_id_at(rules, place), place),
     )
-    parts = [
-        F.array(_fact(LINE, F.lit(""), F.lit(0))),
-        tagged(IP, F.col("ips")),
-        tagged(USER, extract.user_values(F.col("folded"))),
-        tagged(EVENT_ID, extract.event_id_values(F.col("folded"))),
-        *[tagged(kind, extract.ioc_values(kind), n) for n, kind in enumerate(extract.IOC_TYPES)],
-        rule_hits,
-    ]
-    scanned = extract.scanned(lines, [rule.patterns for rule in rules])
-    return scanned.select("file_id", "line_no", F.inline(F.concat(*parts)))
+    parts = {
+        LINE: F.array(_fact(LINE, F.lit(""), F.lit(0))),
+        IP: tagged(IP, F.col("ips")),
+        USER: tagged(USER, extract.user_values(F.col("folded"))),
+        EVENT_ID: tagged(EVENT_ID, extract.event_id_values(F.col("folded"))),
+        **{kind: tagged(kind, extract.ioc_values(kind), n) for n, kind in enumerate(extract.IOC_TYPES)},
+        RULE: rule_hits,
+    }
+    scanned = extract.scanned(lines, scan)
+    return scanned.select("file_id", "line_no", F.inline(F.concat(*[parts[kind] for kind in kinds])))
 
 
 def _fact(kind: str, value: Column, place: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), value.alias("value"), place.cast("int").alias("place"))
 
 
-def rollup(lines: DataFrame, rules: RuleSet) -> DataFrame:
+def rollup(lines: DataFrame, rules: RuleSet, kinds: tuple[str, ...] = ALL) -> DataFrame:
     """(file_id, kind, value, cnt, first_seen): one scan and one shuffle for all counts."""
-    return facts(lines, rules).groupBy("file_id", "kind", "value").agg(
+    return facts(lines, rules, kinds).groupBy("file_id", "kind", "value").agg(
         F.count("*").alias("cnt"), F.min(seen_at(F.col("line_no"), F.col("place"))).alias("first_seen")
     )
 

@@ -34,10 +34,10 @@ def threat_scores(files: DataFrame, rule_scores: DataFrame, matches: DataFrame)
     Lists hold one number per rule or correlation of a file, never per hit.
     """
     from_rules = rule_scores.groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("first_seen", F.col("rule_score").alias("points")))).alias("rule_points")
+        F.sort_array(F.collect_list(F.struct("first_seen", F.col("rule_score").alias("points")))).alias("rule_points")
     )
     from_chains = matches.groupBy("file_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("corr_ord", F.col("score_boost").cast("double").alias("points")))
         ).alias("chain_points")
     )

@@ -18,13 +18,23 @@ from tracelantern.tables.ruleset import RuleSet
 
 
 class Analysis:
-    """Lazy DataFrames about ``lines``, one row set per file."""
-
-    def __init__(self, lines: DataFrame, rules: RuleSet | None = None, correlations=CORRELATIONS):
+    """Lazy DataFrames about ``lines``, one row set per file.
+
+    ``kinds`` may narrow the roll-up to what is asked for later.
+    """
+
+    def __init__(
+        self,
+        lines: DataFrame,
+        rules: RuleSet | None = None,
+        correlations=CORRELATIONS,
+        kinds: tuple[str, ...] = rollup.ALL,
+    ):
         self.lines = lines
         self.rules = rules or RuleSet.builtin()
         self._spark = lines.sparkSession
         self._correlation_rows = correlations
+        self._kinds = kinds
 
     @cached_property
     def rule_frame(self) -> DataFrame:
@@ -36,7 +46,7 @@ class Analysis:
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return kept(rollup.rollup(self.lines, self.rules), "kind", "file_id")
+        return kept(rollup.rollup(self.lines, self.rules, self._kinds), "kind", "file_id")
 
     def _counted(self, kind: str) -> DataFrame:
         return self.rollup.where(F.col("kind") == kind).drop("kind")

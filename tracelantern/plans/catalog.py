@@ -84,7 +84,8 @@ def timestamps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    counts = rollup.rollup(views.event_log(spark, folder), RuleSet(()))
+    counted = (rollup.LINE, rollup.IP, rollup.USER, rollup.EVENT_ID)
+    counts = rollup.rollup(views.event_log(spark, folder), RuleSet(()), counted)
     kinds = {"unique_ips": rollup.IP, "unique_users": rollup.USER, "unique_event_ids": rollup.EVENT_ID}
     return counts.groupBy("file_id").agg(
         *[F.count(F.when(F.col("kind") == kind, 1)).alias(name) for name, kind in kinds.items()]
@@ -112,7 +113,7 @@ def ioc_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ioc_capped(spark: SparkSession, folder: str) -> DataFrame:
-    return report.ioc_section(Analysis(views.event_log(spark, folder)))
+    return report.ioc_section(Analysis(views.event_log(spark, folder), kinds=extract.IOC_TYPES))
 
 
 def hits_per_rule(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +135,7 @@ def findings_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def findings_section(spark: SparkSession, folder: str) -> DataFrame:
-    return report.findings_section(Analysis(views.event_log(spark, folder))).drop("first_seen")
+    return report.findings_section(_rule_analysis(views.event_log(spark, folder))).drop("first_seen")
 
 
 def technique_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,19 +162,24 @@ def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score.rule_scores(_hit_counts(spark, folder), _rules(spark)).drop("first_seen")
 
 
+def _rule_analysis(lines: DataFrame) -> Analysis:
+    """Analysis of rule hits alone."""
+    return Analysis(lines, kinds=(rollup.LINE, rollup.RULE))
+
+
 def threat_score(spark: SparkSession, folder: str) -> DataFrame:
     """Lines in, one scored row per file out: the query that runs end to end."""
-    analysis = Analysis(views.event_log(spark, folder))
+    analysis = _rule_analysis(views.event_log(spark, folder))
     return analysis.headline.select("file_id", "total_lines", "rules_triggered", "threat_score", "threat_level")
 
 
 def threat_level(spark: SparkSession, folder: str) -> DataFrame:
-    scores = Analysis(views.event_log(spark, folder)).scores
+    scores = _rule_analysis(views.event_log(spark, folder)).scores
     return scores.withColumn("score_bar", score.score_bar(F.col("threat_score")))
 
 
 def recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    return Analysis(views.event_log(spark, folder)).recommendations
+    return _rule_analysis(views.event_log(spark, folder)).recommendations
 
 
 def tactic_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +197,7 @@ def file_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_report(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of web pages, most of which fire one rule."""
-    return Analysis(views.page_lines(spark, folder)).headline.select(
+    return _rule_analysis(views.page_lines(spark, folder)).headline.select(
         "file_id", "total_lines", "rules_triggered", "techniques", "threat_score", "threat_level"
     )
 

@@ -32,7 +32,7 @@ def _listed(ranked: DataFrame, order: str, name: str, *fields: str | Column, key
     entry = F.struct(*fields)
     return ranked.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), entry.alias("entry")))),
+            F.sort_array(F.collect_list(F.struct(F.col(order).alias("place"), entry.alias("entry")))),
             lambda e: e.entry,
         ).alias(name)
     )
@@ -48,7 +48,7 @@ def _top_lists(analysis: Analysis) -> DataFrame:
 
     def listed(kind: str, n: int) -> Column:
         wanted = (F.col("kind") == kind) & (F.col("rank") <= n)
-        rows = F.array_sort(F.collect_list(F.when(wanted, F.struct("rank", "value", "cnt"))))
+        rows = F.sort_array(F.collect_list(F.when(wanted, F.struct("rank", "value", "cnt"))))
         return F.transform(rows, lambda row: F.struct(row.value.alias("value"), row.cnt.alias("cnt")))
 
     top = analysis.top_tokens(max(n for _, n in lists.values()))
@@ -57,7 +57,7 @@ def _top_lists(analysis: Analysis) -> DataFrame:
 
 def _mapped(ranked: DataFrame, order: str, name: str, key: str, value: Column) -> DataFrame:
     """(file_id, name): the ranked rows of a file as a map in that order."""
-    entries = F.array_sort(
+    entries = F.sort_array(
         F.collect_list(F.struct(F.col(order).alias("place"), F.col(key).alias("key"), value.alias("value")))
     )
     return ranked.groupBy("file_id").agg(
@@ -76,7 +76,7 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
     type_seen = analysis.iocs.groupBy("file_id", "ioc_type").agg(F.min("first_seen").alias("type_seen"))
     ioc_lists = (
         known_iocs.groupBy("file_id", "ioc_type")
-        .agg(F.array_sort(F.collect_list("value")).alias("found"))
+        .agg(F.sort_array(F.collect_list("value")).alias("found"))
         .join(type_seen, ["file_id", "ioc_type"])
     )
     summary = findings.findings_summary(analysis.hit_counts, analysis.rule_frame)

@@ -93,7 +93,7 @@ def rendered_events(spark: SparkSession, folder: str) -> DataFrame:
                                        F.lit(".example.com/p/"), text))
         .otherwise("-")
     )
-    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (ident % len(PHRASES) + 1).cast("int"))
+    phrase = F.element_at(F.lit(list(PHRASES)), (ident % len(PHRASES) + 1).cast("int"))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     stamp = F.when(kind == "click", F.replace(stamp, F.lit(" "), F.lit("T"))).when(
         kind == "purchase", F.lit("-")).otherwise(stamp)
