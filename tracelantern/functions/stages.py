@@ -27,7 +27,9 @@ def new_path(session: SparkSession) -> str:
 def _folder(session: SparkSession) -> str:
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if folder is None:
-        # only a local run without the setting gets a folder of its own
+        if not session.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        # a local run without the setting gets a folder of its own
         folder = tempfile.mkdtemp(prefix="tracelantern-")
         session.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

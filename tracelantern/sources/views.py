@@ -13,13 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Inputs with this many splits or more are never shuffled to spread them.
+_FEW_SPLITS = 64
+
+
 def spread(lines: DataFrame) -> DataFrame:
-    """Lines over all cores when the input has fewer splits than there are cores.
+    """Lines over all cores when a small input has fewer splits than there are cores.
 
-    Only small inputs get this shuffle; anything with enough splits is left as it is.
+    ``lines`` is a projection of a scan.  At most 64 splits are shuffled, some
+    gigabytes; anything larger is left as it is.
     """
     cores = lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() >= cores:
+    if lines.rdd.getNumPartitions() >= min(cores, _FEW_SPLITS):
         return lines
     return lines.repartition(cores, "file_id", "line_no")
 
