@@ -7,8 +7,8 @@ regexes follow only on the lines that have some.  What this engine cannot decide
 the JVM on the few lines concerned.
 
 The scan is an Arrow UDF because its automaton reads each byte once per group of
-rules and never backtracks.  The same scan in JVM regexes or substring tests was
-ten times slower, and a long line that nearly matches ``a.*b.*c`` could hold up a
+rules and never backtracks.  The same scan in JVM regexes or substring tests took several
+times as long, and a long line that nearly matches ``a.*b.*c`` could hold up a
 backtracking search for hours.
 """
 
