@@ -1,11 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
+from tracelantern.llm.bpe import op5_bpe_round_trip
 from tracelantern.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tracelantern.llm.packing import op10_best_fit_packing
+from tracelantern.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tracelantern.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL}
