@@ -109,9 +109,7 @@ def apply_rules(
     line_rows = rows.select("row", "doc_id", "host", F.explode("lines").alias("l")).select(
         "row", "doc_id", F.xxhash64("host", "l.line").alias("line"), "host", F.col("l.words").alias("words")
     )
-    often = line_rows.groupBy("line").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("host").alias("host")
-    ).where(F.col("n") > line_documents)
+    often = line_rows.groupBy("line", "host").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where(F.col("n") > line_documents)
     often = often.join(hosts, "host").where(F.col("n") > line_share * F.col("host_documents"))
     often = kept(often.select("line", "n", "first_id"))
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
