@@ -82,16 +82,19 @@ def deduplicate(documents: DataFrame, index: DigestIndex, batch: str) -> DataFra
 def distinct_documents(documents: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns."""
     wanted = deduplicate(documents, index, batch).where("kept").select(
-        F.xxhash64("doc_id", "text_sha256").alias("_key"), F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")
+        F.xxhash64("doc_id", "text_sha256").alias("key"), "doc_id", "text_sha256"
     )
-    names = documents.columns
     sha = F.sha2(normalised(F.col("text")), 256)
-    found = documents.withColumns({"_own_sha": sha, "_own_key": F.xxhash64(F.col("doc_id"), sha)}).join(
-        wanted, (F.col("_own_key") == F.col("_key")) & (F.col("_own_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    # the columns travel as one, so that none of their names can clash
+    rows = documents.select(
+        F.xxhash64(F.col("doc_id"), sha).alias("own_key"), F.col("doc_id").alias("own_id"), sha.alias("own_sha"), F.struct("*").alias("whole")
+    )
+    found = rows.join(
+        wanted, (F.col("own_key") == F.col("key")) & (F.col("own_sha") == F.col("text_sha256")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
     )
     # of repeated rows of the id that stays, the first stays
-    first = F.row_number().over(Window.partitionBy("_own_key", "_own_sha").orderBy("_own_sha"))
-    return found.withColumn("_nth", first).where("_nth = 1").select(*names)
+    first = F.row_number().over(Window.partitionBy("own_key", "own_sha").orderBy("own_sha"))
+    return found.withColumn("nth", first).where("nth = 1").select("whole.*")
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:

@@ -9,6 +9,7 @@ from tracelantern.llm.packing import op10_best_fit_packing
 from tracelantern.llm.pii import op8_pii
 from tracelantern.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tracelantern.llm.simhash import op1_simhash_near_dedup
+from tracelantern.llm.suffix_dedup import op9_suffix_array_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

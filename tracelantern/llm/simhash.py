@@ -266,10 +266,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` without near-copies: of each component the row with the smallest
     doc_id stays, with all its columns.  Rows without doc_id stay."""
     stays = near_duplicates(documents.where("doc_id IS NOT NULL")).where("doc_id = component_id")
-    ids = stays.select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(ids, F.col("doc_id") == F.col("_keep"), "left").where(
-        "_keep IS NOT NULL OR doc_id IS NULL"
-    ).select(*documents.columns)
+    ids = stays.select(F.col("doc_id").alias("stays")).distinct()
+    # the columns travel as one, so that none of their names can clash
+    rows = documents.select(F.col("doc_id").alias("own_id"), F.struct("*").alias("whole"))
+    return rows.join(ids, F.col("own_id") == F.col("stays"), "left").where("stays IS NOT NULL OR own_id IS NULL").select("whole.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
