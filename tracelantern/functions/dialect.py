@@ -78,34 +78,76 @@ def _is_word(node, end: int) -> bool:
     return False
 
 
-def to_re2(pattern: str, word_edges: bool) -> str | None:
-    """Linear-time pattern for the same search without regard to case, or None.
+def to_re2(pattern: str) -> str | None:
+    """Linear-time pattern that is found in just the texts in which Python finds this one
+    without regard to case, or None.
 
-    With ``word_edges`` it is exact on ASCII text.  Without, word edges are left out
-    (that engine knows them for ASCII only), so it finds at least what Python finds.
+    That engine knows word edges for ASCII only, so an edge at an end of a branch is
+    spelled out as the character, or the end of the text, beside it.
     """
-    if re.search(r"\(\?[^:]", pattern) or not pattern.isascii():
-        return None  # flags, look-around and other letters are left to the exact search
-
-    def escape(letter: str, in_class: bool, rest: str) -> str:
-        if letter in "bB" and not in_class and not word_edges:
-            return ""
-        if letter in _RE2_CLASSES:
-            return _RE2_CLASSES[letter] if in_class else f"[{_RE2_CLASSES[letter]}]"
-        if letter.lower() in _RE2_CLASSES and not in_class:
-            return f"[^{_RE2_CLASSES[letter.lower()]}]"
-        if letter in "SDW" or letter == "b" and in_class or letter.isdigit():
-            raise _NoEquivalent
-        return {"Z": r"\z"}.get(letter, "\\" + letter)
-
+    if re.search(r"\(\?[^:]", pattern) or not all(map(_folds_alone, pattern)):
+        return None  # flags, look-around and letters with odd case are left to the exact search
     try:
-        translated = _translate(pattern, escape, end=r"(?:\n?\z)")
+        translated = "|".join(map(_edged, _branches(pattern)))
         pc.match_substring_regex(pa.array([""]), translated)
         return translated
-    except (_NoEquivalent, pa.ArrowInvalid):
+    except (_NoEquivalent, pa.ArrowInvalid, re.error):
         return None
 
 
+def _folds_alone(letter: str) -> bool:
+    """Whether a letter equals just its own lower and upper form when case is ignored."""
+    if letter.isascii():
+        return True
+    lower, upper = letter.lower(), letter.upper()
+    return len(lower) == len(upper) == 1 and lower.upper() == upper and upper.lower() == lower and not lower.isascii()
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside of all groups and classes."""
+    out, depth, in_class = [""], 0, False
+    for match in _PIECE.finditer(pattern):
+        piece = match.group()
+        if piece[0] == "[" and not in_class:
+            in_class = True
+        elif piece == "]":
+            in_class = False
+        elif not in_class:
+            depth += (piece == "(") - (piece == ")")
+            if piece == "|" and depth == 0:
+                out.append("")
+                continue
+        out[-1] += piece
+    return out
+
+
+_OUTSIDE = rf"[^{_WORD}]"
+# An edge before a run of any characters, and the other character that follows it.
+_EDGE_THEN_ANY = re.compile(r"(?<=\w)\\b\.\*(?=[/ :;,=])")
+
+
+def _edged(branch: str) -> str:
+    before, after = "", ""
+    if _one_sided(branch, 0):
+        branch, before = branch[2:], rf"(?:\A|{_OUTSIDE})"
+    if _one_sided(branch, -1):
+        branch, after = branch[:-2], rf"(?:{_OUTSIDE}|\z)"
+    # the run starts with the character beside the edge, or is empty
+    parts = _EDGE_THEN_ANY.split(branch)
+    body = rf"(?:[^{_WORD}\n].*)?".join(_translate(part, _re2_escape, end=r"(?:\n?\z)") for part in parts)
+    return before + body + after
+
+
+def _re2_escape(letter: str, in_class: bool, rest: str) -> str:
+    if letter in _RE2_CLASSES:
+        return _RE2_CLASSES[letter] if in_class else f"[{_RE2_CLASSES[letter]}]"
+    if letter.lower() in _RE2_CLASSES and not in_class:
+        return f"[^{_RE2_CLASSES[letter.lower()]}]"
+    if letter in "SDWbB" or letter.isdigit():
+        raise _NoEquivalent
+    return {"Z": r"\z"}.get(letter, "\\" + letter)
+
+
 class _NoEquivalent(Exception):
     pass
 

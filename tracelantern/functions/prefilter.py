@@ -2,9 +2,9 @@
 
 Most lines match few rules.  Every match of a rule must contain certain literal
 words, so a scan for the words of a dozen rules at once comes first; the rules' own
-regexes follow only on the lines that have some.  What this engine cannot decide
-(word edges beside non-ASCII letters, syntax it lacks) is left to an exact search in
-the JVM on the few lines concerned.
+regexes follow only on the lines that have some.  Rules in a syntax that this engine
+lacks (look-around and back references in user rules) are left to an exact search in
+the JVM, on the lines that have their words.
 
 The scan is an Arrow UDF because its automaton reads each byte once per group of
 rules and never backtracks.  The same scan in JVM regexes or substring tests took several
@@ -35,7 +35,8 @@ _CASE_TWINS = (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("K", "k"))
 # Single characters rare enough in log text to be worth a look-up.
 _RARE_MARKS = set(";|`<>$@%*")
 
-_GROUP = 12
+# Rules in one scan for words, and patterns in one regex.
+_GROUP, _PIECE = 12, 500
 
 
 def folded(line: Column) -> Column:
@@ -58,11 +59,11 @@ class RuleScan:
         tests = []
         for place, (patterns, per_pattern) in enumerate(zip(rules, choices), 1):
             picked = [self._pick(c) for c in per_pattern]
-            words = None if None in picked else _alternation(set().union(*picked))
-            on_any = _joined(patterns, False)
-            exact = on_any is not None and not any("\\b" in p.lower() for p in patterns)
-            tests.append(_RuleTest(place, words, _joined(patterns, True), on_any, exact))
-        self.open_places = [t.place for t in tests if not t.exact]
+            words = None if None in picked else set().union(*picked)
+            if words is not None and len(words) > _PIECE:
+                words = None  # as many tests as the rule has itself
+            tests.append(_RuleTest(place, words and _alternation(words), _pieces(patterns)))
+        self.open_places = [t.place for t in tests if t.regexes is None]
         guarded = [t for t in tests if t.words is not None]
         self._groups = [
             ("|".join(t.words for t in guarded[start:start + _GROUP]), guarded[start:start + _GROUP])
@@ -145,18 +146,21 @@ def _alternation(words: set[str]) -> str:
     return "|".join(re.escape(word) for word in sorted(words))
 
 
-def _joined(patterns: tuple[str, ...], word_edges: bool) -> str | None:
-    """One linear-time regex for any of the patterns, or None."""
-    translated = [to_re2(p, word_edges) for p in patterns]
-    return None if None in translated else "(?i)" + "|".join(f"(?:{p})" for p in translated)
+def _pieces(patterns: tuple[str, ...]) -> tuple[str, ...] | None:
+    """Linear-time regexes for any of the patterns, a bounded number in each, or None."""
+    translated = [to_re2(p) for p in patterns]
+    if None in translated:
+        return None
+    return tuple(
+        "(?i)" + "|".join(f"(?:{p})" for p in translated[start:start + _PIECE])
+        for start in range(0, len(translated), _PIECE)
+    )
 
 
 class _RuleTest(NamedTuple):
     place: int
     words: str | None  # regex for words of which every match has one
-    on_ascii: str | None  # exact on ASCII text
-    on_any: str | None  # finds at least the matches on any text
-    exact: bool  # ``on_any`` finds just the matches
+    regexes: tuple[str, ...] | None  # found in just the texts that the rule matches
 
 
 def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
@@ -173,20 +177,21 @@ def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
         hit = pc.match_substring_regex(text.take(indices), regex)
         return indices.take(pc.indices_nonzero(hit)).to_numpy()
 
-    ascii_text = pc.string_is_ascii(text)
     everything = pa.array(np.arange(len(text)))
     for n, probe in enumerate(probes, 1):
         note(matching(everything, probe), -n)
     for words, tests in groups:
         near = everything if words is None else pc.indices_nonzero(pc.match_substring_regex(text, words))
-        is_ascii = ascii_text.take(near)
-        plain, other = near.filter(is_ascii), near.filter(pc.invert(is_ascii))
         for test in tests:
-            if test.exact:
-                note(matching(near, test.on_any), test.place)
+            if test.regexes is None:
+                note(near.to_numpy(), test.place + OPEN)
                 continue
-            note(matching(plain, test.on_ascii), test.place + (OPEN if test.on_ascii is None else 0))
-            note(matching(other, test.on_any), test.place + OPEN)
+            rest = near
+            for regex in test.regexes:
+                hit = matching(rest, regex)
+                note(hit, test.place)
+                if len(test.regexes) > 1:
+                    rest = pa.array(np.setdiff1d(rest.to_numpy(), hit, assume_unique=True))
     row = np.concatenate(rows).astype(np.int64)
     order = np.argsort(row, kind="stable")
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)

@@ -1,24 +1,31 @@
 """Intermediate results that several branches of a job read."""
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, *cluster_by: str) -> DataFrame:
+def kept(df: DataFrame, *cluster_by: str, path: str | None = None) -> DataFrame:
     """The DataFrame, computed once and written to the cluster's shared checkpoint folder.
 
     It is a Parquet table, so each branch reads only the columns and, thanks to the
     order within the files, mostly only the rows it needs; its true size is known to
     the planner, and a lost executor costs nothing but a second read.
     """
-    path = new_path(df.sparkSession)
+    path = path or new_path(df.sparkSession)
     ordered = df.sortWithinPartitions(*cluster_by) if cluster_by else df
     ordered.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(session: SparkSession, path: str) -> None:
+    """Deletes a table that ``kept`` wrote."""
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_path(session: SparkSession) -> str:
     """A path not yet used in the shared folder."""
     return f"{_folder(session)}/tracelantern-{uuid.uuid4()}"
@@ -27,9 +34,9 @@ def new_path(session: SparkSession) -> str:
 def _folder(session: SparkSession) -> str:
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if folder is None:
-        if not session.sparkContext.master.startswith("local"):
+        # one process on one machine; a local cluster has executors of its own
+        if not re.fullmatch(r"local(\[.*\])?", session.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        # a local run without the setting gets a folder of its own
         folder = tempfile.mkdtemp(prefix="tracelantern-")
         session.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -25,14 +25,12 @@ def rule_places(rules: RuleSet, scan: RuleScan, found: Column) -> Column:
     if not scan.open_places:
         return certain
 
-    def matches_at(place: Column) -> Column:
-        test = F.lit(False)
-        for n in scan.open_places:
-            test = F.when(place == OPEN + n, matches(rules.rules[n - 1], F.col("line"))).otherwise(test)
-        return test
-
-    checked = F.transform(F.filter(found, matches_at), lambda place: place - OPEN)
-    return F.when(F.exists(found, lambda place: place > OPEN), F.concat(certain, checked)).otherwise(certain)
+    # one flat list, however many rules are open
+    checked = F.array(*[
+        F.when(F.array_contains(found, OPEN + n) & matches(rules.rules[n - 1], F.col("line")), n) for n in scan.open_places
+    ])
+    both = F.concat(certain, F.array_compact(checked))
+    return F.when(F.exists(found, lambda place: place > OPEN), both).otherwise(certain)
 
 
 def rule_id_at(rules: RuleSet, place: Column) -> Column:

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelantern.functions.stages import kept
+from tracelantern.functions.stages import drop, kept, new_path
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.tables import frames
 from tracelantern.tables.correlations import CORRELATIONS
@@ -18,9 +18,11 @@ from tracelantern.tables.ruleset import RuleSet
 
 
 class Analysis:
-    """Lazy DataFrames about ``lines``, one row set per file.
+    """DataFrames about ``lines``, one row set per file.
 
-    ``kinds`` may narrow the roll-up to what is asked for later.
+    The roll-up is computed and written when something first needs it; all else is lazy.
+    ``kinds`` may narrow the roll-up to what is asked for later.  ``close`` deletes what
+    was written; nothing of the analysis can be read after that.
     """
 
     def __init__(
@@ -35,6 +37,18 @@ class Analysis:
         self._spark = lines.sparkSession
         self._correlation_rows = correlations
         self._kinds = kinds
+        self._kept: list[str] = []
+
+    def close(self) -> None:
+        for path in self._kept:
+            drop(self._spark, path)
+        self._kept.clear()
+
+    def __enter__(self) -> "Analysis":
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self.close()
 
     @cached_property
     def rule_frame(self) -> DataFrame:
@@ -46,7 +60,9 @@ class Analysis:
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return kept(rollup.rollup(self.lines, self.rules, self._kinds), "kind", "file_id")
+        self._kept.append(new_path(self._spark))
+        found = rollup.rollup(self.lines, self.rules, self._kinds)
+        return kept(found, "kind", "file_id", path=self._kept[-1])
 
     def _counted(self, kind: str) -> DataFrame:
         return self.rollup.where(F.col("kind") == kind).drop("kind")

@@ -71,35 +71,28 @@ def _rule_row(stem: str, body: str) -> dict:
         if not rule or "detection" not in rule:
             return {"stem": stem, "rejected": "no detection"}
         keywords = rule["detection"].get("keywords", [])
-        level = rule.get("level", "medium").upper()
-        title = rule.get("title", stem)
-        techniques = [t for t in _until_technique(rule.get("tags", [])) if t]
         if not isinstance(keywords, list) or not keywords:
             return {"stem": stem, "rejected": "no keyword list"}
-        severity, weight = {name: (name, points) for name, points in KEYWORD_WEIGHTS}.get(level, KEYWORD_DEFAULT)
+        patterns = [_keyword_pattern(keyword) for keyword in keywords]
+        for pattern in patterns:
+            re.compile(pattern)
+        level = rule.get("level", "medium").upper()
+        severity, weight = next(((n, w) for n, w in KEYWORD_WEIGHTS if n == level), KEYWORD_DEFAULT)
+        technique = next((tag for tag in rule.get("tags", []) if tag.startswith("attack.t")), "")
         return {
             "stem": stem,
             "rule_id": f"sigma_{stem}",
             "severity": severity,
             "weight": weight,
             "category": KEYWORD_CATEGORY,
-            "technique_id": techniques[0] if techniques else "",
-            "description": rule.get("description", title),
-            "patterns": [_keyword_pattern(k) for k in keywords],
+            "technique_id": technique.replace("attack.", "").upper(),
+            "description": str(rule.get("description", rule.get("title", stem))),
+            "patterns": patterns,
         }
     except Exception as problem:  # a bad file is skipped, whatever is wrong with it
         return {"stem": stem, "rejected": f"{type(problem).__name__}: {problem}"}
 
 
-def _until_technique(tags) -> Iterator[str]:
-    """Technique id of each tag in turn, up to the first tag that has one."""
-    for tag in tags:
-        is_technique = tag.startswith("attack.t")
-        yield tag.replace("attack.", "").upper() if is_technique else ""
-        if is_technique:
-            return
-
-
 def _keyword_pattern(keyword: str) -> str:
     # a leading * marks a wildcard keyword, whose other characters stay a regex
     return keyword.replace("*", ".*") if keyword.startswith("*") else re.escape(keyword)
