@@ -62,7 +62,8 @@ def split_view(name: str, table: str, key: str, text: str) -> str:
 
 DOC_LINES = split_view("doc_lines", "documents", "doc_id", "text")
 PAGE_LINES = split_view("page_lines", "pages", "page_id", "html")
-URL_LINES = "url_lines AS (SELECT page_id::VARCHAR AS file_id, 1 AS line_no, url AS line FROM pages)"
+WHOLE_PAGES = (PAGE_LINES, """whole_pages AS (
+  SELECT file_id, line_no, line FROM page_lines UNION ALL SELECT page_id::VARCHAR, 0, url FROM pages)""")
 CHAT_LINES = """chat_lines AS (
   SELECT conv_id::VARCHAR AS file_id, turn + 1 AS line_no, text AS line FROM conversations)"""
 
@@ -87,10 +88,14 @@ def hits_cte(source: str, rules=DETECTION_RULES, name: str = "hits") -> str:
   WHERE rule_id IS NOT NULL)"""
 
 
-RULES = values(
-    "rules", "rule_ord, rule_id, severity, weight, category, technique_id, description",
-    [(n, *r[:6]) for n, r in enumerate(DETECTION_RULES, 1)],
-)
+def rule_rows(rules) -> str:
+    return values(
+        "rules", "rule_ord, rule_id, severity, weight, category, technique_id, description",
+        [(n, *r[:6]) for n, r in enumerate(rules, 1)],
+    )
+
+
+RULES = rule_rows(DETECTION_RULES)
 TECHNIQUE_ROWS = values("techniques", "technique_id, technique_name", TECHNIQUES)
 CORRELATION_ROWS = values(
     "correlation_rows", "corr_ord, name, severity, score_boost, requires, description",
@@ -197,6 +202,24 @@ EVENT_HEADLINE = (
 )
 
 
+# The built-in rules and the user rule of ``plans.catalog``.
+WITH_USER_RULE = (*DETECTION_RULES, (
+    "sigma_console_tools", "HIGH", 25, "Sigma Rule", "T1059.001", "Console tools in service sessions",
+    ("whoami /all", "net view", ".*powershell.*hidden", "systeminfo collected"),
+))
+# Rendered events as files, one per event type and day.
+FILE_LOG = (
+    EVENT_LOG.replace("event_log AS", "rendered AS", 1),
+    """event_log AS (
+  SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS file_id, line,
+         row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS line_no
+  FROM rendered JOIN events ON event_id + 1 = rendered.line_no)""",
+    """manifest AS (
+  SELECT file_id, md5(body) AS md5, sha256(body) AS sha256, strlen(body) AS size
+  FROM (SELECT file_id, string_agg(line || chr(10), '' ORDER BY line_no) AS body FROM event_log GROUP BY 1))""",
+)
+
+
 def counted(tokens: str) -> str:
     return f"""counted AS (
   SELECT file_id, value, count(*) AS cnt, min((line_no, place)) AS seen, min(line_no) AS first_line
@@ -374,9 +397,10 @@ JOIN labels_of USING (ioc_type) WHERE rank <= 10""", EVENT_LOG, IOCS, IOC_SET, L
         "ioc_ipv4_docs": ioc_query("ipv4", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_domain_docs": ioc_query("domain", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_url_pages": ioc_query(
-            "url", URL_LINES, "url_lines",
+            "url", WHOLE_PAGES[0], "whole_pages", WHOLE_PAGES[1],
             pattern=rf"https?://[^\s\x0b\x1c-\x1f{_WIDE_SPACE}\"'<>]+"),
-        "ioc_domain_pages": ioc_query("domain", URL_LINES, "plain", ascii_view("plain", "url_lines")),
+        "ioc_domain_pages": ioc_query(
+            "domain", WHOLE_PAGES[0], "plain", WHOLE_PAGES[1], ascii_view("plain", "whole_pages")),
         "hits_all": sql("SELECT file_id, line_no, rule_id FROM hits", *EVENT_HITS),
         "hits_pages": sql("SELECT file_id, line_no, rule_id FROM hits",
                           PAGE_LINES, ascii_view("plain", "page_lines"), hits_cte("plain")),
@@ -451,6 +475,28 @@ FROM (SELECT file_id, list(tactic) FILTER (tactic IS NOT NULL) AS seen FROM tact
   {len({r[3] for r in DETECTION_RULES})} AS rule_categories
 FROM headline LEFT JOIN period USING (file_id)""", *EVENT_HEADLINE, STAMPS, PERIOD),
         "json_report": sql(DOCUMENT, *EVENT_HEADLINE, STAMPS, PERIOD, *DOCUMENT_PARTS),
+        "json_report_files": sql(
+            DOCUMENT.replace("'file', h.file_id, 'file_md5', NULL, 'file_sha256', NULL, 'file_size_bytes', NULL",
+                             "'file_md5', md5, 'file_sha256', sha256, 'file_size_bytes', size")
+            + " JOIN manifest USING (file_id)",
+            *FILE_LOG, *EVENT_HEADLINE[1:], STAMPS, PERIOD, *DOCUMENT_PARTS),
+        "keyword_rule_report": sql(
+            f"""SELECT file_id, total_lines, rules_triggered, techniques, correlations, threat_score, threat_level,
+  {len(WITH_USER_RULE)} AS detection_rules_total, 1 AS keyword_rules_loaded,
+  {len({r[3] for r in WITH_USER_RULE})} AS rule_categories FROM headline""",
+            EVENT_LOG, hits_cte("event_log", WITH_USER_RULE), COUNTS, rule_rows(WITH_USER_RULE), *EVENT_HEADLINE[4:]),
+        "stix_bundle": sql(
+            f"""SELECT file_id, '{{"type":"bundle","id":"bundle--ID","objects":['
+    || string_agg(object, ',' ORDER BY ioc_type, rank) || ']}}' AS bundle
+FROM (SELECT *, '{{"type":"indicator","spec_version":"2.1","id":"indicator--ID","created":"NOW","modified":"NOW","name":'
+    || to_json(upper(ioc_type) || ': ' || left(value, 80)) || ',"pattern":'
+    || to_json(CASE WHEN stix_type = 'file' THEN '[file:hashes.''' || upper(ioc_type) || ''' = ''' || value || ''']'
+                    ELSE '[' || stix_type || ':value = ''' || value || ''']' END)
+    || ',"pattern_type":"stix","valid_from":"NOW","labels":["malicious-activity"]}}' AS object
+  FROM (SELECT *, {stix_case()} AS stix_type,
+               row_number() OVER (PARTITION BY file_id, ioc_type ORDER BY value) AS rank FROM ioc_set)
+  WHERE stix_type IS NOT NULL AND rank <= 200)
+GROUP BY file_id""", EVENT_LOG, IOCS, IOC_SET),
         "page_report": sql(
             """SELECT file_id, total_lines, coalesce(n, 0) AS rules_triggered, coalesce(t, 0) AS techniques,
   threat_score, threat_level

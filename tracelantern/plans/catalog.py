@@ -212,13 +212,38 @@ def stix_indicators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stix_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    return stix.stix_bundle(stix.stix_objects(stix.stix_indicators(_iocs(spark, folder))))
+    """Bundles with fixed text in place of random ids and of the time."""
+    bundles = stix.stix_bundle(stix.stix_objects(stix.stix_indicators(_iocs(spark, folder))))
+    fixed = F.regexp_replace("bundle", "--[0-9a-f-]{36}", "--ID")
+    fixed = F.regexp_replace(fixed, '("(?:created|modified|valid_from)":)"[^"]*"', '$1"NOW"')
+    return bundles.withColumn("bundle", fixed)
+
+
+def json_report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Report documents of log files on disk, with their hashes and sizes."""
+    path = _event_files(spark, folder, F.col("line"))
+    lines = text_files.read_logs(spark, path)
+    documents = report.documents(Analysis(lines), manifest.file_manifest(spark, path, lines))
+    return _short_id(report.as_json(documents.drop("tool", "version", "generated", "file")))
+
+
+def keyword_rule_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and counters when user rules run beside the built-in ones."""
+    rules = RuleSet.builtin().plus_frame(_user_rules(spark))
+    found = report.file_report(Analysis(views.event_log(spark, folder), rules))
+    return found.select(
+        "file_id", "total_lines", "rules_triggered", "techniques", "correlations", "threat_score", "threat_level",
+        "detection_rules_total", "keyword_rules_loaded", "rule_categories",
+    )
+
+
+def _user_rules(spark: SparkSession) -> DataFrame:
+    bodies = [("console_tools", KEYWORD_RULE), ("unread", "title: 2024"), ("broken", 'detection: {keywords: ["*foo("]}')]
+    return keyword_rules.accepted(keyword_rules.parse_rules(spark.createDataFrame(bodies, "stem string, body string")))
 
 
 def keyword_rule_hits(spark: SparkSession, folder: str) -> DataFrame:
-    bodies = spark.createDataFrame([("console_tools", KEYWORD_RULE)], "stem string, body string")
-    user_rules = keyword_rules.accepted(keyword_rules.parse_rules(bodies))
-    rules = RuleSet.builtin().plus_frame(user_rules)
+    rules = RuleSet.builtin().plus_frame(_user_rules(spark))
     found = _hits(spark, folder, RuleSet(tuple(r for r in rules if r.category == "Sigma Rule")))
     return findings.with_rule(rollup.hit_counts(found), rules.frame(spark)).select(
         "file_id", "rule_id", "cnt", "severity", "weight", "category", "technique_id", "description"
@@ -308,8 +333,8 @@ def queries() -> dict[str, Query]:
         "ioc_ipv4_docs": _ioc_query("ipv4", views.doc_lines),
         "ioc_domain_docs": _ioc_query("domain", views.doc_lines),
         "ioc_email_docs": _ioc_query("email", views.doc_lines),
-        "ioc_url_pages": _ioc_query("url", views.url_lines),
-        "ioc_domain_pages": _ioc_query("domain", views.url_lines),
+        "ioc_url_pages": _ioc_query("url", views.whole_page_lines),
+        "ioc_domain_pages": _ioc_query("domain", views.whole_page_lines),
         "hits_all": lambda spark, folder: _keys(_hits(spark, folder)),
         "hits_pages": lambda spark, folder: _keys(
             detect.hits(views.page_lines(spark, folder), RuleSet.builtin())),
@@ -338,6 +363,8 @@ def queries() -> dict[str, Query]:
         "stix_indicators": stix_indicators,
         "stix_bundle": stix_bundle,
         "keyword_rule_hits": keyword_rule_hits,
+        "keyword_rule_report": keyword_rule_report,
+        "json_report_files": json_report_files,
     }
     for kind in extract.IOC_TYPES:
         named[f"ioc_{kind}"] = _ioc_query(kind, views.event_log)

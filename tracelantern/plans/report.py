@@ -68,8 +68,8 @@ def _mapped(ranked: DataFrame, order: str, name: str, key: str, value: Column) -
 def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
     """One nested document per file with the 25 report keys, as typed columns.
 
-    ``files`` may bring (file_id, file, file_md5, file_sha256, file_size_bytes);
-    for lines that come from tables these stay null.
+    ``files`` may bring the facts of ``sources.manifest``; without it the hashes and the
+    size are null, as for lines that come from tables.
     """
     spark = analysis.lines.sparkSession
     known_iocs = tops.first_iocs(analysis.iocs, IOCS_PER_TYPE)
@@ -112,7 +112,11 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
             "file_size_bytes": F.lit(None).cast("long"),
         })
     else:
-        whole = whole.join(files, "file_id", "left")
+        facts = files.select(
+            "file_id", F.col("name").alias("file"), F.col("md5").alias("file_md5"),
+            F.col("sha256").alias("file_sha256"), F.col("size_bytes").alias("file_size_bytes"),
+        )
+        whole = whole.join(facts, "file_id", "left")
 
     def or_empty(name: str) -> Column:
         kind = whole.schema[name].dataType

@@ -17,12 +17,12 @@ _CHUNK_MAGIC = b"ElfChnk\x00"
 _RECORD_MAGIC = b"\x2a\x2a\x00\x00"
 
 
-def read_event_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_event_records(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """``lines`` of event files: ``RecordID:<id> <text>``; ``line_no`` is the record's place.
 
-    A file must fit Spark's binary source (2 GB; the format itself ends at 4 GB).
+    ``options`` go to the reader.  A file must fit Spark's binary source (2 GB; the format itself ends at 4 GB).
     """
-    chunks = _chunks(spark, path).mapInPandas(
+    chunks = _chunks(spark, path, options).mapInPandas(
         _read_chunks, "file_id string, chunk_no int, records array<string>"
     )
     counts = chunks.select("file_id", "chunk_no", F.size("records").alias("cnt"))
@@ -36,9 +36,9 @@ def read_event_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _chunks(spark: SparkSession, path) -> DataFrame:
+def _chunks(spark: SparkSession, path, options: dict[str, str]) -> DataFrame:
     """(file_id, chunk_no, body) up to the first chunk of a file that lacks the magic."""
-    files = spark.read.format("binaryFile").load(path).select(
+    files = spark.read.format("binaryFile").options(**options).load(path).select(
         F.col("_metadata.file_path").alias("file_id"), "content"
     )
     size = F.length("content")

@@ -57,6 +57,12 @@ def url_lines(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+def whole_page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the HTML of ``pages``, with the address as line 0."""
+    address = url_lines(spark, folder).withColumn("line_no", F.lit(0).cast("long"))
+    return page_lines(spark, folder).unionByName(address)
+
+
 def chat_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of ``conversations`` as records; a record keeps its line breaks."""
     return spread(table(spark, folder, "conversations").select(
