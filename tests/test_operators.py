@@ -134,6 +134,23 @@ def test_long_accented_near_misses(spark, line):
                                                         "'network_scan', 'credential_dumping', 'command_injection')").count() == 0
 
 
+def test_domains_of_any_line(spark):
+    import time
+
+    from tracelantern.tables.lookups import IOC_PATTERNS
+
+    pattern = dict(IOC_PATTERNS)["domain"]
+    texts = ["éa.com", "a.comé b.org", "é.a.net é", "x_a.com a.com_ -a.com a-.com a--b.co.uk", "a.b.c.d.com.e.com.x", "\x01a.com\x02b.ru", "…a.io…b.cc"]
+    texts += ["a." * 300 + "com", "q" * 70 + ".com " + "q" * 63 + ".com", None]
+    frame = spark.createDataFrame([("f", n, t) for n, t in enumerate(texts)], SCHEMA)
+    found = Counter((r.line_no, r.value) for r in extract.iocs(frame, ("domain",)).collect())
+    assert found == Counter((n, v) for n, t in enumerate(texts) if t for v in re.findall(pattern, t))
+    long_ = spark.createDataFrame([("f", 1, "a." * 500_000 + " x.com " + "b.com " * 100_000)], SCHEMA)
+    start = time.time()
+    assert extract.iocs(long_, ("domain",)).count() == 100_001
+    assert time.time() - start < 60
+
+
 def test_many_and_large_user_rules(spark):
     own = [Rule(f"r{n}", "LOW", 1, "Own", "", "d", (f"größe{n}x", f"été {n}")) for n in range(1000)]
     large = Rule("large", "LOW", 1, "Own", "", "d", tuple(f"keyword {n} end" for n in range(50_000)))

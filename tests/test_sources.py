@@ -1,10 +1,14 @@
 """File scans against plain Python readings of the same files."""
 
 import hashlib
+import json
 import struct
+from pathlib import Path
 
 import pytest
 
+from tracelantern.plans import report
+from tracelantern.plans.analysis import Analysis
 from tracelantern.sources import event_records, keyword_rules, manifest, text_files
 
 
@@ -85,6 +89,32 @@ def test_event_records(spark, tmp_path):
     }
 
 
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "no_suffix").write_text("three")
+    (tmp_path / "b.EVTX").write_bytes(event_file([[record(1, "first"), record(2, "second")]]))
+    found = {(name_of(r.file_id), r.line_no): r.line[:10] for r in text_files.read_logs(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("a.log", 1): "one", ("a.log", 2): "two", ("no_suffix", 1): "three", ("b.EVTX", 1): "RecordID:1", ("b.EVTX", 2): "RecordID:2",
+    }
+
+
+def test_report_with_file_facts(spark, tmp_path):
+    data = b"x user=bob 10.1.2.3\nwhoami /all\n"
+    (tmp_path / "a.log").write_bytes(data)
+    lines = text_files.read_logs(spark, str(tmp_path))
+    with Analysis(lines) as analysis:
+        documents = report.documents(analysis, manifest.file_manifest(spark, str(tmp_path), lines))
+        report.write_json(documents, str(tmp_path / "out"))
+        kept_at = Path(analysis._kept[0])
+        assert kept_at.exists()
+    assert not kept_at.exists()
+    written = [json.loads(line) for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert [(d["file"], d["file_md5"], d["file_size_bytes"], d["total_lines"]) for d in written] == [
+        ("a.log", hashlib.md5(data).hexdigest(), len(data), 2)
+    ]
+
+
 def test_event_records_stop_at_the_first_foreign_chunk(spark, tmp_path):
     data = event_file([[record(1, "in")]]) + event_file([[record(2, "out")]], stop=False)[4096:]
     (tmp_path / "a.evtx").write_bytes(data)

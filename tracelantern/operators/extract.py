@@ -3,10 +3,10 @@
 Everything here is a narrow projection over ``lines``: no shuffle.
 """
 
-import re
 from functools import lru_cache, reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,32 +114,30 @@ def _kept_address(value: Column) -> Column:
     return ~reduce(lambda a, b: a | b, [value.startswith(p) for p in ("0.", "127.", "255.")])
 
 
-# The JVM's search for a repeated group recurses once per repetition; a line with
-# more dots than this could exhaust its stack and is searched in Python instead.
-_MOST_DOTS = 1000
-
-
 @lru_cache(maxsize=None)
-def _dotted_search():
-    pattern, probe = dict(lookups.IOC_PATTERNS)["domain"], PROBES["domain"]
+def _domain_search():
+    """All domains of a line, by Arrow's linear-time engine.
 
-    def found(line: str | None) -> list[str]:
-        return re.findall(pattern, line) if line and re.search(probe, line) else []
+    It knows word edges for ASCII only.  A domain is ASCII, so other letters can become
+    an underscore, which is no part of a domain but a word character like them, and
+    other marks a space; the matches are then the same.
+    """
+    pattern = dict(lookups.IOC_PATTERNS)["domain"]
 
     @F.arrow_udf("array<string>")
     def search(lines: pa.Array) -> pa.Array:
-        return pa.array([found(line) for line in lines.to_pylist()], pa.list_(pa.string()))
+        plain = pc.replace_substring_regex(lines, r"[\x01\x02]|[^\x00-\x7F\p{L}\p{N}]", " ")
+        plain = pc.replace_substring_regex(plain, r"[^\x00-\x7F]", "_")
+        marked = pc.replace_substring_regex(plain, f"({pattern})", "\x01\\1\x02")
+        found = [line and [part.split("\x02", 1)[0] for part in line.split("\x01")[1:]] for line in marked.to_pylist()]
+        return pa.array([f or None for f in found], pa.list_(pa.string()))
 
     return search
 
 
-def domain_values() -> Column:
-    line = _line()
-    dots = F.length(line) - F.length(F.replace(line, F.lit("."), F.lit("")))
-    dotted = F.when(dots > _MOST_DOTS, line)  # null, and so not searched, for nearly all lines
-    return F.when(dotted.isNotNull(), _dotted_search()(dotted)).when(
-        line.contains("."), _find_all(dict(lookups.IOC_PATTERNS)["domain"])
-    )
+def domain_values(present: Column) -> Column:
+    """Null where there is none; lines that are not ``present`` are not searched."""
+    return _domain_search()(F.when(present, _line()))
 
 
 def scanned(lines: DataFrame, scan: RuleScan) -> DataFrame:
@@ -147,15 +145,15 @@ def scanned(lines: DataFrame, scan: RuleScan) -> DataFrame:
     rules and probes, and with the values of the costly patterns, searched only where
     their probe was found."""
 
-    def if_probed(name: str, values: Column) -> Column:
-        return F.when(F.array_contains("found", -1 - list(PROBES).index(name)), values)
+    def probed(name: str) -> Column:
+        return F.array_contains("found", -1 - list(PROBES).index(name))
 
     return (
         lines.withColumn("folded", folded(F.coalesce(_line(), F.lit(""))))
         .withColumn("found", scan.found(F.col("folded"), tuple(PROBES.values())))
-        .withColumn("ips", if_probed("ip", ip_values()))
-        .withColumn("hashes", if_probed("hash", hash_values()))
-        .withColumn("domains", if_probed("domain", domain_values()))
+        .withColumn("ips", F.when(probed("ip"), ip_values()))
+        .withColumn("hashes", F.when(probed("hash"), hash_values()))
+        .withColumn("domains", domain_values(probed("domain")))
     )
 
 
