@@ -394,6 +394,17 @@ FROM ioc_set GROUP BY GROUPING SETS ((file_id, ioc_type), (file_id))""", EVENT_L
 FROM (SELECT *, row_number() OVER (PARTITION BY file_id, ioc_type ORDER BY value) AS rank,
              count(*) OVER (PARTITION BY file_id, ioc_type) AS cnt FROM ioc_set)
 JOIN labels_of USING (ioc_type) WHERE rank <= 10""", EVENT_LOG, IOCS, IOC_SET, LABELS),
+        "ioc_tab": sql(
+            """SELECT file_id, ioc_ord, ioc_type, ioc_label, rank, value, cnt, greatest(cnt - 100, 0) AS more
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id, ioc_type ORDER BY value) AS rank,
+             count(*) OVER (PARTITION BY file_id, ioc_type) AS cnt FROM ioc_set)
+JOIN labels_of USING (ioc_type) WHERE rank <= 100""", EVENT_LOG, IOCS, IOC_SET, LABELS),
+        "correlation_section": sql(
+            """SELECT file_id, corr_ord, severity, name, description, array_to_string(requires, ', ') AS signals
+FROM matches""", *EVENT_HITS, COUNTS, CORRELATION_ROWS, MATCHES),
+        "event_record_decode": sql(
+            """SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS line_no,
+  line_no AS record_id, line FROM event_log""", EVENT_LOG),
         "ioc_ipv4_docs": ioc_query("ipv4", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_domain_docs": ioc_query("domain", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_url_pages": ioc_query(

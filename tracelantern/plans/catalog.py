@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelantern.functions import stages
@@ -10,7 +10,7 @@ from tracelantern.functions.text import shortened, snippet, strip
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.plans import report, stix
 from tracelantern.plans.analysis import Analysis
-from tracelantern.sources import keyword_rules, manifest, text_files, views
+from tracelantern.sources import event_records, keyword_rules, manifest, text_files, views
 from tracelantern.tables import frames
 from tracelantern.tables.ruleset import RuleSet
 
@@ -227,6 +227,40 @@ def json_report_files(spark: SparkSession, folder: str) -> DataFrame:
     return _short_id(report.as_json(documents.drop("tool", "version", "generated", "file")))
 
 
+def event_record_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as binary records, 50 in a chunk, and read back."""
+
+    def little(number: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(number), 2 * size, "0")
+        return F.concat(*[F.substring(digits, k, 2) for k in range(2 * size - 1, 0, -2)])
+
+    rows = views.rendered_events(spark, folder).select("file_id", F.col("line_no").alias("id"), "line")
+    order = Window.partitionBy("file_id").orderBy("id")  # a file is a user's day
+    place = F.row_number().over(order) - 1
+    # three marks tell where the text starts, after the record's head of 16 bytes
+    text = F.hex(F.encode(F.concat(F.lit("\x01\x02\x03"), "line"), "UTF-16LE"))
+    head = F.concat(F.lit("2A2A0000"), little(F.length(text) / 2 + 16, 4), little(F.col("id"), 8))
+    records = rows.select("file_id", F.floor(place / 50).cast("int").alias("chunk_no"), "id", F.concat(head, text).alias("record"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("id", "record"))), lambda r: r.record)
+    bodies = records.groupBy("file_id", "chunk_no").agg(
+        F.unhex(F.concat(F.lit("456C6643686E6B00"), F.array_join(ordered, ""))).alias("body")
+    )
+    return event_records.numbered_records(bodies).select(
+        "file_id", "line_no",
+        F.regexp_extract("line", r"^RecordID:(\d+) ", 1).cast("long").alias("record_id"),
+        F.regexp_extract("line", r"(?s)\x01\x02\x03(.*)", 1).alias("line"),
+    )
+
+
+def ioc_tab(spark: SparkSession, folder: str) -> DataFrame:
+    """The result tab of indicators: up to 100 values of a type."""
+    return report.ioc_section(Analysis(views.event_log(spark, folder), kinds=extract.IOC_TYPES), 100)
+
+
+def correlation_section(spark: SparkSession, folder: str) -> DataFrame:
+    return report.correlation_section(_rule_analysis(views.event_log(spark, folder)))
+
+
 def keyword_rule_report(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and counters when user rules run beside the built-in ones."""
     rules = RuleSet.builtin().plus_frame(_user_rules(spark))
@@ -364,6 +398,9 @@ def queries() -> dict[str, Query]:
         "stix_bundle": stix_bundle,
         "keyword_rule_hits": keyword_rule_hits,
         "keyword_rule_report": keyword_rule_report,
+        "event_record_decode": event_record_decode,
+        "ioc_tab": ioc_tab,
+        "correlation_section": correlation_section,
         "json_report_files": json_report_files,
     }
     for kind in extract.IOC_TYPES:

@@ -22,9 +22,12 @@ def read_event_records(spark: SparkSession, path: str | list[str], **options: st
 
     ``options`` go to the reader.  A file must fit Spark's binary source (2 GB; the format itself ends at 4 GB).
     """
-    chunks = _chunks(spark, path, options).mapInPandas(
-        _read_chunks, "file_id string, chunk_no int, records array<string>"
-    )
+    return numbered_records(_chunks(spark, path, options))
+
+
+def numbered_records(bodies: DataFrame) -> DataFrame:
+    """``lines`` of the records in ``bodies(file_id, chunk_no, body)``."""
+    chunks = bodies.mapInPandas(_read_chunks, "file_id string, chunk_no int, records array<string>")
     counts = chunks.select("file_id", "chunk_no", F.size("records").alias("cnt"))
     earlier = Window.partitionBy("file_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     # at most 32,768 chunks a file, one small row each
