@@ -109,13 +109,16 @@ def _from_six(octets: bytes) -> np.ndarray:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; the first byte says how many."""
-    width = next(w for w in (1, 2, 4, 8) if counts.max(initial=0) < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Counts in a byte each; those from 255 on are spelled out before."""
+    large = counts[counts >= 255].astype("<i8")
+    return len(large).to_bytes(8, "little") + large.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _from_small(octets: bytes) -> np.ndarray:
-    return np.frombuffer(octets, f"<u{octets[0]}", -1, 1).astype(np.int64)
+    n = int.from_bytes(octets[:8], "little")
+    counts = np.frombuffer(octets, np.uint8, -1, 8 + 8 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(octets, "<i8", n, 8)
+    return counts
 
 
 def score(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
