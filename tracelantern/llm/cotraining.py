@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelantern.functions.stages import kept
 from tracelantern.llm.boosting import threshold_for
 from tracelantern.llm.shared import slices, whole_bytes
 
@@ -140,18 +141,21 @@ def co_train(
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Quality | None:
-    """Fits on at most ``labelled`` documents of each label and ``pool`` others.
+    """Fits on about ``labelled`` documents of each label and ``pool`` others at most.
 
-    Both are those whose doc_id has the smallest hash.  Labels other than 0 and 1 and
-    null ids are not used; of several labels of a document the smallest counts.
+    Every doc_id draws a number by its hash, and those below the share that the sample is
+    of all documents of its kind are fitted on.  Labels other than 0 and 1 and null ids
+    are not used; of several labels of a document the smallest counts.
     """
-    order = F.xxhash64("doc_id")
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("mark"))
     ids = documents.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = [ids.join(marks.where(F.col("mark") == k), "doc_id").orderBy(order).limit(labelled) for k in (0, 1)]
-    others = ids.join(marks, "doc_id", "left_anti").orderBy(order).limit(pool).withColumn("mark", F.lit(-1))
-    # bounded by the parameters
-    sample = F.broadcast(picked[0].unionByName(picked[1]).unionByName(others))
+    marked = kept(ids.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(-1)).cast("int").alias("mark")))
+    counts = {r["mark"]: r["count"] for r in marked.groupBy("mark").count().collect()}
+    share = F.lit(pool / max(1, counts.get(-1, 0)))
+    for mark in (0, 1):
+        share = F.when(F.col("mark") == mark, labelled / max(1, counts.get(mark, 0))).otherwise(share)
+    # bounded by the parameters, whatever the number of documents
+    sample = F.broadcast(marked.where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
