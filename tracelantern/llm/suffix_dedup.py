@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ REACH = WIDTH - GRAM
 BLOCK_BYTES = 4 << 20
 SORTED_BYTES = 1 << 16
 # Bytes of text for each part of the anchors.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 # A gram is common when it is in this share of the documents; a document has at most one
 # anchor per byte, and common grams are fewer than the anchors of a thousand documents.
 COMMON_SHARE = 0.001
@@ -83,9 +84,11 @@ class Texts:
         if width < REACH + 1:
             rest = REACH + 1 - width
             least = np.minimum(least[:-rest], least[rest:])
+        least = (least & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
         windows = self.lengths[long] - WIDTH + 1
-        inside = np.repeat(self.starts[long] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-        found = np.unique(least[inside] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
+        found = np.concatenate([least[a:a + n] for a, n in zip(self.starts[long].tolist(), windows.tolist(), strict=True)])
+        # the places never go back, so equal ones are neighbours
+        found = found[np.append(True, found[1:] != found[:-1])]
         return np.searchsorted(self.starts, found, side="right") - 1, found, grams[found]
 
     def strings(self, starts: np.ndarray) -> np.ndarray:
@@ -121,6 +124,16 @@ def _first_of(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return least
 
 
+def _joined(number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each number, those that overlap or touch as one; stops rise with starts."""
+    if not len(number):
+        return number, start, stop
+    order = np.lexsort((start, number))
+    number, start, stop = number[order], start[order], stop[order]
+    new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (start[1:] > stop[:-1])))
+    return number[new], start[new], stop[np.append(new[1:], len(number)) - 1]
+
+
 def _spans(rows, docs, starts, stops, grams=None) -> pa.RecordBatch:
     none = pa.nulls(len(rows), pa.int64()) if grams is None else pa.array(grams.view(np.int64))
     return pa.RecordBatch.from_arrays(
@@ -133,7 +146,9 @@ def _texts(documents: DataFrame) -> DataFrame:
     """``row, doc, text``: rows with the same doc_id and text share a row; null ids come last, as one id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return documents.select(F.xxhash64(doc, text).alias("row"), doc.alias("doc"), text.alias("text"))
+    # a LONG that names document and text
+    row = doc.bitwiseXOR(F.shiftleft(F.hash(text).cast("long"), 32))
+    return documents.select(row.alias("row"), doc.alias("doc"), text.alias("text"))
 
 
 def _common_grams(texts: DataFrame, rows: int) -> np.ndarray:
@@ -142,8 +157,10 @@ def _common_grams(texts: DataFrame, rows: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BLOCK_BYTES):
             number, _, grams = Texts(whole_bytes(batch.column(0))).anchors()
-            pairs = np.unique(np.column_stack([grams, number.astype(np.uint64)]), axis=0) if len(grams) else np.zeros((0, 2), np.uint64)
-            found, times = np.unique(pairs[:, 0], return_counts=True)
+            order = np.argsort(grams, kind="stable")
+            g, n = grams[order], number[order]
+            in_new_text = np.append(True, (g[1:] != g[:-1]) | (n[1:] != n[:-1]))[:len(g)]
+            found, times = np.unique(g[in_new_text], return_counts=True)
             # a gram with the share in all documents has it in some block
             often = times >= max(2, COMMON_SHARE * batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["gram", "n"])
@@ -188,7 +205,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows, docs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             start, stop = start - block.starts[number], stop - block.starts[number]
             own = _first_of(contexts ^ _mix(grams), docs[number]) < docs[number]
-            yield from _packed(rows, docs, number[own], start[own], stop[own], None, None, parts)
+            yield from _packed(rows, docs, *_joined(number[own], start[own], stop[own]), None, None, parts)
             yield from _packed(rows, docs, number[~own], start[~own], stop[~own], grams[~own], contexts[~own], parts)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -207,7 +224,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = spans.where("gram IS NOT NULL").groupBy("row").agg(
         F.first("doc").alias("doc"), F.collect_list(F.struct("start", "stop", "gram")).alias("asked")
     )
-    contexts = texts.select("row", "text").join(asked, "row").select("row", "doc", "text", "asked").mapInArrow(
+    contexts = _zipped(texts).drop("doc").join(asked, "row").select("row", "doc", "zipped", "asked").mapInArrow(
         _fetched, "gram long, row long, doc long, start int, octets binary"
     )
     sorted_ = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared, "row long, start int, stop int")
@@ -219,31 +236,39 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _packed(rows, docs, number, start, stop, grams, contexts, parts) -> Iterator[pa.RecordBatch]:
     """A row for each part: the documents it names, then the entries column by column.
 
-    Entries that are settled already go to the parts below zero, any of them.
+    Entries that are settled already go to the parts below zero, any of them.  Hashes
+    travel as seven bytes; high and low bytes of small numbers stand apart, so that they
+    compress.
     """
     if not len(number):
         return
     if grams is None:
-        part = np.full(len(number), -1 - int(rows[0]) % parts)
-        grams = contexts = np.zeros(len(number), np.uint64)
+        part = np.full(len(number), -1 - int(docs[0]) % parts)
     else:
         part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((start, number, part))
     edges = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    tags = (rows ^ docs) >> 32
     data = []
     for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
         at = order[a:b]
         named, local = np.unique(number[at], return_inverse=True)
-        columns = [len(named), len(at), rows[named], docs[named], np.diff(local, prepend=0).astype("<u2"), start[at].astype("<u4"), (stop - start)[at].astype("u1")]
-        head = b"".join(c.to_bytes(4, "little") if isinstance(c, int) else np.ascontiguousarray(c).tobytes() for c in columns)
-        tail = b"" if part[at[0]] < 0 else grams[at].tobytes() + contexts[at].tobytes()
-        data.append(head + tail)
+        columns = [
+            np.array([len(named), len(at)], "<u4"), np.diff(docs[named], prepend=0), tags[named].astype("<i4"), np.diff(local, prepend=0).astype("u1"),
+            (start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), (stop - start)[at].astype("<u4" if grams is None else "u1"),
+        ]
+        if grams is not None:
+            columns += [_seven(grams[at]), _seven(contexts[at])]
+        data.append(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
     yield pa.RecordBatch.from_arrays([pa.array(part[order][edges]), pa.array(data, pa.binary())], names=["part", "data"])
 
 
+def _seven(hashes: np.ndarray) -> np.ndarray:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]
+
+
 def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    data, at = row["data"], 8
-    named, size = np.frombuffer(data, "<u4", 2).tolist()
+    data, at = row["data"], 0
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -251,20 +276,43 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    rows, docs = take("<i8", named), take("<i8", named)
-    number = np.cumsum(take("<u2", size), dtype=np.int64)
-    start = take("<u4", size).astype(np.int64)
-    stop = start + take("u1", size)
-    grams = take("<u8", size) if row["part"] >= 0 else np.zeros(size, np.uint64)
-    contexts = take("<u8", size) if row["part"] >= 0 else np.zeros(size, np.uint64)
-    return rows[number], docs[number], start, stop, grams, contexts
+    def hashes(n: int) -> np.ndarray:
+        high = np.zeros((n, 8), np.uint8)
+        if row["part"] >= 0:
+            high[:, 1:] = take("u1", 7 * n).reshape(-1, 7)
+        return high.view("<u8").ravel()
+
+    named, size = take("<u4", 2).tolist()
+    docs = np.cumsum(take("<i8", named))
+    rows = docs ^ take("<i4", named).astype(np.int64) << 32
+    number = np.cumsum(take("u1", size), dtype=np.int64)
+    start = take("<u2", size).astype(np.int64)
+    start |= take("<u2", size).astype(np.int64) << 16
+    stop = start + take("u1" if row["part"] >= 0 else "<u4", size)
+    return rows[number], docs[number], start, stop, hashes(size), hashes(size)
+
+
+def _zipped(texts: DataFrame) -> DataFrame:
+    """``row, doc, zipped``: texts are compressed one by one before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches):
+            zipped = pa.array([press(octets) for octets in whole_bytes(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), zipped], names=["row", "doc", "zipped"])
+
+    return texts.mapInArrow(run, "row long, doc long, zipped binary")
+
+
+def _unzipped(column: pa.Array) -> list[bytes]:
+    return [zstandard.decompress(octets) for octets in column.to_pylist()]
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that are asked for."""
     for batch in slices(batches):
         out = []
-        for row, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), whole_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        for row, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unzipped(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             out += [(a["gram"], row, doc, a["start"], text[a["start"]:a["stop"]]) for a in asked]
         columns = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -315,48 +363,57 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     wanted, at = np.unique(number, return_index=True)
     last = np.append(at[1:], len(number)) - 1 if len(at) else at
     group = table.column("gram").to_numpy()
-    pieces, size, batch = [], 0, None
+    pieces: dict[bytes, list[tuple[int, int]]] = {}  # equal stretches once, with the contexts they are in
+    size, batch, found = 0, None, []
     for c, a, b in zip(wanted.tolist(), place[at].tolist(), (place[last] + WIDTH).tolist(), strict=True):
         if size > SORTED_BYTES and group[c] != batch:
-            yield _repeated(pieces, block, rows, docs, starts)
-            pieces, size = [], 0
-        pieces.append((c, a, b))
-        size += b - a
+            found += _repeated(pieces, docs)
+            pieces, size = {}, 0
+        octets = block.octets[a:b]
+        if octets not in pieces:
+            size += len(octets)
+        pieces.setdefault(octets, []).append((c, int(starts[c] + a - block.starts[c])))
         batch = group[c]
-    if pieces:
-        yield _repeated(pieces, block, rows, docs, starts)
-
-
-def _repeated(pieces, block, rows, docs, starts) -> pa.RecordBatch:
-    """Strings of WIDTH bytes that occur in a smaller document, from the suffix array of the pieces."""
-    octets, number, place = [], [], []
-    for c, a, b in pieces:
-        octets.append(block.octets[a:b])
-        number += [c] * (b - a + 1)
-        place += range(a, b + 1)
-    # 0 ends the text, 1 ends a piece, bytes follow
-    joined = np.frombuffer(b"".join(p + b"\0" for p in octets), np.uint8).astype(np.int64) + 2
-    ends = np.cumsum([len(p) + 1 for p in octets]) - 1
+    found += _repeated(pieces, docs)
+    if found:
+        number, start, stop = _joined(*map(np.array, zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[number]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["row", "start", "stop"]
+        )
+
+
+def _repeated(pieces: dict[bytes, list[tuple[int, int]]], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    """Context, start and stop of strings that occur in a smaller document.
+
+    A suffix array of the stretches puts equal strings side by side.
+    """
+    if not pieces:
+        return []
+    first = np.array([min(int(docs[c]) for c, _ in members) for members in pieces.values()])
+    lengths = np.array([len(p) for p in pieces])
+    # 0 ends the text, 1 ends a stretch, bytes follow
+    joined = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.int64) + 2
+    ends = np.cumsum(lengths + 1) - 1
     joined[ends] = 1
     order = np.array(suffix_array([*joined.tolist(), 0])[1:], dtype=np.int64)
-    room = np.repeat(ends, [len(p) + 1 for p in octets]) - np.arange(len(joined))
-    order = order[room[order] >= WIDTH]
-    number, place = np.array(number)[order], np.array(place)[order]
-    # neighbours in the order that share a string
+    number = np.repeat(np.arange(len(pieces)), lengths + 1)
+    order = order[ends[number[order]] - order >= WIDTH]
+    # neighbours in the order that share a string, and the smallest document of each
     string = np.lib.stride_tricks.sliding_window_view(joined, WIDTH)[order]
-    new = np.append(True, (string[1:] != string[:-1]).any(axis=1)) if len(order) else np.zeros(0, bool)
-    edge = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(docs[number], edge), np.diff(np.append(edge, len(order)))) if len(order) else docs[:0]
-    again = docs[number] > least
-    number, at = number[again], starts[number[again]] + place[again] - block.starts[number[again]]
-    number, at = number[np.lexsort((at, number))], at[np.lexsort((at, number))]
-    # neighbouring strings of one context as one span
-    new = np.append(True, (number[1:] != number[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool)
-    edge = np.flatnonzero(new)
-    stop = at[np.append(edge[1:], len(at)) - 1] + WIDTH if len(at) else at
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[number[edge]]), pa.array(at[edge].astype(np.int32)), pa.array(stop.astype(np.int32))], names=["row", "start", "stop"]
-    )
+    edge = np.flatnonzero(np.append(True, (string[1:] != string[:-1]).any(axis=1)))
+    least = np.full(len(joined), _LAST)
+    least[order] = np.repeat(np.minimum.reduceat(first[number[order]], edge), np.diff(np.append(edge, len(order))))
+    out = []
+    for members, begin, end in zip(pieces.values(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        own = least[begin:end - WIDTH + 1]
+        low, high = own.min(), own.max()
+        for c, at in members:
+            doc = docs[c]
+            if high < doc:
+                out.append((c, at, at + end - begin))
+            elif low < doc:
+                out += [(c, at + k, at + k + WIDTH) for k in np.flatnonzero(own < doc).tolist()]
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -380,12 +437,12 @@ def remaining(documents: DataFrame) -> DataFrame:
     """
     texts, found = repeats(documents)
     spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    rows = texts.select("row", F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "text").join(spans, "row", "left")
+    rows = _zipped(texts).join(spans, "row", "left").select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "zipped", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for octets, spans in zip(whole_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for octets, spans in zip(_unzipped(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 cut = merged([(s["start"], s["stop"]) for s in spans or []])
                 edges = [0, *(e for span in cut for e in span), len(octets)]
                 left = b"".join(octets[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -394,7 +451,7 @@ def remaining(documents: DataFrame) -> DataFrame:
             arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_octets"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_octets binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_octets binary")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
