@@ -27,16 +27,18 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts seen so far: ``digest BINARY, keep_id LONG, batch STRING``.
 
-    ``path`` lies in storage that all executors share.  An index written earlier is
+    ``path`` lies in storage that all executors share.  A new index has as many buckets as
+    shuffles have partitions, so that a task writes one bucket; one written earlier is
     opened with the bucket count it was written with.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark, self.buckets = spark, buckets
         self.table = f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def entries(self) -> DataFrame:
