@@ -28,3 +28,20 @@ def test_running_counts(spark, tmp_path):
     counts = rollup.hit_counts(detect.hits(text_files.read_log_lines(spark, logs), rules))
     wanted = score.rule_scores(counts, rules.frame(spark)).select("file_id", "rule_id", "cnt", "rule_score")
     assert {tuple(r) for r in latest.collect()} == {tuple(r) for r in wanted.collect()}
+
+
+def test_state_of_old_files_goes(spark, tmp_path):
+    import time
+
+    logs, out, state = (str(tmp_path / name) for name in ("logs", "out", "state"))
+    (tmp_path / "logs").mkdir()
+    rules = RuleSet.builtin()
+    left = []
+    for name in ("a.log", "b.log", "c.log"):
+        (tmp_path / "logs" / name).write_text("\n".join(PHRASES[:40]))
+        counts = tail.stream_hit_counts(tail.stream_lines(spark, logs), rules, keep="1 second")
+        query = tail.write_rule_scores(counts, rules, out, state).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(3)
+    assert left[-1] < 3 * left[0]

@@ -1,6 +1,7 @@
 """File facts: name, type, size, hashes, number of lines."""
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,10 +75,15 @@ def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(md5=[d[0] for d in digests], sha256=[d[1] for d in digests])
 
 
+def _store_name(uri: str) -> str:
+    """The address of a file as Arrow's file systems spell it."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^dbfs:/+", "file:///dbfs/", uri))
+
+
 def _digests(uri: str) -> tuple[str, str]:
     from pyarrow.fs import FileSystem
 
-    store, inner = FileSystem.from_uri(uri)
+    store, inner = FileSystem.from_uri(_store_name(uri))
     md5, sha256 = hashlib.md5(), hashlib.sha256()
     with store.open_input_stream(inner) as stream:
         while piece := stream.read(8 * _MIB):

@@ -13,18 +13,27 @@ from tracelantern.tables.ruleset import RuleSet
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """(file_id, line) of the text files that arrive under a path."""
+    """(file_id, line, arrived) of the text files that arrive under a path.
+
+    ``arrived`` is the time of the batch, and a file is read in one batch, so no line is late.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(path).select(
-        F.col("_metadata.file_path").alias("file_id"), F.make_valid_utf8("value").alias("line")
+        F.col("_metadata.file_path").alias("file_id"), F.make_valid_utf8("value").alias("line"),
+        F.current_timestamp().alias("arrived"),
     )
 
 
-def stream_hit_counts(lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """(file_id, rule_id, cnt) as it grows; the state is one number per file and rule."""
-    return detect.hits(lines, rules).groupBy("file_id", "rule_id").agg(F.count("*").alias("cnt"))
+def stream_hit_counts(lines: DataFrame, rules: RuleSet, keep: str = "1 hour") -> DataFrame:
+    """(file_id, rule_id, cnt) as it grows.
+
+    The state is one number per file and rule; it goes when the file arrived longer ago
+    than ``keep``.
+    """
+    hits = detect.hits(lines.withWatermark("arrived", keep), rules)
+    return hits.groupBy("file_id", "arrived", "rule_id").agg(F.count("*").alias("cnt")).drop("arrived")
 
 
 def write_rule_scores(counts: DataFrame, rules: RuleSet, path: str, checkpoint: str) -> DataStreamWriter:
