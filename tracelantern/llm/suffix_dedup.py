@@ -12,7 +12,7 @@ context).  Anchors meet by the hash of their gram, packed by block and part:
 
 Before anything is shuffled a block settles its own repeats, so a passage with a third of
 all copies is one row per block.  Grams that very many documents share, as parts of
-shorter common phrases, are told apart by their whole strings instead of by the gram.
+shorter common phrases, are dealt out by context, and what is left of them by whole string.
 """
 
 from __future__ import annotations
@@ -34,19 +34,20 @@ WIDTH = 50
 GRAM = 20
 REACH = WIDTH - GRAM
 # Bytes of text in a block, and of contexts that one suffix array sorts.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 SORTED_BYTES = 1 << 16
 # Bytes of text for each part of the anchors.
-PART_BYTES = 4 << 20
-# A gram is common when it is in this share of the documents; a document has at most one
-# anchor per byte, and common grams are fewer than the anchors of a thousand documents.
-COMMON_SHARE = 0.001
+PART_BYTES = 2 << 20
+# A gram is common when it has contexts that differ in this share of the documents, so common
+# grams are fewer than the anchors of two hundred documents.
+COMMON_SHARE = 0.005
 COMMON_LEAST = 32
+_COUNTED_AT_ONCE = 1 << 20
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 # Stands for a null doc_id.
 _LAST = (1 << 63) - 1
-_SPANS = "row long, doc long, start int, stop int, gram long"
+_SPANS = "row long, doc long, start int, stop int, gram long, common boolean"
 
 
 def _mix(value: np.ndarray) -> np.ndarray:
@@ -134,11 +135,11 @@ def _joined(number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
     return number[new], start[new], stop[np.append(new[1:], len(number)) - 1]
 
 
-def _spans(rows, docs, starts, stops, grams=None) -> pa.RecordBatch:
+def _spans(rows, docs, starts, stops, grams=None, common=False) -> pa.RecordBatch:
     none = pa.nulls(len(rows), pa.int64()) if grams is None else pa.array(grams.view(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows), pa.array(docs), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)), none],
-        names=["row", "doc", "start", "stop", "gram"],
+        [pa.array(rows), pa.array(docs), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)), none, pa.array(np.full(len(rows), common))],
+        names=["row", "doc", "start", "stop", "gram", "common"],
     )
 
 
@@ -152,18 +153,30 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _common_grams(texts: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of the grams that a large share of all documents have."""
+    """Hashes of the grams that many documents have in contexts that differ.
+
+    Equal contexts meet in the first step, however many there are.
+    """
+
+    def often(held: list[tuple[np.ndarray, np.ndarray]], documents: int) -> pa.RecordBatch:
+        grams, contexts = (np.concatenate(c) for c in zip(*held, strict=True))
+        found, times = np.unique(grams[np.unique(_mix(grams) ^ contexts, return_index=True)[1]], return_counts=True)
+        # a gram with the share in all documents has about that share in some of these runs
+        common = times >= max(4, COMMON_SHARE * documents)
+        return pa.RecordBatch.from_arrays([pa.array(found[common].view(np.int64)), pa.array(times[common])], names=["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, documents = [], 0, 0
         for batch in slices(batches, BLOCK_BYTES):
-            number, _, grams = Texts(whole_bytes(batch.column(0))).anchors()
-            order = np.argsort(grams, kind="stable")
-            g, n = grams[order], number[order]
-            in_new_text = np.append(True, (g[1:] != g[:-1]) | (n[1:] != n[:-1]))[:len(g)]
-            found, times = np.unique(g[in_new_text], return_counts=True)
-            # a gram with the share in all documents has it in some block
-            often = times >= max(2, COMMON_SHARE * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["gram", "n"])
+            block = Texts(whole_bytes(batch.column(0)))
+            number, place, grams = block.anchors()
+            held.append((grams, block.contexts(number, place)[2]))
+            size, documents = size + len(grams), documents + batch.num_rows
+            if size > _COUNTED_AT_ONCE:
+                yield often(held, documents)
+                held, size, documents = [], 0, 0
+        if held:
+            yield often(held, documents)
 
     counts = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     least = max(COMMON_LEAST, int(COMMON_SHARE * rows))
@@ -192,37 +205,33 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             block = Texts(whole_bytes(batch.column(2)))
             number, place, grams = block.anchors()
             start, stop, contexts = block.contexts(number, place)
-            hot = np.isin(grams, common)
-            if hot.any():  # every string around a common gram by itself
-                n, p = number[hot], place[hot]
-                string = (p[:, None] + np.arange(-REACH, 1)).ravel()
-                n = np.repeat(n, REACH + 1)
-                fits = (string >= block.starts[n]) & (string + WIDTH <= block.starts[n] + block.lengths[n])
-                string, n = string[fits], n[fits]
-                hashes = block.strings(string)
-                number, start, stop = np.concatenate([number[~hot], n]), np.concatenate([start[~hot], string]), np.concatenate([stop[~hot], string + WIDTH])
-                grams, contexts = np.concatenate([grams[~hot], hashes]), np.concatenate([contexts[~hot], hashes])
             rows, docs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             start, stop = start - block.starts[number], stop - block.starts[number]
             own = _first_of(contexts ^ _mix(grams), docs[number]) < docs[number]
             yield from _packed(rows, docs, *_joined(number[own], start[own], stop[own]), None, None, parts)
-            yield from _packed(rows, docs, number[~own], start[~own], stop[~own], grams[~own], contexts[~own], parts)
+            for is_common in (False, True):
+                rest = ~own & (np.isin(grams, common) == is_common)
+                yield from _packed(rows, docs, number[rest], start[rest], stop[rest], grams[rest], contexts[rest], parts, is_common)
 
     def settle(table: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_unpacked(r) for r in table.to_pylist()), strict=True)]
-        if table.column("part")[0].as_py() < 0:
+        part = table.column("part")[0].as_py()
+        if part < 0:
             return pa.Table.from_batches([_spans(*columns[:4])])
         again, open_ = _settled(*columns)
         rows, docs, starts, stops, grams, _ = columns
+        is_common = part >= parts
+        if is_common:  # the contexts of a common gram are in all parts
+            open_ = ~again
         return pa.Table.from_batches([
             _spans(rows[again], docs[again], starts[again], stops[again]),
-            _spans(rows[open_], docs[open_], starts[open_], stops[open_], grams[open_]),
+            _spans(rows[open_], docs[open_], starts[open_], stops[open_], grams[open_], is_common),
         ])
 
     packed = texts.mapInArrow(anchored, "part long, data binary")
     spans = kept(packed.groupBy("part").applyInArrow(settle, _SPANS))
     asked = spans.where("gram IS NOT NULL").groupBy("row").agg(
-        F.first("doc").alias("doc"), F.collect_list(F.struct("start", "stop", "gram")).alias("asked")
+        F.first("doc").alias("doc"), F.collect_list(F.struct("start", "stop", "gram", "common")).alias("asked")
     )
     contexts = _zipped(texts).drop("doc").join(asked, "row").select("row", "doc", "zipped", "asked").mapInArrow(
         _fetched, "gram long, row long, doc long, start int, octets binary"
@@ -233,7 +242,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 
-def _packed(rows, docs, number, start, stop, grams, contexts, parts) -> Iterator[pa.RecordBatch]:
+def _packed(rows, docs, number, start, stop, grams, contexts, parts, common=False) -> Iterator[pa.RecordBatch]:
     """A row for each part: the documents it names, then the entries column by column.
 
     Entries that are settled already go to the parts below zero, any of them.  Hashes
@@ -245,7 +254,8 @@ def _packed(rows, docs, number, start, stop, grams, contexts, parts) -> Iterator
     if grams is None:
         part = np.full(len(number), -1 - int(docs[0]) % parts)
     else:
-        part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        # the contexts of a common gram are dealt out by their own hash
+        part = (((contexts if common else grams) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + parts * common
     order = np.lexsort((start, number, part))
     edges = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
     tags = (rows ^ docs) >> 32
@@ -255,7 +265,7 @@ def _packed(rows, docs, number, start, stop, grams, contexts, parts) -> Iterator
         named, local = np.unique(number[at], return_inverse=True)
         columns = [
             np.array([len(named), len(at)], "<u4"), np.diff(docs[named], prepend=0), tags[named].astype("<i4"), np.diff(local, prepend=0).astype("u1"),
-            (start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), (stop - start)[at].astype("<u4" if grams is None else "u1"),
+            (start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), (stop - start)[at].astype("<i4" if grams is None else "u1"),
         ]
         if grams is not None:
             columns += [_seven(grams[at]), _seven(contexts[at])]
@@ -286,9 +296,9 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
     docs = np.cumsum(take("<i8", named))
     rows = docs ^ take("<i4", named).astype(np.int64) << 32
     number = np.cumsum(take("u1", size), dtype=np.int64)
-    start = take("<u2", size).astype(np.int64)
-    start |= take("<u2", size).astype(np.int64) << 16
-    stop = start + take("u1" if row["part"] >= 0 else "<u4", size)
+    start = take("<u2", size).astype(np.int32)
+    start |= take("<u2", size).astype(np.int32) << 16
+    stop = start + take("u1" if row["part"] >= 0 else "<i4", size)
     return rows[number], docs[number], start, stop, hashes(size), hashes(size)
 
 
@@ -313,7 +323,13 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = []
         for row, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unzipped(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            out += [(a["gram"], row, doc, a["start"], text[a["start"]:a["stop"]]) for a in asked]
+            for a in asked:
+                start, stop = a["start"], a["stop"]
+                if a["common"]:  # each string by itself
+                    strings = [(k, text[k:k + WIDTH]) for k in range(start, stop - WIDTH + 1)]
+                    out += [(xxhash.xxh3_64_intdigest(string) - (1 << 63), row, doc, k, string) for k, string in strings]
+                else:
+                    out.append((a["gram"], row, doc, start, text[start:stop]))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays(
