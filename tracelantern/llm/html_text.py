@@ -51,6 +51,8 @@ IMPLIED = {
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "td": ("td", "th"), "th": ("td", "th"),
     "tr": ("tr", "td", "th"), "option": ("option",),
 }
+# A class that begins so tells of the page's template or topic, not of the element.
+ABOUT = frozenset("category cat has hide is no not page postid single tag tax term topic type with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -68,6 +70,8 @@ class Line:
     dropped: bool
     dropped_within: bool
     links: int
+    hard: bool  # dropped by more than class or id
+    marks: tuple[int, ...]  # the elements around it whose class or id drops it
 
 
 @dataclass
@@ -75,6 +79,7 @@ class _Open:
     tag: str
     drops: bool
     region: int | None = None
+    mark: int = 0
 
 
 @dataclass
@@ -84,6 +89,8 @@ class _State:
     links: int = 0
     region: int = 0
     within: bool = False
+    hard: bool = False
+    marks: tuple[int, ...] = ()
 
 
 class Lines(HTMLParser):
@@ -94,7 +101,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[_Open] = []
         self.current, self.aside = _State(), _State()  # of the block, and of dropped elements in it
-        self.regions = 0
+        self.regions, self.marks = 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -111,11 +118,14 @@ class Lines(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         is_article = tag in ("article", "main") or values.get("role") in ("main", "article") or "articleBody" in values.get("itemprop", "")
         region = None
-        if is_article and not self._teaser(values):
+        is_main = tag == "main" or values.get("role") == "main"
+        marked = tag not in ("html", "body") and not is_main and self._marked(values)
+        if is_article and not marked:
             if not any(o.region is not None for o in self.open):
                 self.regions += 1
             region = self.regions
-        self.open.append(_Open(tag, region is None and self._drops(tag, values), region))
+        self.marks += marked
+        self.open.append(_Open(tag, region is None and self._drops(tag, values), region, self.marks if marked else 0))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash of a void or block element means nothing in HTML
@@ -130,12 +140,14 @@ class Lines(HTMLParser):
             del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        drops = [o.drops for o in self.open]
+        drops = [o.drops or o.mark > 0 for o in self.open]
         state = self.aside if any(drops) else self.current
         if not state.parts:
             at = next((k for k, o in enumerate(self.open) if o.region is not None), len(self.open))
             state.region = self.open[at].region if at < len(self.open) else 0
             state.within = any(drops[at:])
+            state.hard = any(o.drops for o in self.open)
+            state.marks = tuple(o.mark for o in self.open if o.mark)
         state.parts.append(data)
         if any(o.tag == "a" for o in self.open):
             state.links += len(data)
@@ -159,26 +171,26 @@ class Lines(HTMLParser):
                 return
 
     @staticmethod
-    def _words(values: dict[str, str]) -> set[str]:
-        return {w.lower() for w in _WORDS.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-
-    def _teaser(self, values: dict[str, str]) -> bool:
-        return bool(self._words(values) & MARKS)
+    def _marked(values: dict[str, str]) -> bool:
+        """Whether a class or the id is a mark, or begins or ends with one."""
+        for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if words and words[0] not in ABOUT and (words[0] in MARKS or words[-1] in MARKS):
+                return True
+        return False
 
     def _drops(self, tag: str, values: dict[str, str]) -> bool:
         if tag in DROPPED or tag == "header" and not any(o.region is not None for o in self.open):
             return True
         if values.get("role") in ROLES or values.get("aria-hidden") == "true" or "hidden" in values:
             return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
-            return True
-        return tag not in ("html", "body") and bool(self._words(values) & MARKS)
+        return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")))
 
     def _end_block(self) -> None:
         for state in (self.current, self.aside):
             text = " ".join("".join(state.parts).split())
             if text:
-                self.lines.append(Line(text, state.tags, state.region, state is self.aside, state.within, state.links))
+                self.lines.append(Line(text, state.tags, state.region, state is self.aside, state.within, state.links, state.hard, state.marks))
         self.current, self.aside = _State(), _State()
 
 
@@ -216,12 +228,29 @@ def dense(lines: list[Line], sigma: float = SIGMA, threshold: float = THRESHOLD)
     return smooth >= threshold * smooth.std()
 
 
+def _trust_content(lines: list[Line], is_dense: np.ndarray) -> None:
+    """On a page without an unmarked article, an element that holds most of the dense text is
+    the content, whatever its class says; its lines are not dropped for it."""
+    if any(line.region and not line.dropped for line in lines):
+        return
+    held: dict[int, int] = {}
+    total = 0
+    for k, line in enumerate(lines):
+        if is_dense[k] and not line.hard and 2 * line.links < len(line.text):
+            total += len(line.text)
+            for mark in line.marks:
+                held[mark] = held.get(mark, 0) + len(line.text)
+    for line in lines:
+        line.dropped = line.hard or any(2 * held.get(mark, 0) <= total for mark in line.marks)
+
+
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The blocks of the content regions, joined by empty lines; empty if there are none."""
     lines = parsed(html)
     if not lines:
         return ""
     is_dense = dense(lines, sigma, threshold)
+    _trust_content(lines, is_dense)
     within = [k for k, line in enumerate(lines) if line.region and not line.dropped]
     free = [k for k, line in enumerate(lines) if not line.dropped and 2 * line.links < len(line.text)]
     if not within and not any(is_dense[k] for k in free):
