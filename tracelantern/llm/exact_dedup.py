@@ -28,12 +28,17 @@ class DigestIndex:
     """Digests of all texts seen so far: ``digest BINARY, keep_id LONG, batch STRING``.
 
     ``path`` lies in storage that all executors share.  A new index has as many buckets as
-    shuffles have partitions, so that a task writes one bucket; one written earlier is
-    opened with the bucket count it was written with.
+    shuffles have partitions, so that a task writes one bucket; the count is stored beside
+    the index, and one written earlier is opened with it.  Another count is refused.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = _stored_buckets(spark, path)
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index at {path} has {stored} buckets, not {buckets}")
+        buckets = stored or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not stored:
+            spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets")).write.parquet(_beside(path))
         self.spark, self.buckets = spark, buckets
         self.table = f"digests_{uuid.uuid4().hex}"
         spark.sql(
@@ -49,6 +54,25 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
+def _beside(path: str) -> str:
+    return f"{path.rstrip('/')}-buckets"
+
+
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count of the index at ``path``; none if it is new."""
+    configuration = spark._jsc.hadoopConfiguration()
+
+    def exists(name: str) -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return place.getFileSystem(configuration).exists(place)
+
+    if exists(_beside(path)):
+        return spark.read.parquet(_beside(path)).first()[0]
+    if exists(path):
+        raise ValueError(f"the index at {path} has no bucket count beside it")
+    return None
+
+
 def deduplicate(documents: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """One row per row of ``documents``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
