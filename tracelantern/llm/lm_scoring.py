@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tracelantern.functions.stages import kept
 from tracelantern.llm.shared import whole_bytes
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 16 << 20
 # Parts of the count table per block; a part's arrays fit a task many times over.
