@@ -12,7 +12,7 @@ from tracelantern.llm.queries import QUERIES, SQL
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - {"op11_collocations", "op13_prefix_trie"}))
 def test_one_row_per_document(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op2") else ("documents", "doc_id")
     ids = {r[0] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()}
