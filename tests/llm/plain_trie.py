@@ -10,8 +10,11 @@ def rebuilt(rows, group=20, most=4):
     found = {}
     for conv, turn, role, text in rows:
         if conv is not None:
-            found.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
-    original = {c: [(role, text) for *_, role, text in sorted(turns)] for c, turns in found.items()}
+            role, text = role or "", text or ""
+            # turns with the same number go by role, then by the digest that stands for them
+            tie = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            found.setdefault(conv, []).append((turn is not None, turn or 0, role, tie, text))
+    original = {c: [(role, text) for *_, role, _, text in sorted(turns)] for c, turns in found.items()}
     return {
         c: original.get(c - c % group, [])[:h] + turns[h:]
         for c, turns in original.items()
