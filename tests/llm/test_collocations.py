@@ -91,7 +91,9 @@ def test_blocks_cut_anywhere(m, size):
     for text in texts:
         for piece in re.split(rb"[.,;:!?\n-\r]", text):
             words = piece.split()
-            want.update(tuple(words[i:i + m]) for i in range(len(words)))
+            want.update(tuple(words[i:i + m]) for i in range(len(words) - m + 1))
+            if words:
+                want[tuple(words[1 - m:])] += 1
     assert _counted(texts, m, size) == want
 
 

@@ -122,10 +122,9 @@ def test_event_records_stop_at_the_first_foreign_chunk(spark, tmp_path):
     assert [r.line.split()[0] for r in rows] == ["RecordID:1"]
 
 
-def test_file_manifest(spark, tmp_path, monkeypatch):
+def test_file_manifest(spark, tmp_path):
     (tmp_path / "big.log").write_bytes(b"x" * 1_500_000 + b"\n")
     (tmp_path / "a b.EVTX").write_bytes(b"ElfFile")
-    monkeypatch.setattr(manifest, "_MOST_IN_ROW", 1000)
     lines = text_files.read_log_lines(spark, str(tmp_path / "big.log"))
     rows = {r["name"]: r for r in manifest.file_manifest(spark, str(tmp_path), lines).collect()}
     for name, kind, label, count in (
@@ -163,18 +162,23 @@ def test_keyword_rules(spark, tmp_path):
         "number.yml": RULE.format(level="low", tags="[]", keywords="[1]"),
         "broken.yml": "a: [",
         "other.yaml": RULE.format(level="low", tags="[]", keywords="[k]"),
+        "_odd name.yml": RULE.format(level="low", tags="[]", keywords="[k]"),
+        ".dot.yml": RULE.format(level="low", tags="[]", keywords="[k]"),
     }
     for name, body in files.items():
         (folder / name).write_text(body)
-    assert keyword_rules.rule_folder(spark, str(tmp_path)) == str(folder)
-    assert keyword_rules.rule_folder(spark, str(folder)) is None
+    (folder / "bytes.yml").write_bytes(b"detection: {keywords: [\xff]}")
+    (folder / "below").mkdir()
+    (folder / "below" / "deep.yml").write_text(files["good.yml"])
+    assert keyword_rules.rule_folder(str(tmp_path)) == str(folder)
+    assert keyword_rules.rule_folder(str(folder)) is None
     parsed = keyword_rules.parse_rules(keyword_rules.read_rule_files(spark, str(folder)))
     good = {r.rule_id: r for r in keyword_rules.accepted(parsed).collect()}
-    assert set(good) == {"sigma_good", "sigma_odd_level", "sigma_no_title"}
+    assert set(good) == {"sigma_good", "sigma_odd_level", "sigma_no_title", "sigma__odd name", "sigma_.dot"}
     row = good["sigma_good"]
     assert (row.severity, row.weight, row.technique_id, row.description) == ("HIGH", 25, "T1059.001", "T")
     assert row.patterns == [r"a\.b\ \-c", ".*x.*y"]
     assert (good["sigma_odd_level"].severity, good["sigma_odd_level"].weight) == ("MEDIUM", 15)
     assert good["sigma_no_title"].description == "no_title"
     bad = {r.stem for r in keyword_rules.rejected(parsed).collect()}
-    assert bad == {"null_level", "null_tags", "no_detection", "empty", "map", "none", "number", "broken"}
+    assert bad == {"null_level", "null_tags", "no_detection", "empty", "map", "none", "number", "broken", "bytes"}

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelantern.functions.stages import drop, kept, new_path
@@ -104,8 +104,8 @@ def _grams(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def paths(ids: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(words, offsets, weights)`` of the graph of a block: unary paths, then piece ends.
 
-    Every full gram lies in exactly one path.  A piece end is a row of fewer than m words,
-    which says that so many pieces end in these words.
+    Every full gram lies in exactly one path.  A piece end is a row of fewer than m words:
+    the last m - 1 of so many pieces, or all words of shorter ones.
     """
     if not len(ids) or not ids.any():
         return
@@ -149,8 +149,10 @@ def paths(ids: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         ends = ends[ends >= 0]
         for j in range(k):
             ends = ends[ids[ends + j] > 0]
+        if k < m - 1:  # only whole pieces; a longer one has a longer end
+            ends = ends[(ends == 0) | (ids[ends - 1] == 0)]
         if not len(ends):
-            break
+            continue
         code = ids[ends]
         for j in range(1, k):
             code = np.unique(code * (int(ids.max()) + 1) + ids[ends + j], return_inverse=True)[1]
@@ -180,6 +182,10 @@ def _graphs(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatc
                         )
 
 
+def _row(k: int, words: Column, lang: Column, f: Column, e: Column) -> Column:
+    return F.struct(F.concat(F.lit(chr(48 + k)), words, F.lit("\t"), lang).alias("key"), f.alias("f"), e.alias("e"))
+
+
 def gram_counts(documents: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST_COUNT) -> DataFrame:
     """``lang, phrase, k, f``: grams of up to ``max_words`` words with at least ``least`` occurrences.
 
@@ -187,20 +193,29 @@ def gram_counts(documents: DataFrame, max_words: int = MAX_WORDS, least: int = L
     """
     columns = [F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     sent = documents.select(*columns).mapInArrow(lambda batches: _graphs(batches, max_words), "lang string, words array<string>, weight long")
-    places = F.sequence(F.lit(1), F.greatest(F.size("words") - max_words + 1, F.lit(1)))
-    grams = F.transform(places, lambda at: F.array_join(F.slice("words", at, max_words), " "))
-    size = F.least(F.size("words"), F.lit(max_words)).cast("byte")
-    rows = sent.select("lang", F.explode(grams).alias("phrase"), size.alias("k"), F.col("weight").alias("f"))
+    size = F.size("words")
+    places = F.sequence(F.lit(1), F.greatest(size - max_words + 1, F.lit(1)))
+    level = F.char(48 + F.least(size, F.lit(max_words)))
+    keys = F.transform(places, lambda at: F.concat(level, F.array_join(F.slice("words", at, max_words), " "), F.lit("\t"), F.col("lang")))
+    ends = F.when(size < max_words, F.col("weight")).otherwise(0)
+    # a gram, its number of words and its language are one short text, as there are very many; no word holds a tab
+    rows = sent.select(F.explode(keys).alias("key"), F.col("weight").alias("f"), ends.alias("e"))
+    phrase, lang = F.expr("substring_index(substring(key, 2), '\t', 1)"), F.expr("substring(key, locate('\t', key) + 1)")
     for k in range(max_words, -1, -1):
-        rows = rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+        # graphs have summed already, a task would find few equal keys
+        rows = rows.repartition("key").groupBy("key").agg(F.sum("f").alias("f"), F.sum("e").alias("e"))
         if k:
-            flow = F.struct(
-                F.lit(k - 1).cast("byte").alias("k"), F.substring_index("phrase", " ", k - 1).alias("phrase"), F.col("f").alias("f"), F.lit(False).alias("done")
-            )
-            itself = F.struct("k", "phrase", "f", F.lit(True).alias("done"))
-            parts = F.when(F.col("k") != k, F.array(itself)).when(F.col("f") >= least, F.array(itself, flow)).otherwise(F.array(flow))
-            rows = rows.select("lang", F.inline(parts)).drop("done")
-    return rows.where((F.col("f") >= least) | (F.col("k") == 0))
+            itself = F.struct("key", "f", "e")
+            flow = _row(k - 1, F.substring_index(phrase, " ", k - 1), lang, F.col("f"), F.lit(0).cast("long"))
+            own = F.array(flow)
+            if k > 1:  # pieces that end in the gram end in its last words, too
+                last = _row(k - 1, F.substring_index(phrase, " ", 1 - k), lang, F.col("e"), F.col("e"))
+                own = F.when(F.col("e") > 0, F.array(flow, last)).otherwise(own)
+            own = F.when(F.col("f") >= least, F.concat(own, F.array(itself))).otherwise(own)
+            parts = F.when(F.col("key").startswith(chr(48 + k)), own).otherwise(F.array(itself))
+            rows = rows.select(F.inline(parts))
+    found = rows.select(lang.alias("lang"), phrase.alias("phrase"), (F.ascii("key") - 48).alias("k"), "f")
+    return found.where((F.col("f") >= least) | (F.col("k") == 0))
 
 
 def collocations(

@@ -11,6 +11,7 @@ from tracelantern.operators import chains, detect, extract, findings, rollup, sc
 from tracelantern.plans import report, stix
 from tracelantern.plans.analysis import Analysis
 from tracelantern.sources import event_records, keyword_rules, manifest, text_files, views
+from tracelantern.sources.store import Store
 from tracelantern.tables import frames
 from tracelantern.tables.ruleset import RuleSet
 
@@ -227,31 +228,71 @@ def json_report_files(spark: SparkSession, folder: str) -> DataFrame:
     return _short_id(report.as_json(documents.drop("tool", "version", "generated", "file")))
 
 
-def event_record_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Events written as binary records, 50 in a chunk, and read back."""
+def _little(number: Column, size: int) -> Column:
+    """Hex digits of a number, lowest byte first."""
+    digits = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*[F.substring(digits, k, 2) for k in range(2 * size - 1, 0, -2)])
 
-    def little(number: Column, size: int) -> Column:
-        digits = F.lpad(F.hex(number), 2 * size, "0")
-        return F.concat(*[F.substring(digits, k, 2) for k in range(2 * size - 1, 0, -2)])
 
-    rows = views.rendered_events(spark, folder).select("file_id", F.col("line_no").alias("id"), "line")
-    order = Window.partitionBy("file_id").orderBy("id")  # a file is a user's day
+def _event_chunks(rows: DataFrame) -> DataFrame:
+    """(file_id, chunk_no, chunk) of rows (file_id, id, line): hex of records, 50 in a chunk."""
+    order = Window.partitionBy("file_id").orderBy("id")  # a file is a user's or a type's day
     place = F.row_number().over(order) - 1
     # three marks tell where the text starts, after the record's head of 16 bytes
     text = F.hex(F.encode(F.concat(F.lit("\x01\x02\x03"), "line"), "UTF-16LE"))
-    head = F.concat(F.lit("2A2A0000"), little(F.length(text) / 2 + 16, 4), little(F.col("id"), 8))
+    head = F.concat(F.lit("2A2A0000"), _little(F.length(text) / 2 + 16, 4), _little(F.col("id"), 8))
     records = rows.select("file_id", F.floor(place / 50).cast("int").alias("chunk_no"), "id", F.concat(head, text).alias("record"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("id", "record"))), lambda r: r.record)
-    bodies = records.groupBy("file_id", "chunk_no").agg(
-        F.unhex(F.concat(F.lit("456C6643686E6B00"), F.array_join(ordered, ""))).alias("body")
-    )
-    return event_records.numbered_records(bodies).select(
+    return records.groupBy("file_id", "chunk_no").agg(F.concat(F.lit("456C6643686E6B00"), F.array_join(ordered, "")).alias("chunk"))
+
+
+def _record_fields(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "file_id", "line_no",
         F.regexp_extract("line", r"^RecordID:(\d+) ", 1).cast("long").alias("record_id"),
         F.regexp_extract("line", r"(?s)\x01\x02\x03(.*)", 1).alias("line"),
     )
 
 
+def event_record_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as binary records, 50 in a chunk, and read back."""
+    rows = views.rendered_events(spark, folder).select("file_id", F.col("line_no").alias("id"), "line")
+    bodies = _event_chunks(rows).select("file_id", "chunk_no", F.unhex("chunk").alias("body"))
+    return _record_fields(event_records.numbered_records(bodies))
+
+
+def mixed_log_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Rendered events as a folder of mixed files, a file per event type and day, read by suffix.
+
+    Errors lie in binary event files, sign-ups in event XML, all others in text files
+    whose names start with ``_``.
+    """
+    kind, day = F.col("event_type"), F.col("day")
+    suffix = F.when(kind == "error", ".evtx").when(kind == "signup", ".xml").otherwise(".log")
+    name = F.concat(F.lit("_"), kind, F.lit(" "), day, suffix)
+    rows = views.rendered_events(spark, folder).select(name.alias("file_id"), "event_type", F.col("line_no").alias("id"), "line")
+    element = F.concat(F.lit("<Event>\n"), F.regexp_replace("line", "[<>&]", "_"), F.lit("\n</Event>\n"))
+    texts = rows.where(kind != "error").select(
+        F.col("file_id").alias("name"), F.col("id").alias("part"),
+        F.when(kind == "signup", element).otherwise(F.concat("line", F.lit("\n"))).cast("binary").alias("body"),
+    )
+    chunks = _event_chunks(rows.where(kind == "error"))
+    pages = chunks.select(
+        F.col("file_id").alias("name"), (F.col("chunk_no") + 1).cast("long").alias("part"), F.unhex(F.rpad("chunk", 131072, "0")).alias("body")
+    )
+    header = F.unhex(F.rpad(F.hex(F.lit("ElfFile")), 8192, "0"))
+    heads = chunks.select(F.col("file_id").alias("name"), F.lit(0).cast("long").alias("part"), header.alias("body")).distinct()
+    path = stages.new_path(spark)
+    Store().write(texts.unionByName(pages).unionByName(heads), path)
+    lines = text_files.read_logs(spark, path)
+    short = F.regexp_extract(F.url_decode("file_id"), r"/_([^/]*)\.\w+$", 1)
+    records = _record_fields(lines)
+    binary = F.col("file_id").endswith(".evtx")
+    return lines.where(~binary).select(short.alias("file_id"), "line_no", F.lit(None).cast("long").alias("record_id"), "line").unionByName(
+        records.where(binary).withColumn("file_id", short)
+    )
+
+
 def ioc_tab(spark: SparkSession, folder: str) -> DataFrame:
     """The result tab of indicators: up to 100 values of a type."""
     return report.ioc_section(Analysis(views.event_log(spark, folder), kinds=extract.IOC_TYPES), 100)
@@ -399,6 +440,7 @@ def queries() -> dict[str, Query]:
         "keyword_rule_hits": keyword_rule_hits,
         "keyword_rule_report": keyword_rule_report,
         "event_record_decode": event_record_decode,
+        "mixed_log_scan": mixed_log_scan,
         "ioc_tab": ioc_tab,
         "correlation_section": correlation_section,
         "json_report_files": json_report_files,

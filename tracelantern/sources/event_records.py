@@ -1,82 +1,37 @@
-"""Binary event files: the text of every record, in chunk and record order.
+"""Binary event files: the text of every record, in chunk and record order."""
 
-A file is cut into its 64 KiB chunks in the JVM; chunks are spread over tasks and
-a small Python helper walks the records inside one chunk.
-"""
-
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Layout of the file.
-_HEADER, _CHUNK = 4096, 65536
-_CHUNK_MAGIC = b"ElfChnk\x00"
-_RECORD_MAGIC = b"\x2a\x2a\x00\x00"
+from tracelantern.sources.log_ranges import LogFolder, records
+from tracelantern.sources.store import Store
 
 
-def read_event_records(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """``lines`` of event files: ``RecordID:<id> <text>``; ``line_no`` is the record's place.
+def read_event_records(spark: SparkSession, path: str | list[str], store: Store | None = None) -> DataFrame:
+    """``lines`` of the ``.evtx`` files below a path: ``RecordID:<id> <text>``; ``line_no`` is the record's place.
 
-    ``options`` go to the reader.  A file must fit Spark's binary source (2 GB; the format itself ends at 4 GB).
+    Files of any size are read by ranges of chunks.
     """
-    return numbered_records(_chunks(spark, path, options))
+    return LogFolder(spark, path, store, only=F.lower("name").endswith(".evtx")).lines()
 
 
 def numbered_records(bodies: DataFrame) -> DataFrame:
-    """``lines`` of the records in ``bodies(file_id, chunk_no, body)``."""
+    """``lines`` of the records in ``bodies(file_id, chunk_no, body)``, each decoded once."""
     chunks = bodies.mapInPandas(_read_chunks, "file_id string, chunk_no int, records array<string>")
-    counts = chunks.select("file_id", "chunk_no", F.size("records").alias("cnt"))
     earlier = Window.partitionBy("file_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 32,768 chunks a file, one small row each
-    before = counts.select("file_id", "chunk_no", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("before"))
+    # at most 65,536 chunks a file
+    before = F.coalesce(F.sum(F.size("records")).over(earlier), F.lit(0))
     return (
-        chunks.join(before, ["file_id", "chunk_no"])
+        chunks.withColumn("before", before)
         .select("file_id", "before", F.posexplode("records").alias("pos", "line"))
         .select("file_id", (F.col("before") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
     )
 
 
-def _chunks(spark: SparkSession, path, options: dict[str, str]) -> DataFrame:
-    """(file_id, chunk_no, body) up to the first chunk of a file that lacks the magic."""
-    files = spark.read.format("binaryFile").options(**options).load(path).select(
-        F.col("_metadata.file_path").alias("file_id"), "content"
-    )
-    size = F.length("content")
-    starts = F.when(size > _HEADER + 8, F.sequence(F.lit(_HEADER), size - 9, F.lit(_CHUNK)))
-    magic = F.lit(_CHUNK_MAGIC)
-    first_bad = F.array_position(
-        F.transform("starts", lambda at: F.substring("content", at + 1, 8) == magic), F.lit(False)
-    )
-    run = F.when(first_bad > 0, first_bad - 1).otherwise(F.size("starts")).cast("int")
-    good = F.slice("starts", F.lit(1), run)
-    bodies = F.transform(good, lambda at: F.substring("content", at + 1, F.lit(_CHUNK)))
-    chunks = files.withColumn("starts", starts).where(F.col("starts").isNotNull())
-    chunks = chunks.select("file_id", F.posexplode(bodies).alias("chunk_no", "body"))
-    # chunks of one big file should not all stay in the task that read it
-    return chunks.repartition("file_id", "chunk_no")
-
-
 def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame(
-            {
-                "file_id": batch["file_id"],
-                "chunk_no": batch["chunk_no"],
-                "records": [_records(bytes(body)) for body in batch["body"]],
-            }
-        )
-
-
-def _records(chunk: bytes) -> list[str]:
-    found = []
-    at = chunk.find(_RECORD_MAGIC)
-    while 0 <= at <= len(chunk) - 16:
-        size, record_id = struct.unpack_from("<IQ", chunk, at + 4)
-        if size:
-            text = chunk[at:at + size].decode("utf-16le", errors="ignore")
-            found.append(f"RecordID:{record_id} {text}")
-        at = chunk.find(_RECORD_MAGIC, at + max(size, 1))
-    return found
+        found = [records(bytes(body)) for body in batch["body"]]
+        yield pd.DataFrame({"file_id": batch["file_id"], "chunk_no": batch["chunk_no"], "records": found})

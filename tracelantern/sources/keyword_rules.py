@@ -1,13 +1,13 @@
 """User rules from YAML files: a list of keywords, any of which is a hit."""
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelantern.sources.store import Store
 from tracelantern.tables.lookups import KEYWORD_CATEGORY, KEYWORD_DEFAULT, KEYWORD_WEIGHTS
 
 _SCHEMA = (
@@ -16,11 +16,29 @@ _SCHEMA = (
 )
 
 
-def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(stem, body) of the ``*.yml`` files of a folder; other suffixes are not rules."""
-    files = spark.read.option("pathGlobFilter", "*.yml").text(folder, wholetext=True)
-    stem = F.regexp_replace("_metadata.file_name", r"\.yml$", "")
-    return files.select(stem.alias("stem"), F.col("value").alias("body"))
+def read_rule_files(spark: SparkSession, folder: str, store: Store | None = None) -> DataFrame:
+    """(stem, body) of the ``*.yml`` files in a folder, whatever their names start with; null for a body that is not UTF-8."""
+    store = store or Store()
+    files = store.files(spark, folder, deep=False).where(F.col("name").endswith(".yml"))
+    bodies = files.select("file_id", F.regexp_replace("name", r"\.yml$", "").alias("stem")).mapInArrow(
+        _body_reader(store), "stem string, body string"
+    )
+    return bodies
+
+
+def _body_reader(store: Store) -> Callable:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                with store.open(row["file_id"]) as file:
+                    try:
+                        rows.append({"stem": row["stem"], "body": file.read().decode()})
+                    except UnicodeDecodeError:
+                        rows.append({"stem": row["stem"], "body": None})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("stem", pa.string()), ("body", pa.string())]))
+
+    return read
 
 
 def parse_rules(bodies: DataFrame) -> DataFrame:
@@ -36,20 +54,16 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("rejected").isNotNull()).select("stem", "rejected")
 
 
-def rule_folder(spark: SparkSession, log_folder: str) -> str | None:
+def rule_folder(log_folder: str, store: Store | None = None) -> str | None:
     """``sigma_rules`` beside the logs, else under the working folder, else none."""
-    for folder in (f"{log_folder.rstrip('/')}/sigma_rules", "sigma_rules"):
-        try:
-            spark.read.format("binaryFile").load(folder)
-            return folder
-        except AnalysisException:  # no such folder
-            continue
-    return None
+    store = store or Store()
+    folders = (f"{log_folder.rstrip('/')}/sigma_rules", "sigma_rules")
+    return next((folder for folder in folders if store.exists(folder)), None)
 
 
-def load_keyword_rules(spark: SparkSession, folder: str) -> DataFrame:
+def load_keyword_rules(spark: SparkSession, folder: str, store: Store | None = None) -> DataFrame:
     """Usable rules of a folder."""
-    return accepted(parse_rules(read_rule_files(spark, folder)))
+    return accepted(parse_rules(read_rule_files(spark, folder, store)))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

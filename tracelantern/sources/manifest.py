@@ -1,13 +1,14 @@
 """File facts: name, type, size, hashes, number of lines."""
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelantern.sources.store import Store
+
 _MIB = 1024 * 1024
 
 
@@ -39,28 +40,30 @@ def text_manifest(table: DataFrame, name: Column, text: Column, lines: DataFrame
     return facts.join(counts, "file_id", "left").na.fill(0, ["total_lines"])
 
 
-# Files up to this size are hashed in the JVM; larger ones are streamed.
-_MOST_IN_ROW = 256 * _MIB
+_FACTS = pa.schema([
+    ("file_id", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("md5", pa.string()), ("sha256", pa.string()),
+])
 
 
-def file_manifest(spark: SparkSession, path: str | list[str], lines: DataFrame) -> DataFrame:
-    """(file_id, name, type, size_bytes, size_label, md5, sha256, total_lines) of files."""
-    listed = spark.read.format("binaryFile").load(path).withColumn("file_id", F.col("_metadata.file_path"))
-    small = listed.where(F.col("length") <= _MOST_IN_ROW).select(
-        "file_id", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")
-    )
-    # the content column is not read for these
-    large = listed.where(F.col("length") > _MOST_IN_ROW).select("file_id", "length")
-    hashed = small.unionByName(
-        large.mapInPandas(_hash_files, "file_id string, length long, md5 string, sha256 string")
+def file_manifest(spark: SparkSession, path: str | list[str], lines: DataFrame, store: Store | None = None) -> DataFrame:
+    """(file_id, name, type, size_bytes, size_label, md5, sha256, total_lines) of files.
+
+    A file of any size is hashed in one pass over its pieces, since a digest runs from
+    the first byte to the last; its name may start with any character.
+    """
+    store = store or Store()
+    files = store.files(spark, path)
+    number, total = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(number, max(spark.sparkContext.defaultParallelism, total // (256 * _MIB))))
+    hashed = files.repartition(tasks).mapInArrow(
+        _hasher(store), "file_id string, name string, size long, md5 string, sha256 string"
     )
-    name = F.element_at(F.split(F.url_decode(F.replace("file_id", F.lit("+"), F.lit("%2B"))), "/"), -1)
     facts = hashed.select(
         "file_id",
-        name.alias("name"),
-        file_type(F.col("file_id")).alias("type"),
-        F.col("length").alias("size_bytes"),
-        size_label(F.col("length")).alias("size_label"),
+        "name",
+        file_type(F.col("name")).alias("type"),
+        F.col("size").alias("size_bytes"),
+        size_label(F.col("size")).alias("size_label"),
         "md5",
         "sha256",
     )
@@ -68,25 +71,17 @@ def file_manifest(spark: SparkSession, path: str | list[str], lines: DataFrame)
     return facts.join(counts, "file_id", "left").na.fill(0, ["total_lines"])
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of files, read in pieces: a hash runs over a whole file in one go."""
-    for batch in batches:
-        digests = [_digests(uri) for uri in batch["file_id"]]
-        yield batch.assign(md5=[d[0] for d in digests], sha256=[d[1] for d in digests])
-
-
-def _store_name(uri: str) -> str:
-    """The address of a file as Arrow's file systems spell it."""
-    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^dbfs:/+", "file:///dbfs/", uri))
-
-
-def _digests(uri: str) -> tuple[str, str]:
-    from pyarrow.fs import FileSystem
-
-    store, inner = FileSystem.from_uri(_store_name(uri))
-    md5, sha256 = hashlib.md5(), hashlib.sha256()
-    with store.open_input_stream(inner) as stream:
-        while piece := stream.read(8 * _MIB):
-            md5.update(piece)
-            sha256.update(piece)
-    return md5.hexdigest(), sha256.hexdigest()
+def _hasher(store: Store) -> Callable:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                md5, sha256 = hashlib.md5(), hashlib.sha256()
+                with store.open(row["file_id"]) as file:
+                    while piece := file.read(8 * _MIB):
+                        md5.update(piece)
+                        sha256.update(piece)
+                rows.append(row | {"md5": md5.hexdigest(), "sha256": sha256.hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, _FACTS)
+
+    return hashed

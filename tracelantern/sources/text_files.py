@@ -5,11 +5,12 @@ lines of each split; a running sum over splits, a few rows per file, turns
 positions in a split into line numbers.  Lines themselves are not shuffled.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelantern.functions.stages import kept
-from tracelantern.sources.event_records import read_event_records
+from tracelantern.sources.log_ranges import LogFolder
+from tracelantern.sources.store import Store
 
 _SPLIT = ["file_id", "split_start"]
 
@@ -30,20 +31,17 @@ def read_event_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return pieces.withColumn("line", F.concat(event, F.lit(end)))
 
 
-def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``lines`` of a folder of mixed logs: records of ``.evtx`` files, lines of all others."""
-    is_events = F.lower("_metadata.file_name").endswith(".evtx")
-    records = read_event_records(spark, path, pathGlobFilter="*.[eE][vV][tT][xX]")
-    return _numbered(_scan(spark, path, only=~is_events)).unionByName(records)
+def read_logs(spark: SparkSession, path: str | list[str], store: Store | None = None) -> DataFrame:
+    """``lines`` of a folder of mixed logs, read by suffix: event files, event XML, and text for all others."""
+    return LogFolder(spark, path, store).lines()
 
 
-def _scan(spark: SparkSession, path, line_end: str | None = None, only: Column | None = None) -> DataFrame:
+def _scan(spark: SparkSession, path, line_end: str | None = None) -> DataFrame:
     # both passes must see the same splits, also when executors come or go between them
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     reader = spark.read if line_end is None else spark.read.option("lineSep", line_end)
-    rows = reader.text(path)
-    return (rows if only is None else rows.where(only)).select(
+    return reader.text(path).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("at"),
