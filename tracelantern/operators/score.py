@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from tracelantern.tables.lookups import LOWEST_LEVEL, THREAT_LEVELS
 
 
-def rule_scores(hit_counts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(file_id, rule_id, cnt, weight, rule_score, first_seen).
-
-    The first hit counts the weight, hits two to five 0.3 of it, later hits 0.1.
-    """
-    n, weight = F.col("cnt"), F.col("weight").cast("double")
-    score = (
+def rule_points(n: Column, weight: Column) -> Column:
+    """The first hit counts the weight, hits two to five 0.3 of it, later hits 0.1."""
+    return (
         F.when(n == 1, weight)
         .when(n <= 5, weight + (n - 1) * (weight * 0.3))
         .otherwise(weight + 4 * (weight * 0.3) + (n - 5) * (weight * 0.1))
     )
+
+
+def rule_scores(hit_counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_id, rule_id, cnt, weight, rule_score, first_seen)."""
+    score = rule_points(F.col("cnt"), F.col("weight").cast("double"))
     weights = rules.select("rule_id", "weight")
     return hit_counts.join(weights, "rule_id").select(
         "file_id", "rule_id", "cnt", "weight", score.alias("rule_score"), "first_seen"

@@ -1,8 +1,7 @@
 """All results about a table of lines.
 
-Counts, sets, scores and conclusions come from one roll-up, computed in one scan
-of the lines and kept.  Two more scans happen only when asked for: one for the log
-period, one for outputs that quote lines.
+Counts, sets, the period, scores and conclusions come from one roll-up, computed in one
+scan of the lines and kept.  A second scan happens only for outputs that quote lines.
 """
 
 from functools import cached_property
@@ -30,12 +29,12 @@ class Analysis:
         lines: DataFrame,
         rules: RuleSet | None = None,
         correlations=CORRELATIONS,
-        kinds: tuple[str, ...] = rollup.ALL,
+        kinds: tuple[str, ...] = rollup.DETAILED,
     ):
         self.lines = lines
         self.rules = rules or RuleSet.builtin()
         self._spark = lines.sparkSession
-        self._correlation_rows = correlations
+        self.correlation_rows = correlations
         self._kinds = kinds
         self._kept: list[str] = []
 
@@ -56,7 +55,7 @@ class Analysis:
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return frames.correlations(self._spark, self._correlation_rows)
+        return frames.correlations(self._spark, self.correlation_rows)
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -64,8 +63,13 @@ class Analysis:
         found = rollup.rollup(self.lines, self.rules, self._kinds)
         return kept(found, "kind", "file_id", path=self._kept[-1])
 
+    def keep(self, found: DataFrame) -> DataFrame:
+        """A table written beside the roll-up."""
+        self._kept.append(new_path(self._spark))
+        return kept(found, path=self._kept[-1])
+
     def _counted(self, kind: str) -> DataFrame:
-        return self.rollup.where(F.col("kind") == kind).drop("kind")
+        return self.rollup.where(F.col("kind") == kind).select("file_id", "value", "cnt", "first_seen")
 
     @cached_property
     def files(self) -> DataFrame:
@@ -117,7 +121,10 @@ class Analysis:
 
     @cached_property
     def period(self) -> DataFrame:
-        return rollup.log_period(self.lines)
+        if rollup.STAMP not in self._kinds:
+            return rollup.log_period(self.lines)
+        line = self.rollup.where((F.col("kind") == rollup.LINE) & F.col(rollup.STAMPS[0]).isNotNull())
+        return line.select("file_id", *rollup.period_of([F.col(name) for name in rollup.STAMPS]))
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -150,7 +157,9 @@ class Analysis:
 
     def top_tokens(self, n: int) -> DataFrame:
         """The n most frequent tokens of each kind (ip, user, event_id) of a file."""
-        counts = self.rollup.where(F.col("kind").isin(rollup.IP, rollup.USER, rollup.EVENT_ID))
+        counts = self.rollup.where(F.col("kind").isin(rollup.IP, rollup.USER, rollup.EVENT_ID)).select(
+            "file_id", "kind", "value", "cnt", "first_seen"
+        )
         return tops.top_tokens(counts, n, ["file_id", "kind"])
 
     def top_ips(self, n: int = 10) -> DataFrame:

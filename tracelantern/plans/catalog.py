@@ -193,7 +193,7 @@ def raw_head(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_report(spark: SparkSession, folder: str) -> DataFrame:
-    return report.file_report(Analysis(views.event_log(spark, folder)))
+    return report.file_report(Analysis(views.event_log(spark, folder), kinds=rollup.ALL))
 
 
 def page_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -305,7 +305,7 @@ def correlation_section(spark: SparkSession, folder: str) -> DataFrame:
 def keyword_rule_report(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and counters when user rules run beside the built-in ones."""
     rules = RuleSet.builtin().plus_frame(_user_rules(spark))
-    found = report.file_report(Analysis(views.event_log(spark, folder), rules))
+    found = report.file_report(Analysis(views.event_log(spark, folder), rules, kinds=rollup.ALL))
     return found.select(
         "file_id", "total_lines", "rules_triggered", "techniques", "correlations", "threat_score", "threat_level",
         "detection_rules_total", "keyword_rules_loaded", "rule_categories",

@@ -6,104 +6,40 @@ from pyspark.sql import functions as F
 from tracelantern import __version__
 from tracelantern.functions.text import shortened
 from tracelantern.operators import findings, rollup, score, tops
+from tracelantern.plans import dossier
 from tracelantern.plans.analysis import Analysis
+from tracelantern.plans.dossier import Limits
 from tracelantern.tables import frames
 
 TOOL = "tracelantern"
 
-# How many entries the document keeps.
-TOP_IPS, TOP_USERS, TOP_EVENT_IDS = 10, 10, 20
-IOCS_PER_TYPE, DETAILS_PER_RULE = 100, 50
+DETAILS_PER_RULE = Limits.details_per_rule
 
 
 def file_report(analysis: Analysis) -> DataFrame:
     """One flat row per file: period, counters, score, rule-set facts."""
-    return (
-        analysis.headline.join(analysis.period, "file_id", "left")
-        .withColumn("score_bar", score.score_bar(F.col("threat_score")))
-        .withColumn("detection_rules_total", F.lit(len(analysis.rules)))
-        .withColumn("keyword_rules_loaded", F.lit(analysis.rules.keyword_rules()))
-        .withColumn("rule_categories", F.lit(len(analysis.rules.categories())))
-    )
-
-
-def _listed(ranked: DataFrame, order: str, name: str, *fields: str | Column, keys=("file_id",)) -> DataFrame:
-    """(keys, name): the ranked rows of a group as a list; the lists are capped upstream."""
-    entry = F.struct(*fields)
-    return ranked.groupBy(*keys).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col(order).alias("place"), entry.alias("entry")))),
-            lambda e: e.entry,
-        ).alias(name)
-    )
-
-
-def _top_lists(analysis: Analysis) -> DataFrame:
-    """(file_id, top_ips, top_users, event_id_summary): ranked (value, cnt) lists."""
-    lists = {
-        "top_ips": (rollup.IP, TOP_IPS),
-        "top_users": (rollup.USER, TOP_USERS),
-        "event_id_summary": (rollup.EVENT_ID, TOP_EVENT_IDS),
-    }
+    return dossier.flat(analysis.rollup, analysis.rules, analysis.correlation_rows).withColumns({
+        "score_bar": score.score_bar(F.col("threat_score")),
+        "detection_rules_total": F.lit(len(analysis.rules)),
+        "keyword_rules_loaded": F.lit(analysis.rules.keyword_rules()),
+        "rule_categories": F.lit(len(analysis.rules.categories())),
+    })
 
-    def listed(kind: str, n: int) -> Column:
-        wanted = (F.col("kind") == kind) & (F.col("rank") <= n)
-        rows = F.sort_array(F.collect_list(F.when(wanted, F.struct("rank", "value", "cnt"))))
-        return F.transform(rows, lambda row: F.struct(row.value.alias("value"), row.cnt.alias("cnt")))
 
-    top = analysis.top_tokens(max(n for _, n in lists.values()))
-    return top.groupBy("file_id").agg(*[listed(*lists[name]).alias(name) for name in lists])
-
-
-def _mapped(ranked: DataFrame, order: str, name: str, key: str, value: Column) -> DataFrame:
-    """(file_id, name): the ranked rows of a file as a map in that order."""
-    entries = F.sort_array(
-        F.collect_list(F.struct(F.col(order).alias("place"), F.col(key).alias("key"), value.alias("value")))
-    )
-    return ranked.groupBy("file_id").agg(
-        F.map_from_entries(F.transform(entries, lambda e: F.struct(e.key, e.value))).alias(name)
-    )
-
-
-def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
+def documents(analysis: Analysis, files: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
     """One nested document per file with the 25 report keys, as typed columns.
 
     ``files`` may bring the facts of ``sources.manifest``; without it the hashes and the
-    size are null, as for lines that come from tables.
+    size are null, as for lines that come from tables.  ``dossier.left_out`` counts what
+    ``limits`` keep out.
     """
-    spark = analysis.lines.sparkSession
-    known_iocs = tops.first_iocs(analysis.iocs, IOCS_PER_TYPE)
-    type_seen = analysis.iocs.groupBy("file_id", "ioc_type").agg(F.min("first_seen").alias("type_seen"))
-    ioc_lists = (
-        known_iocs.groupBy("file_id", "ioc_type")
-        .agg(F.sort_array(F.collect_list("value")).alias("found"))
-        .join(type_seen, ["file_id", "ioc_type"])
-    )
-    summary = findings.findings_summary(analysis.hit_counts, analysis.rule_frame)
-    details = _listed(
-        findings.first_findings(analysis.hits, DETAILS_PER_RULE), "rank", "details",
-        F.col("line_no").alias("line"), "content", keys=("file_id", "rule_id"),
-    ).join(analysis.hit_counts.select("file_id", "rule_id", "first_seen"), ["file_id", "rule_id"])
-    parts = [
-        analysis.period,
-        analysis.scores,
-        _top_lists(analysis),
-        _listed(
-            findings.named(tops.top_techniques(analysis.techniques), ""), "rank", "mitre_techniques_detected",
-            F.col("technique_id").alias("id"), F.col("technique_name").alias("name"), "hits",
-        ),
-        _listed(analysis.matches, "corr_ord", "correlations", "name", "severity", "description"),
-        _mapped(ioc_lists, "type_seen", "iocs", "ioc_type", F.col("found")),
-        _mapped(
-            summary, "first_seen", "findings_summary", "rule_id",
-            F.struct(F.col("cnt").alias("count"), "severity", "category", "description",
-                     F.col("technique_id").alias("mitre")),
-        ),
-        _mapped(details, "first_seen", "findings_detail", "rule_id", F.col("details")),
-    ]
-    whole = analysis.counters
-    for part in parts:
-        whole = whole.join(part, "file_id", "left")
+    rows = analysis.rollup
+    first = analysis.keep(dossier.ranked(rows, limits))
+    texts = dossier.fetched(analysis.lines, dossier.quoted(first, limits))
+    whole = dossier.counters(rows).join(dossier.lists(rows, first, texts), "file_id", "left")
+    made = dossier.Conclusions(analysis.rules, analysis.correlation_rows, F.col("rule"))
+    whole = whole.withColumn("matches", made.matches())
+    whole = whole.withColumn("threat_score", made.threat_score(F.col("matches")))
     if files is None:
         whole = whole.withColumns({
             "file": F.col("file_id"),
@@ -118,10 +54,11 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
         )
         whole = whole.join(facts, "file_id", "left")
 
-    def or_empty(name: str) -> Column:
-        kind = whole.schema[name].dataType
-        empty = F.create_map() if kind.typeName() == "map" else F.array()
-        return F.coalesce(F.col(name), empty.cast(kind)).alias(name)
+    def entries(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast("array<struct<at:long,name:string,text:string,n:long>>"))
+
+    def pairs(kind: str) -> Column:
+        return F.transform(entries(kind), lambda t: F.struct(t.text.alias("value"), t.n.alias("cnt")))
 
     return whole.select(
         "file_id",
@@ -129,13 +66,17 @@ def documents(analysis: Analysis, files: DataFrame | None = None) -> DataFrame:
         F.lit(__version__).alias("version"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated"),
         "file", "file_md5", "file_sha256", "file_size_bytes",
-        "total_lines", "log_start", "log_end", "unique_ips", "unique_users", "threat_score", "threat_level",
-        or_empty("top_ips"), or_empty("top_users"), or_empty("event_id_summary"),
+        "total_lines", "log_start", "log_end", "unique_ips", "unique_users",
+        "threat_score", score.threat_level(F.col("threat_score")).alias("threat_level"),
+        pairs(rollup.IP).alias("top_ips"), pairs(rollup.USER).alias("top_users"), pairs(rollup.EVENT_ID).alias("event_id_summary"),
         F.lit(len(analysis.rules)).alias("detection_rules_total"),
         F.lit(analysis.rules.keyword_rules()).alias("sigma_rules_loaded"),
         F.col("rules_triggered").alias("detection_rules_triggered"),
-        *[or_empty(n) for n in ("mitre_techniques_detected", "correlations", "iocs",
-                                "findings_summary", "findings_detail")],
+        made.techniques().alias("mitre_techniques_detected"),
+        F.transform("matches", lambda c: F.struct(c["name"].alias("name"), c.severity.alias("severity"), c.description.alias("description"))).alias("correlations"),
+        dossier.ioc_map(entries("ioc")).alias("iocs"),
+        made.summary().alias("findings_summary"),
+        made.details(entries("detail")).alias("findings_detail"),
     )
 
 
