@@ -1,13 +1,14 @@
 """Which rules match a line, by Arrow's linear-time regex engine, batch by batch.
 
 Most lines match few rules.  Every match of a rule must contain certain literal
-words, so a scan for the words of a dozen rules at once comes first; the rules' own
-regexes follow only on the lines that have some.  Rules in a syntax that this engine
+words, so one pass with an automaton over the words of all rules comes first, however many
+rules there are; a rule's own regexes follow only on the lines that have a word of it.  Rules in a syntax that this engine
 lacks (look-around and back references in user rules) are left to an exact search in
 the JVM, on the lines that have their words.
 
-The scan is an Arrow UDF because its automaton reads each byte once per group of
-rules and never backtracks.  The same scan in JVM regexes or substring tests took several
+The scan is an Arrow UDF because its automata read each byte once and never backtrack.
+Where the automaton's library is not installed, the words of a dozen rules at a time are
+looked for in a pass of their own.  The same scan in JVM regexes or substring tests took several
 times as long, and a long line that nearly matches ``a.*b.*c`` could hold up a
 backtracking search for hours.
 """
@@ -24,6 +25,11 @@ from pyspark.sql import functions as F
 
 from tracelantern.functions.dialect import to_re2
 
+try:  # all words of all rules in one pass
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 try:  # the parse tree of the standard library; without it every rule is searched
     from re import _parser
 except ImportError:
@@ -59,17 +65,20 @@ class RuleScan:
         tests = []
         for place, (patterns, per_pattern) in enumerate(zip(rules, choices), 1):
             picked = [self._pick(c) for c in per_pattern]
-            words = None if None in picked else set().union(*picked)
-            if words is not None and len(words) > _PIECE:
+            words = None if None in picked else frozenset().union(*picked)
+            if words is not None and len(words) > _PIECE and ahocorasick is None:
                 words = None  # as many tests as the rule has itself
-            tests.append(_RuleTest(place, words and _alternation(words), _pieces(patterns)))
+            tests.append(_RuleTest(place, words, _pieces(patterns)))
         self.open_places = [t.place for t in tests if t.regexes is None]
-        guarded = [t for t in tests if t.words is not None]
+        guarded = [t for t in tests if t.words]
+        self._words = _WordScan(guarded) if guarded and ahocorasick is not None else None
+        if self._words:
+            guarded = []
         self._groups = [
-            ("|".join(t.words for t in guarded[start:start + _GROUP]), guarded[start:start + _GROUP])
+            (_alternation(set().union(*(t.words for t in guarded[start:start + _GROUP]))), guarded[start:start + _GROUP])
             for start in range(0, len(guarded), _GROUP)
         ]
-        self._groups += [(None, [t]) for t in tests if t.words is None]
+        self._groups += [(None, [t]) for t in tests if not t.words]
 
     def found(self, text: Column, probes: tuple[str, ...] = ()) -> Column:
         """Array of the 1-based places of the rules found in a folded line.
@@ -78,13 +87,13 @@ class RuleScan:
         place is raised by ``OPEN``.  ``probes``
         are further regexes over the same text: -1 stands for the first, and so on.
         """
-        groups = self._groups
-        if not groups and not probes:
+        words, groups = self._words, self._groups
+        if not words and not groups and not probes:
             return F.array().cast("array<int>")
 
         @F.arrow_udf("array<int>")
         def scan(texts: pa.Array) -> pa.Array:
-            return _scan_texts(texts, groups, probes)
+            return _scan_texts(texts, words, groups, probes)
 
         return scan(text)
 
@@ -159,12 +168,49 @@ def _pieces(patterns: tuple[str, ...]) -> tuple[str, ...] | None:
 
 class _RuleTest(NamedTuple):
     place: int
-    words: str | None  # regex for words of which every match has one
+    words: frozenset[str] | None  # of which every match has one
     regexes: tuple[str, ...] | None  # found in just the texts that the rule matches
 
 
-def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
-    """Per text, the rules found: words of groups first, then the groups' rules."""
+class _WordScan:
+    """Which rules have a word in a text, for all rules in one pass."""
+
+    def __init__(self, tests: list[_RuleTest]):
+        self.tests = tests
+        by_word: dict[str, list[int]] = {}
+        for n, test in enumerate(tests):
+            for word in test.words:
+                by_word.setdefault(word, []).append(n)
+        self._automaton = ahocorasick.Automaton()
+        for k, word in enumerate(by_word):
+            self._automaton.add_word(word, k)
+        self._automaton.make_automaton()
+        # the tests of each word, one after the other
+        self._owners = np.array([n for owners in by_word.values() for n in owners], np.int64)
+        self._ends = np.cumsum([len(owners) for owners in by_word.values()])
+        # between texts; words are lower case, so none has it
+        self._between = "A"
+
+    def near(self, texts: pa.Array) -> list[tuple[_RuleTest, np.ndarray]]:
+        """Rules and the rows in which they have a word, in order of the rules."""
+        each = texts.to_pylist()
+        starts = np.cumsum([0, *(len(text) + 1 for text in each)])
+        found = np.array(list(self._automaton.iter(self._between.join(each))), np.int64).reshape(-1, 2)
+        row = np.searchsorted(starts, found[:, 0], "right") - 1
+        pair = np.unique(found[:, 1] * len(each) + row)
+        word, row = pair // max(1, len(each)), pair % max(1, len(each))
+        count = np.diff(self._ends, prepend=0)[word]
+        # every word stands for its tests
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        test = self._owners[np.repeat(self._ends[word], count) - np.repeat(count, count) + at]
+        pair = np.unique(test * len(each) + np.repeat(row, count))
+        test, row = pair // max(1, len(each)), pair % max(1, len(each))
+        edges = np.flatnonzero(np.diff(test, prepend=-1))
+        return [(self.tests[test[e]], row[e:stop]) for e, stop in zip(edges, [*edges[1:], len(row)])]
+
+
+def _scan_texts(text: pa.Array, words: _WordScan | None, groups, probes) -> pa.Array:
+    """Per text, the rules found: words first, then the regexes of the rules that have one."""
     rows, places = [], []
 
     def note(hit: np.ndarray, place: int) -> None:
@@ -177,22 +223,29 @@ def _scan_texts(text: pa.Array, groups, probes) -> pa.Array:
         hit = pc.match_substring_regex(text.take(indices), regex)
         return indices.take(pc.indices_nonzero(hit)).to_numpy()
 
+    def decide(test: _RuleTest, near: pa.Array) -> None:
+        if test.regexes is None:
+            note(near.to_numpy(), test.place + OPEN)
+            return
+        rest = near
+        for regex in test.regexes:
+            hit = matching(rest, regex)
+            note(hit, test.place)
+            if len(test.regexes) > 1:
+                rest = pa.array(np.setdiff1d(rest.to_numpy(), hit, assume_unique=True))
+
     everything = pa.array(np.arange(len(text)))
     for n, probe in enumerate(probes, 1):
         note(matching(everything, probe), -n)
-    for words, tests in groups:
-        near = everything if words is None else pc.indices_nonzero(pc.match_substring_regex(text, words))
+    for test, near in words.near(text) if words and len(text) else ():
+        decide(test, pa.array(near))
+    for regex, tests in groups:
+        near = everything if regex is None else pc.indices_nonzero(pc.match_substring_regex(text, regex))
         for test in tests:
-            if test.regexes is None:
-                note(near.to_numpy(), test.place + OPEN)
-                continue
-            rest = near
-            for regex in test.regexes:
-                hit = matching(rest, regex)
-                note(hit, test.place)
-                if len(test.regexes) > 1:
-                    rest = pa.array(np.setdiff1d(rest.to_numpy(), hit, assume_unique=True))
-    row = np.concatenate(rows).astype(np.int64)
-    order = np.argsort(row, kind="stable")
+            decide(test, near)
+    if not rows:
+        return pa.array([[]] * len(text), pa.list_(pa.int32()))
+    row, place = np.concatenate(rows).astype(np.int64), np.concatenate(places)
+    order = np.lexsort((place, row))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)[order]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order]))
