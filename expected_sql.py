@@ -5,6 +5,8 @@ plain joins and windows.  RE2 reads ``\\b \\d \\s`` as ASCII, so texts that may
 other letters go through ``ascii_view`` first, which keeps every boundary in place.
 """
 
+import uuid
+
 from tracelantern.sources.phrases import PHRASES
 from tracelantern.tables import lookups
 from tracelantern.tables.correlations import CORRELATIONS
@@ -207,6 +209,26 @@ WITH_USER_RULE = (*DETECTION_RULES, (
     "sigma_console_tools", "HIGH", 25, "Sigma Rule", "T1059.001", "Console tools in service sessions",
     ("whoami /all", "net view", ".*powershell.*hidden", "systeminfo collected"),
 ))
+# The built-in rules and those of the rule files of ``plans.catalog``.
+WITH_RULE_FILES = (
+    *DETECTION_RULES,
+    ("sigma__odd name", "CRITICAL", 40, "Sigma Rule", "", "Odd name", ("net view",)),
+    ("sigma_console_tools", "LOW", 5, "Sigma Rule", "T1135", "Only views", ("net view", "vssadmin")),
+)
+OWN_CORRELATION_ROWS = values(
+    "correlation_rows", "corr_ord, name, severity, score_boost, requires, description",
+    [(n, *c) for n, c in enumerate((*CORRELATIONS, (
+        "Login then account", "HIGH", 7, ("account_creation", "failed_login"), "A failed login and a new account in one log",
+    )), 1)],
+)
+NULLED_LOG = (
+    EVENT_LOG.replace("event_log AS", "raw_log AS", 1),
+    "event_log AS (SELECT file_id, line_no, CASE WHEN NOT contains(line, ' audit ') THEN line END AS line FROM raw_log)",
+)
+# UUID of version 5 in the name space of version 5 of 'tracelantern' among domain names.
+UUID_OF_PATTERN = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+    || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+EXPORT_SPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "tracelantern").hex
 # Rendered events as files, one per event type and day.
 FILE_LOG = (
     EVENT_LOG.replace("event_log AS", "rendered AS", 1),
@@ -503,6 +525,32 @@ FROM headline LEFT JOIN period USING (file_id)""", *EVENT_HEADLINE, STAMPS, PERI
   {len(WITH_USER_RULE)} AS detection_rules_total, 1 AS keyword_rules_loaded,
   {len({r[3] for r in WITH_USER_RULE})} AS rule_categories FROM headline""",
             EVENT_LOG, hits_cte("event_log", WITH_USER_RULE), COUNTS, rule_rows(WITH_USER_RULE), *EVENT_HEADLINE[4:]),
+        "rule_file_report": sql(
+            f"""SELECT file_id, rules_triggered, techniques, threat_score, threat_level,
+  {len(WITH_RULE_FILES)} AS detection_rules_total, 2 AS keyword_rules_loaded FROM headline""",
+            EVENT_LOG, hits_cte("event_log", WITH_RULE_FILES), COUNTS, rule_rows(WITH_RULE_FILES), *EVENT_HEADLINE[4:]),
+        "own_correlation": sql(
+            "SELECT file_id, correlations, threat_score, threat_level FROM headline",
+            *[OWN_CORRELATION_ROWS if cte is CORRELATION_ROWS else cte for cte in EVENT_HEADLINE]),
+        "null_lines": sql(
+            """SELECT file_id, total_lines, unique_ips, unique_users, rules_triggered, total_iocs, threat_score
+FROM headline""", *NULLED_LOG, *EVENT_HEADLINE[1:]),
+        "json_report_export": sql(
+            """SELECT f.file_id, f.total_lines, s.threat_score, s.threat_level,
+  coalesce(n, 0)::INT AS rules, coalesce(q, 0)::INT AS quoted
+FROM files f JOIN scores s USING (file_id)
+LEFT JOIN (SELECT file_id, count(*) AS n, sum(cnt) AS q FROM counts GROUP BY 1) c USING (file_id)""",
+            DOC_LINES, ascii_view("plain", "doc_lines"), hits_cte("plain"), COUNTS, RULES, RULED,
+            FILES.format(source="doc_lines"), CORRELATION_ROWS, MATCHES, SCORED, SCORES),
+        "stix_export": sql(
+            f"""SELECT file_id, 'indicator--' || {UUID_OF_PATTERN} AS id, '2024-05-06T07:08:09.000Z' AS created,
+  '2024-05-06T07:08:09.000Z' AS modified, name, pattern
+FROM (SELECT *, sha1(unhex('{EXPORT_SPACE}') || encode(pattern)) AS h
+      FROM (SELECT file_id, upper(ioc_type) || ': ' || left(value, 80) AS name,
+                   CASE WHEN stix_type = 'file' THEN '[file:hashes.' || chr(39) || upper(ioc_type) || chr(39) || ' = ' || chr(39) || value || chr(39) || ']'
+                        ELSE '[' || stix_type || ':value = ' || chr(39) || value || chr(39) || ']' END AS pattern
+            FROM (SELECT *, {stix_case()} AS stix_type FROM ioc_set) WHERE stix_type IS NOT NULL))""",
+            EVENT_LOG, IOCS, IOC_SET),
         "stix_bundle": sql(
             f"""SELECT file_id, '{{"type":"bundle","id":"bundle--ID","objects":['
     || string_agg(object, ',' ORDER BY ioc_type, rank) || ']}}' AS bundle

@@ -109,7 +109,8 @@ def test_report_with_file_facts(spark, tmp_path):
         kept_at = Path(analysis._kept[0])
         assert kept_at.exists()
     assert not kept_at.exists()
-    written = [json.loads(line) for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    written = [json.loads(f.read_text()) for f in (tmp_path / "out").iterdir()]
+    assert [f.name.endswith("a.log.json") for f in (tmp_path / "out").iterdir()] == [True]
     assert [(d["file"], d["file_md5"], d["file_size_bytes"], d["total_lines"]) for d in written] == [
         ("a.log", hashlib.md5(data).hexdigest(), len(data), 2)
     ]

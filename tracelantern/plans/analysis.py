@@ -32,7 +32,7 @@ class Analysis:
         kinds: tuple[str, ...] = rollup.DETAILED,
     ):
         self.lines = lines
-        self.rules = rules or RuleSet.builtin()
+        self.rules = RuleSet.builtin() if rules is None else rules
         self._spark = lines.sparkSession
         self.correlation_rows = correlations
         self._kinds = kinds

@@ -13,6 +13,7 @@ from tracelantern.plans.analysis import Analysis
 from tracelantern.sources import event_records, keyword_rules, manifest, text_files, views
 from tracelantern.sources.store import Store
 from tracelantern.tables import frames
+from tracelantern.tables.correlations import CORRELATIONS
 from tracelantern.tables.ruleset import RuleSet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,6 +221,84 @@ def stix_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return bundles.withColumn("bundle", fixed)
 
 
+# When the exports of the next query are said to be made.
+EXPORTED = "2024-05-06 07:08:09"
+
+
+def stix_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Every indicator of every file, no limit, with its id and times, by way of bundles on disk.
+
+    The export is written twice, a file per log file; the second takes the place of the first.
+    """
+    objects = stix.stix_objects(stix.stix_indicators(_iocs(spark, folder), per_type=None), F.lit(EXPORTED).cast("timestamp"))
+    path = stages.new_path(spark)
+    for _ in range(2):
+        stix.write_bundles(stix.stix_bundle(objects), path)
+    body = F.from_json("value", "type string, id string, objects array<struct<id:string,created:string,modified:string,name:string,pattern:string>>")
+    name = F.regexp_extract(F.url_decode(F.url_decode("_metadata.file_name")), r"^(.*)\.stix\.json$", 1)
+    written = spark.read.text(path, wholetext=True).select(name.alias("file_id"), body.alias("bundle"))
+    return written.select("file_id", F.inline("bundle.objects"))
+
+
+def json_report_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of documents as files, written twice and read back: what is in each, and how large its lists are."""
+    path = stages.new_path(spark)
+    with Analysis(views.doc_lines(spark, folder)) as analysis:
+        documents = report.documents(analysis, limits=report.Limits(None, None, None, None, None)).drop("generated")
+        for _ in range(2):
+            report.write_json(documents, path)
+    fields = "file string, total_lines long, threat_score int, threat_level string, findings_detail map<string,array<struct<line:long,content:string>>>"
+    written = spark.read.text(path, wholetext=True).select(F.from_json("value", fields).alias("r")).select("r.*")
+    return written.select(
+        F.col("file").alias("file_id"), "total_lines", "threat_score", "threat_level",
+        F.size("findings_detail").alias("rules"),
+        F.aggregate(F.map_values("findings_detail"), F.lit(0), lambda n, lines: n + F.size(lines)).alias("quoted"),
+    )
+
+
+def null_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of event files in which every line of an ``audit`` event has lost its text."""
+    lines = views.event_log(spark, folder).withColumn("line", F.when(~F.col("line").contains(" audit "), F.col("line")))
+    return report.file_report(Analysis(lines, kinds=rollup.ALL)).select(
+        "file_id", "total_lines", "unique_ips", "unique_users", "rules_triggered", "total_iocs", "threat_score"
+    )
+
+
+# A correlation of a user's own beside the built-in ones.
+OWN_CORRELATION = ("Login then account", "HIGH", 7, ("account_creation", "failed_login"), "A failed login and a new account in one log")
+
+
+def own_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and numbers of correlations when a user adds one."""
+    analysis = Analysis(views.event_log(spark, folder), correlations=(*CORRELATIONS, OWN_CORRELATION), kinds=rollup.ALL)
+    return report.file_report(analysis).select("file_id", "correlations", "threat_score", "threat_level")
+
+
+# Rule files as a user may have them; the second folder has another rule under a name of the first.
+RULE_FILES = (
+    {
+        "console_tools.yml": KEYWORD_RULE,
+        "_odd name.yml": 'title: Odd name\nlevel: critical\ndetection: {keywords: ["net view"]}',
+        "unread.yml": "title: 2024", "broken.yml": 'detection: {keywords: ["*foo("]}', "other.yaml": KEYWORD_RULE,
+    },
+    {"console_tools.yml": 'title: Only views\nlevel: low\ntags: [attack.t1135]\ndetection: {keywords: ["net view", "vssadmin"]}'},
+)
+
+
+def rule_file_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and counters with rules read from two folders of files, the later taking the place of equal ids."""
+    rules = RuleSet.builtin()
+    for files in RULE_FILES:
+        path = stages.new_path(spark)
+        rows = [(name, 0, body) for name, body in files.items()]
+        Store().write(spark.createDataFrame(rows, "name string, part int, body string"), path)
+        rules = rules.plus_frame(keyword_rules.load_keyword_rules(spark, path))
+    found = report.file_report(Analysis(views.event_log(spark, folder), rules, kinds=rollup.ALL))
+    return found.select(
+        "file_id", "rules_triggered", "techniques", "threat_score", "threat_level", "detection_rules_total", "keyword_rules_loaded",
+    )
+
+
 def json_report_files(spark: SparkSession, folder: str) -> DataFrame:
     """Report documents of log files on disk, with their hashes and sizes."""
     path = _event_files(spark, folder, F.col("line"))
@@ -444,6 +523,11 @@ def queries() -> dict[str, Query]:
         "ioc_tab": ioc_tab,
         "correlation_section": correlation_section,
         "json_report_files": json_report_files,
+        "json_report_export": json_report_export,
+        "stix_export": stix_export,
+        "null_lines": null_lines,
+        "own_correlation": own_correlation,
+        "rule_file_report": rule_file_report,
     }
     for kind in extract.IOC_TYPES:
         named[f"ioc_{kind}"] = _ioc_query(kind, views.event_log)

@@ -146,8 +146,8 @@ class Conclusions:
 
     def of_rule(self, entry: Column, field: str) -> Column:
         """An attribute of the rule of an entry, whose place is the low part of ``at``."""
-        values = F.lit([getattr(rule, field) for rule in self._rules])
-        return F.element_at(values, entry.at.bitwiseAND(_PLACE).cast("int"))
+        values = [getattr(rule, field) for rule in self._rules] or [0 if field == "weight" else ""]
+        return F.element_at(F.lit(values), entry.at.bitwiseAND(_PLACE).cast("int"))
 
     def matches(self) -> Column:
         """The correlations whose rules all fired, in declared order."""
@@ -160,12 +160,9 @@ class Conclusions:
         return F.filter(known, lambda c: F.forall(c.requires, lambda rule: F.array_contains(names, rule)))
 
     def threat_score(self, matches: Column) -> Column:
-        if not self._rules:
-            points = F.lit(0.0)
-        else:
-            points = F.aggregate(
-                self.fired, F.lit(0.0), lambda total, r: total + score.rule_points(r.n, self.of_rule(r, "weight").cast("double"))
-            )
+        points = F.aggregate(
+            self.fired, F.lit(0.0), lambda total, r: total + score.rule_points(r.n, self.of_rule(r, "weight").cast("double"))
+        )
         total = F.aggregate(matches, points, lambda total, c: total + c.boost)
         return F.least(F.floor(total), F.lit(100)).cast("int")
 

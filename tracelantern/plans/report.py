@@ -9,6 +9,7 @@ from tracelantern.operators import findings, rollup, score, tops
 from tracelantern.plans import dossier
 from tracelantern.plans.analysis import Analysis
 from tracelantern.plans.dossier import Limits
+from tracelantern.sources.store import Store
 from tracelantern.tables import frames
 
 TOOL = "tracelantern"
@@ -95,9 +96,22 @@ def as_json(documents: DataFrame) -> DataFrame:
     return documents.select("file_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
-def write_json(documents: DataFrame, path: str) -> None:
-    """One JSON document per line, spread over the files' partitions."""
-    as_json(documents).select("report").write.mode("errorifexists").text(path)
+def write_json(documents: DataFrame, folder: str, store: Store | None = None) -> tuple[int, int]:
+    """One JSON file per log file, in the place of an earlier one; number of files and of bytes."""
+    return write_by_file(as_json(documents), "report", folder, ".json", store)
+
+
+# A file name has 255 bytes at most; a longer address keeps its end, which differs most.
+_NAME_BYTES = 180
+
+
+def write_by_file(texts: DataFrame, column: str, folder: str, suffix: str, store: Store | None = None) -> tuple[int, int]:
+    """Writes ``column`` of (file_id, column) to a file of its own, under a name that follows from the file id."""
+    name = F.replace(F.url_encode("file_id"), F.lit("*"), F.lit("%2A"))
+    long = F.concat(F.sha2("file_id", 256), F.lit("-"), F.right(name, F.lit(_NAME_BYTES - 65)))
+    name = F.when(F.length(name) > _NAME_BYTES, long).otherwise(name)
+    rows = texts.select(F.concat(name, F.lit(suffix)).alias("name"), F.lit(0).alias("part"), F.col(column).alias("body"))
+    return (store or Store()).write(rows, folder)
 
 
 # Section tables of the text report and of the result tabs.
