@@ -57,6 +57,15 @@ def test_against_loops(spark, most, least, top):
     assert sorted(map(tuple, got)) == plain(ROWS, most, least, top)
 
 
+def test_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HOT_SHARE", 8)
+    rows = ROWS + [(k, f"the of {k % 7} w{k} the of the of. the of", "en", None, None) for k in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert collocations.hot_words(frame.selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text")) == {("en", b"the"), ("en", b"of")}
+    for most in (2, 3, 4):
+        assert sorted(map(tuple, collocations.collocations(frame, most, 3).collect())) == plain(rows, most, 3, 2000)
+
+
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -91,15 +100,13 @@ def test_blocks_cut_anywhere(m, size):
     for text in texts:
         for piece in re.split(rb"[.,;:!?\n-\r]", text):
             words = piece.split()
-            want.update(tuple(words[i:i + m]) for i in range(len(words) - m + 1))
-            if words:
-                want[tuple(words[1 - m:])] += 1
+            want.update(tuple(words[i:i + m]) for i in range(len(words)))
     assert _counted(texts, m, size) == want
 
 
 def test_unary_paths_are_one_row():
     names, ids = next(collocations.blocks(iter([b"a b c d e f g. x c d y"]), 3))
-    rows = [[names[i] for i in flat[s:e]] for flat, offsets, _ in collocations.paths(ids, 3) for s, e in zip(offsets, offsets[1:])]
+    rows = [[names[i] for i in flat[s:e]] for flat, offsets, *_ in collocations.paths(ids, 3) for s, e in zip(offsets, offsets[1:])]
     assert [b"a", b"b", b"c", b"d"] in rows and [b"c", b"d", b"e", b"f", b"g"] in rows
 
 

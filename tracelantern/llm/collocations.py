@@ -29,7 +29,11 @@ LEAST_COUNT = 10
 ABSORBED = 50
 TOP = 2000
 # Text in one graph; a longer text is several graphs, cut between pieces or within one.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+# Words with more than twice this share of all words may make a node hot; its edges go to so many parts.
+HOT_SHARE, HOT_PARTS = 2000, 64
+# Marks that no word holds or that stand where no word does.
+HOT, SALTED, UNFINISHED = b",", "~", "="
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -104,8 +108,8 @@ def _grams(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def paths(ids: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(words, offsets, weights)`` of the graph of a block: unary paths, then piece ends.
 
-    Every full gram lies in exactly one path.  A piece end is a row of fewer than m words:
-    the last m - 1 of so many pieces, or all words of shorter ones.
+    Every full gram lies in exactly one path.  A piece end is a row of fewer than m words,
+    which says that so many pieces end in these words.
     """
     if not len(ids) or not ids.any():
         return
@@ -149,10 +153,8 @@ def paths(ids: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         ends = ends[ends >= 0]
         for j in range(k):
             ends = ends[ids[ends + j] > 0]
-        if k < m - 1:  # only whole pieces; a longer one has a longer end
-            ends = ends[(ends == 0) | (ids[ends - 1] == 0)]
         if not len(ends):
-            continue
+            break
         code = ids[ends]
         for j in range(1, k):
             code = np.unique(code * (int(ids.max()) + 1) + ids[ends + j], return_inverse=True)[1]
@@ -161,61 +163,143 @@ def paths(ids: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield words, np.arange(len(first) + 1) * k, weight
 
 
-def _graphs(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+def _by_lang(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     for batch in slices(batches, BLOCK_BYTES):
         langs = batch.column(0).to_pylist()
         texts = batch.column(1).cast(pa.binary())
         for lang in dict.fromkeys(langs):
             own = (texts[k].as_py() for k, each in enumerate(langs) if each == lang)
-            for names, ids in blocks(own, m):
-                words = pa.array(names, pa.binary())
-                for flat, offsets, weight in paths(ids, m):
-                    for start in range(0, len(weight), 1 << 16):
-                        stop = min(start + (1 << 16), len(weight))
-                        used = flat[offsets[start]:offsets[stop]]
-                        listed = pa.ListArray.from_arrays(
-                            pa.array((offsets[start:stop + 1] - offsets[start]).astype(np.int32)),
-                            words.take(pa.array(used)).cast(pa.string()),
-                        )
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * (stop - start), pa.string()), listed, pa.array(weight[start:stop])], schema=_PATHS
-                        )
+            yield from ((lang, *block) for block in blocks(own, m))
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a share of 1 / HOT_SHARE in their block, and the size of the block under a null word."""
+    for lang, names, ids in _by_lang(batches, 1):
+        count = np.bincount(ids, minlength=len(names))
+        count[0] = 0
+        total = int(count.sum())
+        held = np.flatnonzero(count * HOT_SHARE >= max(1, total))
+        words = [None, *(names[k].decode() for k in held)]
+        columns = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([total, *count[held].tolist()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+
+def hot_words(texts: DataFrame) -> frozenset[tuple[str, bytes]]:
+    """All words with twice a share of 1 / HOT_SHARE of all words, and fewer than HOT_SHARE in all.
+
+    Blocks in which a word is rarer hold back less than that share of it, so what they
+    send decides.
+    """
+    path = new_path(texts.sparkSession)
+    sums = texts.mapInArrow(_frequent, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = kept(sums, path=path)
+    total = sums.where(F.col("word").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = sums.where(F.col("word").isNotNull() & (F.col("n") * HOT_SHARE > total)).select("lang", "word").collect()
+    drop(texts.sparkSession, path)
+    return frozenset((r.lang, r.word.encode()) for r in found)
+
+
+def _graphs(batches: Iterator[pa.RecordBatch], m: int, hot: frozenset) -> Iterator[pa.RecordBatch]:
+    """Paths of words; a hot word has HOT before it."""
+    for lang, names, ids in _by_lang(batches, m):
+        words = pa.array([HOT + name if (lang, name) in hot else name for name in names], pa.binary())
+        for flat, offsets, weight in paths(ids, m):
+            for start in range(0, len(weight), 1 << 16):
+                stop = min(start + (1 << 16), len(weight))
+                used = flat[offsets[start]:offsets[stop]]
+                listed = pa.ListArray.from_arrays(
+                    pa.array((offsets[start:stop + 1] - offsets[start]).astype(np.int32)), words.take(pa.array(used)).cast(pa.string())
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (stop - start), pa.string()), listed, pa.array(weight[start:stop])], schema=_PATHS)
+
+
+def _dealt(m: int) -> tuple[Column, Column]:
+    """``deal`` and ``rest`` of the gram of up to m words at place ``at`` of ``words``.
+
+    Grams meet by their first word, and by one word more for each hot word that they
+    start with; if the first m - 1 are hot, by a part of the last words.  ``deal`` tells how
+    many are hot, ``rest`` has the words after those that it names.  Every count from
+    that number of words on is whole where it is dealt to.
+    """
+    at = F.col("at")
+    size = F.least(F.size("words"), F.lit(m))
+    word = [F.get("words", at + (k - 1)) for k in range(m)]
+    tail = F.concat(F.lit("\t"), F.col("lang"))
+
+    def joined(first: int, most: int) -> Column:
+        return F.array_join(F.slice("words", at + first, most), " ")
 
+    def chosen(cold: list[Column], all_hot: Column, ends: Column) -> Column:
+        found = F.when(size == m, all_hot).otherwise(ends)
+        for k in range(m - 2, -1, -1):
+            found = F.when((size > k) & ~word[k].startswith(HOT.decode()), cold[k]).otherwise(found)
+        return found
 
-def _row(k: int, words: Column, lang: Column, f: Column, e: Column) -> Column:
-    return F.struct(F.concat(F.lit(chr(48 + k)), words, F.lit("\t"), lang).alias("key"), f.alias("f"), e.alias("e"))
+    salt = F.lpad(F.pmod(F.hash(word[m - 1]), F.lit(HOT_PARTS)).cast("string"), 2, "0")
+    deal = chosen(
+        [F.concat(F.lit(str(k)), joined(0, k + 1), tail) for k in range(m - 1)],
+        F.concat(F.lit(SALTED), salt, joined(0, m - 1), tail), F.concat(F.lit(UNFINISHED), joined(0, m), tail),
+    )
+    return deal.alias("deal"), chosen([joined(k + 1, m - 1 - k) for k in range(m - 1)], word[m - 1], F.lit("")).alias("rest")
 
 
 def gram_counts(documents: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST_COUNT) -> DataFrame:
     """``lang, phrase, k, f``: grams of up to ``max_words`` words with at least ``least`` occurrences.
 
-    A row with k = 0 has the number of all words of a language.
+    A row with k = 0 has the number of all words of a language.  One shuffle brings the
+    edges together; flows from nodes to shorter grams stay where they are, but for those
+    of hot words, which are few.
     """
-    columns = [F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    sent = documents.select(*columns).mapInArrow(lambda batches: _graphs(batches, max_words), "lang string, words array<string>, weight long")
-    size = F.size("words")
-    places = F.sequence(F.lit(1), F.greatest(size - max_words + 1, F.lit(1)))
-    level = F.char(48 + F.least(size, F.lit(max_words)))
-    keys = F.transform(places, lambda at: F.concat(level, F.array_join(F.slice("words", at, max_words), " "), F.lit("\t"), F.col("lang")))
-    ends = F.when(size < max_words, F.col("weight")).otherwise(0)
-    # a gram, its number of words and its language are one short text, as there are very many; no word holds a tab
-    rows = sent.select(F.explode(keys).alias("key"), F.col("weight").alias("f"), ends.alias("e"))
-    phrase, lang = F.expr("substring_index(substring(key, 2), '\t', 1)"), F.expr("substring(key, locate('\t', key) + 1)")
-    for k in range(max_words, -1, -1):
-        # graphs have summed already, a task would find few equal keys
-        rows = rows.repartition("key").groupBy("key").agg(F.sum("f").alias("f"), F.sum("e").alias("e"))
+    m = max_words
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
+    texts = documents.select(lang, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hot = hot_words(texts)
+    sent = texts.mapInArrow(lambda batches: _graphs(batches, m, hot), "lang string, words array<string>, weight long")
+    places = F.sequence(F.lit(1), F.greatest(F.size("words") - m + 1, F.lit(1)))
+    rows = sent.select("*", F.explode(places).alias("at")).select(*_dealt(m), F.col("weight").alias("f"))
+    # graphs have summed already, a task would find few equal rows
+    rows = rows.repartition("deal")
+    deal, rest, f, total = F.col("deal"), F.col("rest"), F.col("f"), F.sum("f").alias("f")
+    left = F.when(rest == "", 0).otherwise(F.length(rest) - F.length(F.replace(rest, F.lit(" "))) + 1)
+    for k in range(m - 1, 0, -1):
+        rows = rows.groupBy("deal", "rest").agg(total)
+        itself = F.array(F.struct("rest", "f"))
+        flow = F.array(F.struct(F.substring_index(rest, " ", k - 1).alias("rest"), "f"))
+        passed = F.when(f >= least, F.concat(flow, itself)).otherwise(flow)
+        # the column that rows were dealt by stays as it is, so they are not dealt again
+        rows = rows.select("deal", F.inline(F.when((left == k) & ~deal.startswith(SALTED), passed).otherwise(itself)))
+    rows = rows.groupBy("deal", "rest").agg(total)
+    # from here on a gram, its number of words and its language are one short text; no word holds a tab
+    salted, unfinished = deal.startswith(SALTED), deal.startswith(UNFINISHED)
+    named = F.substring(deal, F.when(salted, 4).otherwise(2), F.lit(1 << 30))
+    words, lang = F.substring_index(named, "\t", 1), F.substring(named, F.instr(named, "\t") + 1, F.lit(1 << 30))
+    whole = F.when(rest == "", words).otherwise(F.concat(words, F.lit(" "), rest))
+    rows = rows.select(whole.alias("words"), lang.alias("lang"), "f", (salted | (rest == "") & ~unfinished).alias("flows"), unfinished.alias("part"))
+    rows = rows.select(F.inline(_passed_on(least, F.col("flows"), F.col("part"))))
+    for k in range(m - 1, -1, -1):
+        # whole counts have no further row; parts meet level by level
+        rows = rows.groupBy("lang", "words", "part").agg(total)
         if k:
-            itself = F.struct("key", "f", "e")
-            flow = _row(k - 1, F.substring_index(phrase, " ", k - 1), lang, F.col("f"), F.lit(0).cast("long"))
-            own = F.array(flow)
-            if k > 1:  # pieces that end in the gram end in its last words, too
-                last = _row(k - 1, F.substring_index(phrase, " ", 1 - k), lang, F.col("e"), F.col("e"))
-                own = F.when(F.col("e") > 0, F.array(flow, last)).otherwise(own)
-            own = F.when(F.col("f") >= least, F.concat(own, F.array(itself))).otherwise(own)
-            parts = F.when(F.col("key").startswith(chr(48 + k)), own).otherwise(F.array(itself))
-            rows = rows.select(F.inline(parts))
-    found = rows.select(lang.alias("lang"), phrase.alias("phrase"), (F.ascii("key") - 48).alias("k"), "f")
-    return found.where((F.col("f") >= least) | (F.col("k") == 0))
+            now = F.col("part") & (_count(F.col("words")) == k)
+            rows = rows.select("lang", "words", "f", now.alias("flows"), (F.col("part") & ~now).alias("part"))
+            rows = rows.select(F.inline(_passed_on(least, F.col("flows"), F.col("part"))))
+    phrase = F.replace(F.col("words"), F.lit(HOT.decode())).alias("phrase")
+    return rows.select("lang", phrase, _count(F.col("words")).alias("k"), "f").where((F.col("f") >= least) | (F.col("k") == 0))
+
+
+def _count(words: Column) -> Column:
+    return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "))) + 1)
+
+
+def _passed_on(least: int, flows: Column, part: Column) -> Column:
+    """Rows (lang, words, f, part) that a count leaves: a whole one itself if frequent, and its flow as a part."""
+    def row(words: Column, part: Column) -> Column:
+        return F.struct("lang", words.alias("words"), "f", part.alias("part"))
+
+    itself = F.array(row(F.col("words"), part))
+    flow = F.array(row(F.regexp_extract("words", r"(?s)^(.*) [^ ]*$", 1), F.lit(True)))
+    both = F.when(F.col("f") >= least, F.concat(itself, flow)).otherwise(flow)
+    return F.when(flows, both).otherwise(itself)
 
 
 def collocations(
