@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelantern.functions.membership import maybe_in
 from tracelantern.functions.text import strip
 from tracelantern.operators import extract, rollup, score
 from tracelantern.operators.ranking import first_rows
@@ -34,8 +35,6 @@ class Limits:
 _NO_LIMIT = (1 << 31) - 1
 _TOKENS = (rollup.IP, rollup.USER, rollup.EVENT_ID)
 _PLACE = (1 << 24) - 1
-# Bits of the filter that goes before the fetch of texts: 16 MB, whatever the tables hold.
-_FILTER_BITS = 1 << 27
 
 
 def _of_kind(limits: Limits) -> dict[str, int]:
@@ -109,14 +108,8 @@ def fetched(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     A filter of fixed size goes before the join, so of texts that are not wanted hardly
     any is moved.  ``wanted`` is read twice and should come from a written table.
     """
-    place = F.pmod(F.xxhash64("file_id", "line_no"), F.lit(_FILTER_BITS)) + 1
-    bitmaps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
-    )
-    marked = lines.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
-    byte = "conv(hex(substring(bitmap, cast(bit div 8 AS int) + 1, 1)), 16, 10)"
-    near = marked.join(F.broadcast(bitmaps), "bucket").where(F.expr(f"shiftright(cast({byte} AS int), cast(bit % 8 AS int)) & 1 = 1"))
-    return near.select("file_id", "line_no", "line").join(wanted, ["file_id", "line_no"])
+    near = maybe_in(lines.select("file_id", "line_no", "line"), wanted, "file_id", "line_no")
+    return near.join(wanted, ["file_id", "line_no"])
 
 
 def lists(rows: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
