@@ -255,7 +255,9 @@ def _packed(rows, docs, number, start, stop, grams, contexts, parts, common=Fals
         part = np.full(len(number), -1 - int(docs[0]) % parts)
     else:
         # the contexts of a common gram are dealt out by their own hash
-        part = (((contexts if common else grams) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + parts * common
+        # an anchor is the gram with the smallest hash around, so its hash is mixed once more
+        dealt = contexts if common else _mix(grams)
+        part = ((dealt >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + parts * common
     order = np.lexsort((start, number, part))
     edges = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
     tags = (rows ^ docs) >> 32
