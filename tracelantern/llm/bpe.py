@@ -12,7 +12,6 @@ Only the open part of the tree is kept.
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import json
 import re
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelantern.llm.shared import slices
+from tracelantern.llm.shared import in_worker, slices
 from tracelantern.llm.tokens import BYTE_LEVEL, SPACE, Cutter, added_tokens
 
 # Pairs of tokens and words a worker remembers at most.
@@ -288,10 +287,9 @@ class _Words(dict):
         return found
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     """One codec per worker and file."""
-    return Codec(path)
+    return in_worker(("codec", path), lambda: Codec(path))
 
 
 def encode(documents: DataFrame, tokenizer: str) -> DataFrame:

@@ -117,8 +117,9 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = TOKENS, end_id:
         encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in slices(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.all(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 edges = [0, *range(first, n + 1, capacity)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,18 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     return in_place.unionByName(rest.join(groups.where(F.col(size) <= cut), key))
 
 
+def in_worker(name: tuple, make: Callable[[], Any]) -> Any:
+    """The object of that name, made once per process.
+
+    Functions travel to workers by value, and their globals are new in every task, so the
+    object stays in a module of its own.
+    """
+    held = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def whole_bytes(column: pa.Array) -> list[bytes]:
     """The values of a text column in UTF-8; null counts as empty."""
     return [b"" if value is None else value for value in column.cast(pa.binary()).to_pylist()]

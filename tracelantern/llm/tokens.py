@@ -7,13 +7,14 @@ fixed number, and gives the tokenizer only pieces it does not remember.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
 
 import regex
 
+from tracelantern.llm.shared import in_worker
+
 # White space in Unicode, as the tokenizer's own regexes see it (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
 # How byte-level tokenizers cut a text (fixed values).
@@ -63,36 +64,48 @@ class Encoder:
         self.added, self.added_ids = added_tokens(config)
         self.cut = Cutter(BYTE_LEVEL)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is not remembered goes to the tokenizer at once."""
         if not self.by_piece:
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return [_packed(found.ids) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # pieces, and ids where an added token stands
+        cut = [self._pieces(text) for text in texts]
+        self._learn(set().union(*cut))
+        known = self.known.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in cut]
+
+    def _pieces(self, text: str) -> list[str]:
         if self.added is None or not self.added.search(text):
-            return self._plain(text)
+            return self.cut(text)
         parts = self.added.split(text)
-        return b"".join(
-            _packed([self.added_ids[part]]) if k % 2 else self._plain(part) for k, part in enumerate(parts)
-        )
-
-    def _plain(self, text: str) -> bytes:
-        pieces = self.cut(text)
-        known = self.known
-        new = [piece for piece in set(pieces) if piece not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[piece] = _packed(found.ids)
-        return b"".join(map(known.__getitem__, pieces))
+        return [piece for k, part in enumerate(parts) for piece in ([part] if k % 2 else self.cut(part))]
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = []
+        for piece in pieces.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece in self.added_ids:
+                known[piece] = _packed([self.added_ids[piece]])
+            else:
+                missing.append(piece)
+        for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
+            known[piece] = _packed(found.ids)
 
 
 def _packed(ids: list[int]) -> bytes:
     return b"".join(k.to_bytes(4, "little") for k in ids)
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
-    return Encoder(path)
+    return in_worker(("encoder", path), lambda: Encoder(path))
