@@ -15,8 +15,9 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,6 +30,8 @@ from tracelantern.llm.tokens import BYTE_LEVEL, SPACE, Cutter, added_tokens
 # Pairs of tokens and words a worker remembers at most.
 REMEMBERED_PAIRS = 400_000
 REMEMBERED_WORDS = 300_000
+# Ids that the decoder takes at a time.
+DECODED_AT_ONCE = 1 << 14
 
 
 def byte_symbols() -> list[str]:
@@ -186,9 +189,15 @@ class Decoder:
         self.state, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
 
     def feed(self, token_id: int) -> str:
+        return self.feed_all([token_id])
+
+    def feed_all(self, ids: Sequence[int]) -> str:
+        """What becomes sure with some more ids."""
+        if not len(ids):
+            return ""
         gap = b"" if self.first else self.gap
         self.first = False
-        return self.state.decode(gap + self.bytes[token_id])
+        return self.state.decode(gap + self.gap.join(map(self.bytes.__getitem__, ids)))
 
     def finish(self) -> str:
         rest = self.state.decode(b"", final=True)
@@ -253,33 +262,40 @@ class Codec:
         self.decoder.reset()
         return "".join(map(self.decoder.feed, ids)) + self.decoder.finish()
 
-    def both(self, text: str) -> tuple[bytes, str]:
-        """Packed ids of a whole text, and the text that they decode to."""
-        ids, decoded = [], []
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each."""
+        ids = []
         for k, part in enumerate(self.added.split(text) if self.added else [text]):
             if k % 2:
-                token_id = self.added_ids[part]
-                ids.append(token_id.to_bytes(4, "little"))
-                decoded.append(self.decoder.bytes[token_id])
+                ids.append(self.added_ids[part].to_bytes(4, "little"))
             else:
-                found = list(map(self.known.__getitem__, self.cut(self.normalised(part))))
-                ids += [packed for packed, _ in found]
-                decoded += [octets for _, octets in found]
-        return b"".join(ids), self.decoder.gap.join(decoded).decode("utf-8", "replace")
+                ids += map(self.known.__getitem__, self.cut(self.normalised(part)))
+        return b"".join(ids)
+
+    def pieces(self, packed: bytes) -> Iterator[str]:
+        """The text of packed ids, as it leaves the decoder."""
+        self.decoder.reset()
+        for at in range(0, len(packed), 4 * DECODED_AT_ONCE):
+            piece = packed[at:at + 4 * DECODED_AT_ONCE]
+            yield self.decoder.feed_all(struct.unpack(f"<{len(piece) // 4}I", piece))
+        yield self.decoder.finish()
+
+    def both(self, text: str) -> tuple[bytes, str]:
+        """Packed ids of a whole text, and the text that they decode to."""
+        packed = self.packed(text)
+        return packed, "".join(self.pieces(packed))
 
 
 class _Words(dict):
-    """Packed ids of words and the bytes they decode to; the words of the last while are kept."""
+    """Packed ids of words; the words of the last while are kept."""
 
     def __init__(self, codec: Codec):
         self.codec, self.older = codec, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+    def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            ids = [self.codec.merges.ids[token] for token in self.codec.tokens(word)]
-            decoder = self.codec.decoder
-            found = b"".join([k.to_bytes(4, "little") for k in ids]), decoder.gap.join([decoder.bytes[k] for k in ids])
+            found = b"".join([self.codec.merges.ids[token].to_bytes(4, "little") for token in self.codec.tokens(word)])
         if len(self) >= REMEMBERED_WORDS:
             self.older = dict(self)
             self.clear()
@@ -317,21 +333,29 @@ class _Run:
         self.tokenizer, self.whole = tokenizer, whole
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(self.tokenizer).both
+        known = codec(self.tokenizer)
         for batch in slices(batches):
-            found = [both(text or "") for text in batch.column(1).to_pylist()]
             if self.whole:
+                found = [known.both(text or "") for text in batch.column(1).to_pylist()]
                 ids = pa.array([memoryview(i).cast("I").tolist() for i, _ in found], pa.list_(pa.int32()))
                 columns, names = [ids, pa.array([t for _, t in found], pa.string())], ["ids", "decoded"]
             else:
+                found = [known.packed(text or "") for text in batch.column(1).to_pylist()]
                 columns = [
-                    pa.array([len(i) // 4 for i, _ in found], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found], pa.string()),
+                    pa.array([len(i) // 4 for i in found], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string()),
+                    pa.array([self._digest(known.pieces(i)) for i in found], pa.string()),
                 ]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
+    @staticmethod
+    def _digest(pieces: Iterator[str]) -> str:
+        value = hashlib.sha256()
+        for piece in pieces:
+            value.update(piece.encode())
+        return value.hexdigest()
+
 
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of all ``documents`` and of what the ids decode to."""
