@@ -62,6 +62,25 @@ def test_shared_lines_deplete_documents(spark):
     assert kept == {0, 200} | set(range(40, 100))
 
 
+
+def test_limit_of_a_line_does_not_grow_with_its_host(spark):
+    line = "this line with twelve different words stands in very many short documents"
+    own = [(k, " ".join(f"own{k}x{n}" for n in range(30)), "large", None) for k in range(5000)]
+    shared = [(10_000 + k, line, "large", None) for k in range(quality_rules.LINE_DOCUMENTS + 1)]
+    kept = {r.doc_id for r in quality_rules.apply_rules(spark.createDataFrame(own + shared, NEAR_EMPTY)).where("kept").collect()}
+    assert kept == set(range(5000)) | {10_000}
+
+
+def test_hosts_and_documents_are_told_apart(spark):
+    line = "this line with twelve different words stands in very many short documents"
+    most = quality_rules.LINE_DOCUMENTS
+    no_host = [(k, line, None, None) for k in range(most)]
+    empty_host = [(100 + k, line, "", None) for k in range(most)]
+    repeated = [(200, line, "again", None)] * 30 + [(201, line, "again", None)]
+    found = quality_rules.apply_rules(spark.createDataFrame(no_host + empty_host + repeated, NEAR_EMPTY)).collect()
+    assert len(found) == 2 * most + 31 and all(r.kept for r in found)
+
+
 def test_repeated_words():
     rnd = random.Random(1)
     for _ in range(300):

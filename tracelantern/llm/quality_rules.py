@@ -22,9 +22,8 @@ from tracelantern.llm.shared import hot_join, slices, whole_bytes
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
-# A line is boilerplate above this many documents and this share of its host's documents.
+# A line is boilerplate above this many distinct documents of its host, however large the host is.
 LINE_DOCUMENTS = 20
-LINE_SHARE = 0.01
 # A document is depleted when less than this share of its words, or fewer than MIN_WORDS, remain.
 LEAST_LEFT = 0.3
 
@@ -90,7 +89,6 @@ def apply_rules(
     documents: DataFrame,
     host: str = "source",
     line_documents: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
     """Counts and verdict for each row of ``documents``.
@@ -98,21 +96,23 @@ def apply_rules(
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_words_left``.  A null text has no words and fails.  A null
     host is a host of its own.  A line is removed when it is in more than
-    ``line_documents`` rows and in more than ``line_share`` of the rows of its host;
-    in the row with the smallest doc_id (or with a null one) it stays.  Repeated rows
-    count as documents each.
+    ``line_documents`` distinct documents of its host; in the document with the smallest
+    doc_id (and in rows without one) it stays.  Rows with the same doc_id are one
+    document, and so are rows without.
     """
     columns = [F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string")]
     counted = documents.select(*columns).mapInArrow(_counted, f"{_COUNTS}, {_LINES}")
-    rows = kept(counted.withColumns({"row": F.monotonically_increasing_id(), "host": F.coalesce("host", F.lit(""))}))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_documents"))
+    rows = kept(counted.withColumn("row", F.monotonically_increasing_id()))
     line_rows = rows.select("row", "doc_id", "host", F.explode("lines").alias("l")).select(
-        "row", "doc_id", F.xxhash64("host", "l.line").alias("line"), "host", F.col("l.words").alias("words")
+        "row", "doc_id", F.xxhash64(F.col("host").isNull(), "host", "l.line").alias("line"), F.col("l.words").alias("words")
     )
-    often = line_rows.groupBy("line", "host").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where(F.col("n") > line_documents)
-    often = often.join(hosts, "host").where(F.col("n") > line_share * F.col("host_documents"))
-    often = kept(often.select("line", "n", "first_id"))
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows are counted first, in place, so only lines of many rows are told apart by document
+    rough = line_rows.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    rough = kept(rough.where(F.col("n") > line_documents))
+    total = rough.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # structs are counted even where they hold a null
+    distinct = hot_join(line_rows, rough, "line", "n", total).groupBy("line").agg(F.count_distinct(F.struct("doc_id")).alias("documents"))
+    often = kept(rough.join(distinct.where(F.col("documents") > line_documents), "line").select("line", "n", "first_id"))
     lost = hot_join(line_rows, often, "line", "n", total).where("doc_id <> first_id")
     lost = lost.groupBy("row").agg(F.sum("words").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
@@ -131,7 +131,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP7_SQL = rf"""
-WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH docs AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 tokens AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM docs
 ),
@@ -160,10 +160,12 @@ normal AS (
   SELECT doc_id, host, array_to_string(parts, ' ') AS line, sum(len(parts)) AS words FROM worded GROUP BY ALL
 ),
 often AS (
-  SELECT host, line, min(doc_id) AS first_id FROM normal JOIN (SELECT host, count(*) AS total FROM docs GROUP BY host) USING (host)
-  GROUP BY host, line, total HAVING count(*) > {LINE_DOCUMENTS} AND count(*) > {LINE_SHARE} * total
+  SELECT host, line, min(doc_id) AS first_id FROM normal GROUP BY host, line HAVING count(DISTINCT doc_id) > {LINE_DOCUMENTS}
+),
+lost AS (
+  SELECT doc_id, sum(words) AS lost FROM normal JOIN often ON normal.line = often.line AND normal.host IS NOT DISTINCT FROM often.host
+  WHERE doc_id <> first_id GROUP BY doc_id
 ),
-lost AS (SELECT doc_id, sum(words) AS lost FROM normal JOIN often USING (host, line) WHERE doc_id <> first_id GROUP BY doc_id),
 counts AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
