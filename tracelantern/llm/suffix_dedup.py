@@ -12,7 +12,8 @@ context).  Anchors meet by the hash of their gram, packed by block and part:
 
 Before anything is shuffled a block settles its own repeats, so a passage with a third of
 all copies is one row per block.  Grams that very many documents share, as parts of
-shorter common phrases, are dealt out by context, and what is left of them by whole string.
+shorter common phrases, are dealt out by context, and what is left of them by the bytes that a
+few neighbouring strings have in common.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ PART_BYTES = 2 << 20
 COMMON_SHARE = 0.005
 COMMON_LEAST = 32
 _COUNTED_AT_ONCE = 1 << 20
+# Neighbouring strings of a common gram that travel as one, and rows in a batch of contexts.
+TOGETHER = 4
+_SENT_AT_ONCE = 1 << 16
 
 _M1, _M2, _M3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 # Stands for a null doc_id.
@@ -56,6 +60,11 @@ def _mix(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
+def _gram_hashes(e: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the grams at the first places, from the eight bytes at each place."""
+    return _mix(e[:size] * _M1 + e[8:size + 8] * _M2 + (e[12:size + 12] ^ _M3) * _M3)
+
+
 class Texts:
     """Texts of a block, one after the other, with space after each that no string reaches."""
 
@@ -74,7 +83,7 @@ class Texts:
             return none, none, none.view(np.uint64)
         e = self.eights
         size = len(e) - 12
-        grams = _mix(e[:size] * _M1 + e[8:size + 8] * _M2 + (e[12:size + 12] ^ _M3) * _M3)
+        grams = _gram_hashes(e, size)
         # the smallest hash of a run of grams; the first of equal ones
         place_bits = np.uint64(len(self.octets).bit_length())
         key = (grams >> place_bits << place_bits) | np.arange(size, dtype=np.uint64)
@@ -92,10 +101,10 @@ class Texts:
         found = found[np.append(True, found[1:] != found[:-1])]
         return np.searchsorted(self.starts, found, side="right") - 1, found, grams[found]
 
-    def strings(self, starts: np.ndarray) -> np.ndarray:
-        """Hashes of the strings of WIDTH bytes at given places."""
-        value = np.full(len(starts), WIDTH, np.uint64)
-        for step in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+    def strings(self, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
+        """Hashes of the strings of ``width`` bytes at given places."""
+        value = np.full(len(starts), width, np.uint64)
+        for step in (*range(0, width - 8, 8), width - 8):
             value = _mix(value * _M2 + self.eights[starts + step])
         return value
 
@@ -241,7 +250,6 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, found
 
 
-
 def _packed(rows, docs, number, start, stop, grams, contexts, parts, common=False) -> Iterator[pa.RecordBatch]:
     """A row for each part: the documents it names, then the entries column by column.
 
@@ -320,23 +328,65 @@ def _unzipped(column: pa.Array) -> list[bytes]:
     return [zstandard.decompress(octets) for octets in column.to_pylist()]
 
 
+def _gram_places(text: bytes, gram: int) -> list[int]:
+    """Where a text has a gram, by the seven bytes of its hash that travel."""
+    e = Texts([text]).eights
+    size = len(text) - GRAM + 1
+    grams = _gram_hashes(e, size)
+    return np.flatnonzero(grams >> np.uint64(8) == np.uint64(gram & (1 << 64) - 1) >> np.uint64(8)).tolist()
+
+
+def _neighbours(number, start, stop, grams, texts: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of TOGETHER strings around common grams: text, first string, last string, and the bytes all hold.
+
+    Runs are counted from the gram, so a string is in the same run wherever it occurs.
+    """
+    # a context that ends before its text tells its gram's place, one that begins after the text's start, too
+    place = np.where(stop < lengths[number], stop - WIDTH, start + REACH)
+    unsure = np.flatnonzero((start == 0) & (stop == lengths[number]))
+    more = [(k, p) for k in unsure.tolist() for p in _gram_places(texts[number[k]], int(grams[k]))]
+    sure = np.setdiff1d(np.arange(len(number)), unsure, assume_unique=True)
+    entry = np.concatenate([sure, np.array([k for k, _ in more], np.int64)])
+    place = np.concatenate([place[sure], np.array([p for _, p in more], np.int64)])
+    runs = -(-(REACH + 1) // TOGETHER)
+    entry, place = np.repeat(entry, runs), np.repeat(place, runs)
+    begin = place - REACH + TOGETHER * np.tile(np.arange(runs), len(place) // runs)
+    first = np.maximum(start[entry], begin)
+    last = np.minimum(np.minimum(stop[entry] - WIDTH, begin + TOGETHER - 1), place)
+    some = np.flatnonzero(first <= last)
+    return number[entry[some]], first[some], last[some], begin[some] + TOGETHER - 1
+
+
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that are asked for."""
+    """The bytes of the contexts that are asked for; of common grams by runs of strings."""
     for batch in slices(batches):
-        out = []
-        for row, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unzipped(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            for a in asked:
-                start, stop = a["start"], a["stop"]
-                if a["common"]:  # each string by itself
-                    strings = [(k, text[k:k + WIDTH]) for k in range(start, stop - WIDTH + 1)]
-                    out += [(xxhash.xxh3_64_intdigest(string) - (1 << 63), row, doc, k, string) for k, string in strings]
-                else:
-                    out.append((a["gram"], row, doc, start, text[start:stop]))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "row", "doc", "start", "octets"]
-        )
+        texts = _unzipped(batch.column(2))
+        block = Texts(texts)
+        octets = np.frombuffer(block.octets, np.uint8)
+        names = [batch.column(3).type.value_type.field(k).name for k in range(4)]
+        asked = dict(zip(names, (c.to_numpy(zero_copy_only=False) for c in batch.column(3).flatten().flatten()), strict=True))
+        all_numbers = np.repeat(np.arange(len(texts)), batch.column(3).value_lengths().to_numpy())
+        for at in range(0, len(all_numbers), _SENT_AT_ONCE):
+            number, (start, stop, grams) = all_numbers[at:at + _SENT_AT_ONCE], (
+                asked[name][at:at + _SENT_AT_ONCE].astype(np.int64) for name in ("start", "stop", "gram")
+            )
+            common = asked["common"][at:at + _SENT_AT_ONCE].astype(bool)
+            plain = ~common
+            near, first, last, held = _neighbours(number[common], start[common], stop[common], grams[common], texts, block.lengths)
+            keys = block.strings(block.starts[near] + held, WIDTH - TOGETHER + 1).view(np.int64)
+            number = np.concatenate([number[plain], near])
+            start, stop = np.concatenate([start[plain], first]), np.concatenate([stop[plain], last + WIDTH])
+            sizes = stop - start
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            bytes_at = np.repeat(block.starts[number] + start - offsets[:-1], sizes) + np.arange(offsets[-1])
+            data = pa.Array.from_buffers(
+                pa.binary(), len(number), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(octets[bytes_at])]
+            )
+            rows, docs = (np.asarray(batch.column(k))[number] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([grams[plain], keys])), pa.array(rows), pa.array(docs), pa.array(start.astype(np.int32)), data],
+                names=["gram", "row", "doc", "start", "octets"],
+            )
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
