@@ -6,8 +6,8 @@ hash of the bytes that any string of WIDTH bytes around the anchor can reach (it
 context).  Anchors meet by the hash of their gram, packed by block and part:
 
 * equal contexts are settled there: all but those in the smallest document are repeats;
-* contexts that differ around one gram may still share strings.  Their bytes are
-  fetched from the documents, a suffix array built by grouping puts equal strings side
+* contexts that differ around one gram may still share strings if SIDE bytes more agree
+  before or behind the gram.  The bytes of such contexts are fetched from the documents, a suffix array built by grouping puts equal strings side
   by side, and each string counts as removed in all documents but the smallest.
 
 Before anything is shuffled a block settles its own repeats, so a passage with a third of
@@ -34,6 +34,8 @@ from tracelantern.llm.suffix_array import suffix_array
 WIDTH = 50
 GRAM = 20
 REACH = WIDTH - GRAM
+# A string of WIDTH bytes around a gram has this many bytes before it or behind it.
+SIDE = REACH // 2
 # Bytes of text in a block, and of contexts that one suffix array sorts.
 BLOCK_BYTES = 1 << 19
 SORTED_BYTES = 1 << 16
@@ -108,6 +110,14 @@ class Texts:
             value = _mix(value * _M2 + self.eights[starts + step])
         return value
 
+    def sides(self, place: np.ndarray) -> np.ndarray:
+        """16 bits each of the hashes of a gram with SIDE bytes before it and behind it.
+
+        Where a text has fewer bytes, no string needs that side and any value will do.
+        """
+        before, behind = (self.strings(place - k, GRAM + SIDE) >> np.uint64(48) for k in (SIDE, 0))
+        return (before << np.uint64(16) | behind).astype(np.uint32)
+
     def contexts(self, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the context of each anchor starts and stops, and the hash of its bytes."""
         first, end = self.starts[number], self.starts[number] + self.lengths[number]
@@ -134,6 +144,18 @@ def _first_of(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return least
 
 
+def _ends_of(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest doc among the entries with the same key."""
+    if not len(keys):
+        return docs, docs
+    order = np.lexsort((docs, keys))
+    new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    after = np.append(new[1:], len(order))
+    least, most = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    least[order], most[order] = (np.repeat(docs[order][at], after - new) for at in (new, after - 1))
+    return least, most
+
+
 def _joined(number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each number, those that overlap or touch as one; stops rise with starts."""
     if not len(number):
@@ -193,13 +215,18 @@ def _common_grams(texts: DataFrame, rows: int) -> np.ndarray:
     return np.array([r["gram"] for r in counts.where(F.col("n") >= least).select("gram").collect()], np.int64).view(np.uint64)
 
 
-def _settled(rows, docs, starts, stops, grams, contexts) -> tuple[np.ndarray, np.ndarray]:
+def _settled(rows, docs, starts, stops, grams, contexts, sides) -> tuple[np.ndarray, np.ndarray]:
     """Which entries repeat the context of a smaller document, and which need a closer look."""
     first = _first_of(contexts ^ _mix(grams), docs)
     again = docs > first
     # contexts whose first documents differ are different, and may share strings
-    lowest, highest = _first_of(grams, first), -_first_of(grams, -first)
-    return again, (lowest < highest) & ~again
+    lowest, highest = _ends_of(grams, first)
+    open_ = np.flatnonzero((lowest < highest) & ~again)
+    near = np.zeros(len(grams), bool)
+    for side in (sides >> 16, sides & 0xFFFF | 1 << 16):
+        lowest, highest = _ends_of(_mix(grams[open_] ^ _mix(side[open_].astype(np.uint64))), first[open_])
+        near[open_] |= lowest < highest
+    return again, near
 
 
 def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +241,14 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             block = Texts(whole_bytes(batch.column(2)))
             number, place, grams = block.anchors()
             start, stop, contexts = block.contexts(number, place)
+            sides = block.sides(place)
             rows, docs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             start, stop = start - block.starts[number], stop - block.starts[number]
             own = _first_of(contexts ^ _mix(grams), docs[number]) < docs[number]
-            yield from _packed(rows, docs, *_joined(number[own], start[own], stop[own]), None, None, parts)
+            yield from _packed(rows, docs, *_joined(number[own], start[own], stop[own]), None, None, None, parts)
             for is_common in (False, True):
                 rest = ~own & (np.isin(grams, common) == is_common)
-                yield from _packed(rows, docs, number[rest], start[rest], stop[rest], grams[rest], contexts[rest], parts, is_common)
+                yield from _packed(rows, docs, number[rest], start[rest], stop[rest], grams[rest], contexts[rest], sides[rest], parts, is_common)
 
     def settle(table: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_unpacked(r) for r in table.to_pylist()), strict=True)]
@@ -228,7 +256,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         if part < 0:
             return pa.Table.from_batches([_spans(*columns[:4])])
         again, open_ = _settled(*columns)
-        rows, docs, starts, stops, grams, _ = columns
+        rows, docs, starts, stops, grams, *_ = columns
         is_common = part >= parts
         if is_common:  # the contexts of a common gram are in all parts
             open_ = ~again
@@ -250,7 +278,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, found
 
 
-def _packed(rows, docs, number, start, stop, grams, contexts, parts, common=False) -> Iterator[pa.RecordBatch]:
+def _packed(rows, docs, number, start, stop, grams, contexts, sides, parts, common=False) -> Iterator[pa.RecordBatch]:
     """A row for each part: the documents it names, then the entries column by column.
 
     Entries that are settled already go to the parts below zero, any of them.  Hashes
@@ -278,7 +306,7 @@ def _packed(rows, docs, number, start, stop, grams, contexts, parts, common=Fals
             (start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), (stop - start)[at].astype("<i4" if grams is None else "u1"),
         ]
         if grams is not None:
-            columns += [_seven(grams[at]), _seven(contexts[at])]
+            columns += [_seven(grams[at]), _seven(contexts[at]), sides[at].astype("<u4")]
         data.append(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
     yield pa.RecordBatch.from_arrays([pa.array(part[order][edges]), pa.array(data, pa.binary())], names=["part", "data"])
 
@@ -309,7 +337,8 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
     start = take("<u2", size).astype(np.int32)
     start |= take("<u2", size).astype(np.int32) << 16
     stop = start + take("u1" if row["part"] >= 0 else "<i4", size)
-    return rows[number], docs[number], start, stop, hashes(size), hashes(size)
+    grams, contexts = hashes(size), hashes(size)
+    return rows[number], docs[number], start, stop, grams, contexts, take("<u4", size if row["part"] >= 0 else 0)
 
 
 def _zipped(texts: DataFrame) -> DataFrame:
