@@ -92,6 +92,11 @@ class LogFolder:
         numbered = counted.select("*", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), read.alias("read"))
         self.index = kept(numbered.where("read AND n > 0").drop("read", "ended"), path=self._path)
 
+    @property
+    def index_path(self) -> str:
+        """Where the table of ranges lies."""
+        return self._path
+
     def close(self) -> None:
         drop(self._spark, self._path)
 
@@ -127,19 +132,24 @@ def _reader(store: Store) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                number = row["before"]
-                with store.open(row["file_id"]) as file:
-                    for lines in _READ[row["kind"]](file, row["start"], row["stop"]):
-                        places = pa.array(range(number + 1, number + len(lines) + 1), pa.int64())
-                        number += len(lines)
-                        names = pa.array([row["file_id"]] * len(lines), pa.string())
-                        yield pa.RecordBatch.from_arrays([names, places, pa.array(lines, pa.string())], schema=_LINES)
-                if number - row["before"] != row["n"]:
-                    raise ValueError(f"{row['file_id']} changed while it was read")
+                yield from numbered_lines(store, row)
 
     return read
 
 
+def numbered_lines(store: Store, row: dict) -> Iterator[pa.RecordBatch]:
+    """The lines of a range (file_id, kind, start, stop, before, n), as they come; n may be None."""
+    number = row["before"]
+    with store.open(row["file_id"]) as file:
+        for lines in filter(None, _READ[row["kind"]](file, row["start"], row["stop"])):
+            places = pa.array(range(number + 1, number + len(lines) + 1), pa.int64())
+            number += len(lines)
+            names = pa.array([row["file_id"]] * len(lines), pa.string())
+            yield pa.RecordBatch.from_arrays([names, places, pa.array(lines, pa.string())], schema=_LINES)
+    if row["n"] is not None and number - row["before"] != row["n"]:
+        raise ValueError(f"{row['file_id']} changed while it was read")
+
+
 class _Ends(NamedTuple):
     """How lines or elements end."""
 
