@@ -434,6 +434,13 @@ FROM matches""", *EVENT_HITS, COUNTS, CORRELATION_ROWS, MATCHES),
   CASE WHEN event_type = 'signup' THEN '<Event>' || chr(10) || regexp_replace(line, '[<>&]', '_', 'g') || chr(10) || '</Event>'
        ELSE line END AS line
 FROM event_log JOIN events ON event_id + 1 = event_log.line_no""", EVENT_LOG),
+        "log_format_scan": sql(
+            r"""SELECT * FROM (SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS file_id,
+  row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS line_no,
+  CASE WHEN event_type = 'error' THEN line_no END AS record_id,
+  CASE WHEN event_type = 'signup' THEN '<Event>' || chr(10) || regexp_replace(line, '[<>&]', '_', 'g') || chr(10) || '</Event>'
+       ELSE line END AS line
+FROM event_log JOIN events ON event_id + 1 = event_log.line_no) WHERE line_no >= 2""", EVENT_LOG),
         "ioc_ipv4_docs": ioc_query("ipv4", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_domain_docs": ioc_query("domain", DOC_LINES, "plain", ascii_view("plain", "doc_lines")),
         "ioc_url_pages": ioc_query(

@@ -10,7 +10,8 @@ from tracelantern.functions.text import shortened, snippet, strip
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.plans import report, stix
 from tracelantern.plans.analysis import Analysis
-from tracelantern.sources import event_records, keyword_rules, manifest, text_files, views
+from tracelantern.sources import event_records, keyword_rules, log_format, manifest, text_files, views
+from tracelantern.sources.log_ranges import LogFolder
 from tracelantern.sources.store import Store
 from tracelantern.tables import frames
 from tracelantern.tables.correlations import CORRELATIONS
@@ -340,11 +341,11 @@ def event_record_decode(spark: SparkSession, folder: str) -> DataFrame:
     return _record_fields(event_records.numbered_records(bodies))
 
 
-def mixed_log_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Rendered events as a folder of mixed files, a file per event type and day, read by suffix.
+def _mixed_folder(spark: SparkSession, folder: str) -> str:
+    """Rendered events as a folder of mixed files, a file per event type and day.
 
-    Errors lie in binary event files, sign-ups in event XML, all others in text files
-    whose names start with ``_``.
+    Errors lie in binary event files, sign-ups in event XML, all others in text files;
+    all names start with ``_``.
     """
     kind, day = F.col("event_type"), F.col("day")
     suffix = F.when(kind == "error", ".evtx").when(kind == "signup", ".xml").otherwise(".log")
@@ -363,7 +364,10 @@ def mixed_log_scan(spark: SparkSession, folder: str) -> DataFrame:
     heads = chunks.select(F.col("file_id").alias("name"), F.lit(0).cast("long").alias("part"), header.alias("body")).distinct()
     path = stages.new_path(spark)
     Store().write(texts.unionByName(pages).unionByName(heads), path)
-    lines = text_files.read_logs(spark, path)
+    return path
+
+
+def _mixed_lines(lines: DataFrame) -> DataFrame:
     short = F.regexp_extract(F.url_decode("file_id"), r"/_([^/]*)\.\w+$", 1)
     records = _record_fields(lines)
     binary = F.col("file_id").endswith(".evtx")
@@ -372,6 +376,17 @@ def mixed_log_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixed_log_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of mixed log files, read by suffix."""
+    return _mixed_lines(text_files.read_logs(spark, _mixed_folder(spark, folder)))
+
+
+def log_format_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same folder through ``spark.read.format``: from the second line on, with the filter in the plan."""
+    index = LogFolder(spark, _mixed_folder(spark, folder))
+    return _mixed_lines(log_format.read_indexed(spark, index).where("line_no >= 2"))
+
+
 def ioc_tab(spark: SparkSession, folder: str) -> DataFrame:
     """The result tab of indicators: up to 100 values of a type."""
     return report.ioc_section(Analysis(views.event_log(spark, folder), kinds=extract.IOC_TYPES), 100)
@@ -520,6 +535,7 @@ def queries() -> dict[str, Query]:
         "keyword_rule_report": keyword_rule_report,
         "event_record_decode": event_record_decode,
         "mixed_log_scan": mixed_log_scan,
+        "log_format_scan": log_format_scan,
         "ioc_tab": ioc_tab,
         "correlation_section": correlation_section,
         "json_report_files": json_report_files,
