@@ -9,12 +9,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelantern.functions.stages import drop, kept, new_path
+from tracelantern.functions.stages import drop, kept, new_path, spread_rows
 from tracelantern.operators import chains, detect, extract, findings, rollup, score, tops
 from tracelantern.tables import frames
 from tracelantern.tables.correlations import CORRELATIONS
 from tracelantern.tables.ruleset import RuleSet
 
+# Rows of the roll-up that a task takes on average: a row is some 20 bytes in the table and 200 where it is grouped or sorted.
+ROWS_AT_ONCE = 500_000
+
 
 class Analysis:
     """DataFrames about ``lines``, one row set per file.
@@ -61,7 +64,9 @@ class Analysis:
     def rollup(self) -> DataFrame:
         self._kept.append(new_path(self._spark))
         found = rollup.rollup(self.lines, self.rules, self._kinds)
-        return kept(found, "kind", "file_id", path=self._kept[-1])
+        rows = kept(found, "kind", "file_id", path=self._kept[-1])
+        key = [name for name in ("file_id", "kind", "value", "block") if name in rows.columns]
+        return spread_rows(rows, ROWS_AT_ONCE, key=tuple(key))
 
     def keep(self, found: DataFrame) -> DataFrame:
         """A table written beside the roll-up."""

@@ -6,6 +6,7 @@ Every view is a projection of its table: one pass over whole texts.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelantern.functions.stages import spread_rows
 from tracelantern.sources.phrases import PHRASES
 
 
@@ -15,6 +16,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # Inputs with this many splits or more are never shuffled to spread them.
 _FEW_SPLITS = 64
+# Rows of ``events`` that a task takes at most on average.  Its row of some 20 bytes becomes a line
+# and a dozen facts, so a split by bytes would be far more than a task should hold.
+EVENTS_AT_ONCE = 50_000
 
 
 def spread(lines: DataFrame) -> DataFrame:
@@ -75,11 +79,17 @@ def chat_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` rendered as log lines; a file is one user on one day and the
     line number is the place of the event in the event stream."""
-    return spread(rendered_events(spark, folder).select("file_id", "line_no", "line"))
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    cores = min(spark.sparkContext.defaultParallelism, _FEW_SPLITS)
+    return rendered(spread_rows(events, EVENTS_AT_ONCE, cores)).select("file_id", "line_no", "line")
 
 
 def rendered_events(spark: SparkSession, folder: str) -> DataFrame:
     """``event_log`` with the event type and day."""
+    return rendered(table(spark, folder, "events"))
+
+
+def rendered(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     ident = F.col("event_id")
     event_id = (
@@ -108,7 +118,7 @@ def rendered_events(spark: SparkSession, folder: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     stamp = F.when(kind == "click", F.replace(stamp, F.lit(" "), F.lit("T"))).when(
         kind == "purchase", F.lit("-")).otherwise(stamp)
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.concat(F.col("user_id").cast("string"), F.date_format("ts", "'-'yyyy-MM-dd")).alias("file_id"),
         (ident + 1).alias("line_no"),
