@@ -11,6 +11,7 @@ from tracelantern.operators import rollup
 from tracelantern.plans import dossier, report, stix
 from tracelantern.plans.analysis import Analysis
 from tracelantern.plans.report import Limits
+from tracelantern.sources.store import Store
 from tracelantern.tables.correlations import CORRELATIONS
 from tracelantern.tables.ruleset import Rule, RuleSet
 
@@ -114,3 +115,22 @@ def test_no_lines(spark):
 def test_without_rules(spark, lines):
     found = report.file_report(Analysis(lines, RuleSet(()), correlations=(), kinds=rollup.ALL)).collect()
     assert {r.threat_score for r in found} == {0} and len(found) == 3
+
+
+def test_many_files_lie_in_folders_and_tasks_read_them_back(spark, tmp_path):
+    texts = spark.range(3000).select(F.format_string("f %d/é", "id").alias("file_id"), F.format_string("body %d", "id").alias("text"))
+    assert report.write_by_file(texts, "text", str(tmp_path / "out"), ".txt")[0] == 3000
+    folders = list((tmp_path / "out").iterdir())
+    assert 100 < len(folders) <= 256 and all(f.is_dir() and len(f.name) == 2 for f in folders)
+    # a name has the same place in every run
+    assert report.write_by_file(texts.where("file_id LIKE 'f 7%'"), "text", str(tmp_path / "out"), ".txt")[0] == 111
+    found = Store().read(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+    got = {r.name: bytes(r.body).decode() for r in found.collect()}
+    assert got == {f"f+{k}%2F%C3%A9.txt": f"body {k}" for k in range(3000)}
+
+
+def test_ranks_without_a_limit_take_one_window(spark, lines):
+    indicators = stix.stix_indicators(Analysis(lines).iocs, None)
+    assert indicators._jdf.queryExecution().executedPlan().toString().count("RunningWindowFunction") <= 1
+    assert indicators._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracelantern.functions.membership import maybe_in
 from tracelantern.functions.text import strip
 from tracelantern.operators import extract, rollup, score
-from tracelantern.operators.ranking import first_rows
+from tracelantern.operators.ranking import NO_LIMIT, first_rows
 from tracelantern.tables.techniques import TECHNIQUES
 
 
@@ -32,7 +32,6 @@ class Limits:
     details_per_rule: int | None = 50
 
 
-_NO_LIMIT = (1 << 31) - 1
 _TOKENS = (rollup.IP, rollup.USER, rollup.EVENT_ID)
 _PLACE = (1 << 24) - 1
 
@@ -42,7 +41,7 @@ def _of_kind(limits: Limits) -> dict[str, int]:
         rollup.IP: limits.top_ips, rollup.USER: limits.top_users, rollup.EVENT_ID: limits.top_event_ids,
         rollup.HIT: limits.details_per_rule, **dict.fromkeys(extract.IOC_TYPES, limits.iocs_per_type),
     }
-    return {kind: _NO_LIMIT if n is None else n for kind, n in found.items()}
+    return {kind: NO_LIMIT if n is None else n for kind, n in found.items()}
 
 
 def counters(rows: DataFrame) -> DataFrame:
@@ -220,7 +219,7 @@ def left_out(rows: DataFrame, limits: Limits) -> DataFrame:
     many = rows.where(kind.isin(*of_kind) & (kind != rollup.HIT) | (kind == rollup.RULE)).groupBy(
         "file_id", part.alias("part"), F.when(kind == rollup.RULE, rollup.HIT).otherwise(kind).alias("kind")
     ).agg(F.sum(F.when(kind == rollup.RULE, F.col("cnt")).otherwise(1)).alias("total"))
-    limit = reduce(lambda n, k: F.when(kind == k, of_kind[k]).otherwise(n), of_kind, F.lit(_NO_LIMIT))
+    limit = reduce(lambda n, k: F.when(kind == k, of_kind[k]).otherwise(n), of_kind, F.lit(NO_LIMIT))
     return many.where(F.col("total") > limit).select(
         "file_id", "part", limit.cast("long").alias("shown"), (F.col("total") - limit).alias("left_out")
     )
