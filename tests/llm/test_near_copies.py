@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm import plain
 from tracelantern.llm import near_copies
@@ -39,6 +41,21 @@ def test_stage_finds_pairs_from_similarity_0_8(spark):
         assert (2 * k + 1 in left) == (s < 0.8), s
 
 
+def test_fingerprints_find_pairs_that_share_no_band(spark, monkeypatch):
+    def own(grams):
+        return near_copies._mixed(grams.sum() + np.arange(near_copies.BANDS, dtype=np.uint64)).view(np.int64)
+
+    monkeypatch.setattr(near_copies, "band_keys", own)
+    rnd = random.Random(14)
+    rows = []
+    for k in range(8):
+        words = [f"w{rnd.randrange(90000)}" for _ in range(3000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(plain.odd_documents(spark, rows)).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(8)) >= 6
+    assert all(found[2 * k] == 2 * k for k in range(8))
+
+
 def test_components_of_chains_and_large_groups(spark):
     rnd = random.Random(13)
     rows = [(None, "no id"), (900, ""), (901, None), (902, " \n"), (903, "a b"), (904, "A  b"), (905, "b a")]

@@ -1,11 +1,12 @@
 """Near-copies by the exact similarity of their word shingles.
 
 A document is the set of its shingles of five words, and two documents are near-copies
-when the sets share at least 0.8 of their union.  Candidates come from min-hashes: 30
-bands of six, so that a pair at 0.8 meets in some band with probability 0.9998 and a
-pair at 0.9 practically always; a SimHash of 64 bits differs in about ten bits at 0.8,
-too many for blocks of bits.  Each candidate is decided by its sets, never by an
-estimate.
+when the sets share at least 0.8 of their union.  Candidates come from the SimHash of the
+set, by the Gray-order index of ``simhash``: those whose fingerprints are equal or linked.
+A pair at 0.8 differs in about ten of 64 bits, too many for blocks of bits, so for less
+alike pairs there are min-hashes besides: 30 bands of six, in which a pair at 0.8 meets
+with probability 0.9998 and a pair at 0.9 practically always.  Each candidate is decided
+by its sets, never by an estimate.
 
 Members of a band are first compared with the smallest of them, which joins a large
 group in as many comparisons as it has members.  Then those whose component is not the
@@ -27,13 +28,15 @@ from tracelantern.functions.membership import maybe_in
 from tracelantern.functions.stages import kept
 from tracelantern.llm.components import components
 from tracelantern.llm.shared import hot_join, slices, whole_bytes
+from tracelantern.llm.simhash import links as fingerprint_links
+from tracelantern.llm.simhash import majority
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _AT_ONCE = 4096
-_SHINGLED = "doc_id long, node long, size int, keys array<long>, grams binary"
+_SHINGLED = "doc_id long, node long, size int, fp long, keys array<long>, grams binary"
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -77,9 +80,10 @@ def _shingled(words_in_shingle: int):
                 batch.column(0),
                 pa.array([xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) for grams in sets], pa.int64()),
                 pa.array(map(len, short), pa.int32()),
+                pa.array(np.array([majority(grams) for grams in sets], np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys))),
                 pa.array([s.tobytes() for s in short], pa.binary()),
-            ], names=["doc_id", "node", "size", "keys", "grams"])
+            ], names=["doc_id", "node", "size", "fp", "keys", "grams"])
 
     return run
 
@@ -132,7 +136,8 @@ def near_copies(documents: DataFrame, words_in_shingle: int = WORDS, similarity:
     """
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = kept(texts.mapInArrow(_shingled(words_in_shingle), _SHINGLED).withColumn("row", F.monotonically_increasing_id()))
-    nodes = kept(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("n")))
+    nodes = kept(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("n"),
+        F.min("size").alias("size"), F.min("fp").alias("fp")))
     banded = rows.select("node", "size", F.explode("keys").alias("key"))
     groups = banded.groupBy("key").agg(
         F.min(F.struct("node", "size")).alias("first"), F.max("node").alias("last"), F.count("*").alias("m")
@@ -143,7 +148,7 @@ def near_copies(documents: DataFrame, words_in_shingle: int = WORDS, similarity:
     stars = members.where("node <> first.node").select(
         F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.size").alias("a_size"), F.col("size").alias("b_size")
     )
-    links = _verified(stars, rows, nodes, similarity)
+    links = _verified(stars.unionByName(_by_fingerprint(nodes)), rows, nodes, similarity)
     links = links.unionByName(_verified(_across(members, nodes, links), rows, nodes, similarity))
     of_node = nodes.join(kept(components(links)).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "node", "least", "n", F.coalesce("root", "node").alias("root")
@@ -155,6 +160,20 @@ def near_copies(documents: DataFrame, words_in_shingle: int = WORDS, similarity:
     return hot_join(rows.select("doc_id", "node"), labelled, "node", "n", whole).select("doc_id", "component_id")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs whose fingerprints are equal or linked: each with the smallest node of its own or of the linked fingerprint."""
+    groups = kept(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("m")))
+    total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    equal = hot_join(nodes.select("fp", "node", "size"), groups, "fp", "m", total).where("node <> first.node")
+    first = groups.select("fp", "first")
+    linked = kept(fingerprint_links(groups.select("fp")))
+    linked = linked.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = equal.select(F.col("first").alias("x"), F.struct("node", "size").alias("y")).unionByName(linked.select("x", "y"))
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return pairs.select(low.node.alias("a"), high.node.alias("b"), low.size.alias("a_size"), high.size.alias("b_size"))
+
+
 def _across(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs that share a band but not a component of ``links``."""
     root = kept(components(links)).select(F.col("node").alias("of"), "root")

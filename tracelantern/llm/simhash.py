@@ -52,6 +52,11 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
     hashes = np.array(
         [digest(view[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1:].tolist(), strict=False)], dtype=np.uint64
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: a bit is set where it is in over half of them."""
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(0, 2048, 256)
     ones = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), "little")
