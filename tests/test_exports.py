@@ -119,11 +119,11 @@ def test_without_rules(spark, lines):
 
 def test_many_files_lie_in_folders_and_tasks_read_them_back(spark, tmp_path):
     texts = spark.range(3000).select(F.format_string("f %d/é", "id").alias("file_id"), F.format_string("body %d", "id").alias("text"))
-    assert report.write_by_file(texts, "text", str(tmp_path / "out"), ".txt")[0] == 3000
+    assert report.write_by_file(texts, "text", str(tmp_path / "out"), ".txt", dealt=True)[0] == 3000
     folders = list((tmp_path / "out").iterdir())
     assert 100 < len(folders) <= 256 and all(f.is_dir() and len(f.name) == 2 for f in folders)
     # a name has the same place in every run
-    assert report.write_by_file(texts.where("file_id LIKE 'f 7%'"), "text", str(tmp_path / "out"), ".txt")[0] == 111
+    assert report.write_by_file(texts.where("file_id LIKE 'f 7%'"), "text", str(tmp_path / "out"), ".txt", dealt=True)[0] == 111
     found = Store().read(spark, str(tmp_path / "out"))
     assert found.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
     got = {r.name: bytes(r.body).decode() for r in found.collect()}
