@@ -73,3 +73,16 @@ def test_components_of_chains_and_large_groups(spark):
     stays = near_copies.one_of_each(documents)
     assert stays.columns == documents.columns
     assert {r.doc_id for r in stays.collect()} == {None, *want.values()}
+
+
+def test_many_texts_just_below_the_similarity_are_not_all_compared(spark, monkeypatch):
+    rnd, met = random.Random(15), []
+    base = [f"v{k}" for k in range(120)]
+    rows = [(k, " ".join(_edited(rnd, base, 3))) for k in range(600)]
+    rows += [(1000 + k, rows[50 * k][1] + " end") for k in range(10)]  # alike to one text each, and to few others
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: met.append(pairs.distinct().count()) or verified(pairs, *rest))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: _shingles(t) for i, t in rows}
+    assert found == plain.components(sets, [p for p in combinations(sets, 2) if _similarity(sets[p[0]], sets[p[1]]) >= 0.8])
+    assert sum(met) <= 2 * near_copies.BANDS * len(rows)  # a pair for each member of a band, twice

@@ -8,20 +8,25 @@ alike pairs there are min-hashes besides: 30 bands of six, in which a pair at 0.
 with probability 0.9998 and a pair at 0.9 practically always.  Each candidate is decided
 by its sets, never by an estimate.
 
-Members of a band are first compared with the smallest of them, which joins a large
-group in as many comparisons as it has members.  Then those whose component is not the
-band's largest are compared with all members of other components, so every pair that
-meets in a band is either in one component or was compared.
+Members of a band are first compared with the smallest of them, then, where several
+components are left, with the one that meets most others: as many comparisons as a
+group has members.  What bands still hold in several components is settled by an exact
+filter.  With shingles in one order, rare ones first, two sets that share enough share
+one among the first few of each, about a ninth for sets of equal size.  So members meet
+again by these few shingles, which alike pairs of one passage with words of their own
+do not share, and only where such a group holds several components, those outside its
+largest are compared.  No pair that meets in a band and is alike is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelantern.functions.membership import maybe_in
@@ -36,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _AT_ONCE = 4096
+# Sizes of one class differ by 4 % at most; a set looks for smaller ones class by class.
+_CLASS = math.log(1.04)
 _SHINGLED = "doc_id long, node long, size int, fp long, keys array<long>, grams binary"
 
 
@@ -101,6 +108,15 @@ def _alike(similarity: float):
     return run
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of ``node, size, root, grams``."""
+    for batch in slices(batches):
+        sets = [np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(3)]
+        of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        token = pa.array(np.concatenate([*sets, np.zeros(0, "<u4")]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), token], names=["node", "size", "root", "token"])
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     """``pairs`` with the set of one side; a node in very many pairs is joined in place."""
     times = pairs.groupBy(side).agg(F.count("*").alias("times"))
@@ -109,6 +125,12 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return hot_join(pairs, groups, side, "times", total).drop("times")
 
 
+def _sets(named: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct nodes ``named`` with their ``grams``; other sets are not moved."""
+    asked = kept(named.join(nodes.select("node", "row"), "node"))
+    return kept(maybe_in(rows.select("row", "grams"), asked, "row").join(asked, "row").drop("row"))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b, a_size, b_size)`` whose sets are alike: ``a, b``.
 
@@ -119,8 +141,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: f
     if pairs.isEmpty():
         return pairs
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = kept(named.join(nodes.select("node", "row"), "node"))
-    sets = kept(maybe_in(rows.select("row", "grams"), asked, "row").join(asked, "row").select("node", "grams"))
+    sets = _sets(named, rows, nodes)
     first = kept(_with_sets(pairs, sets, "a"))
     both = _with_sets(first, sets, "b")
     return kept(both.select("a", "b", "a_grams", "b_grams").mapInArrow(_alike(similarity), "a long, b long"))
@@ -149,7 +170,9 @@ def near_copies(documents: DataFrame, words_in_shingle: int = WORDS, similarity:
         F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.size").alias("a_size"), F.col("size").alias("b_size")
     )
     links = _verified(stars.unionByName(_by_fingerprint(nodes)), rows, nodes, similarity)
-    links = links.unionByName(_verified(_across(members, nodes, links), rows, nodes, similarity))
+    links = links.unionByName(_verified(_by_centre(_open(members, nodes, links)), rows, nodes, similarity))
+    open_ = _open(members, nodes, links).select("node", "size", "root").distinct()
+    links = links.unionByName(_verified(_by_prefix(_sets(open_, rows, nodes), similarity), rows, nodes, similarity))
     of_node = nodes.join(kept(components(links)).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "node", "least", "n", F.coalesce("root", "node").alias("root")
     )
@@ -170,32 +193,73 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     linked = linked.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
         first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     pairs = equal.select(F.col("first").alias("x"), F.struct("node", "size").alias("y")).unionByName(linked.select("x", "y"))
+    return _ordered(pairs)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """``a, b, a_size, b_size`` of pairs of ``x(node, size)`` and ``y(node, size)``."""
     low, high = F.least("x", "y"), F.greatest("x", "y")
     return pairs.select(low.node.alias("a"), high.node.alias("b"), low.size.alias("a_size"), high.size.alias("b_size"))
 
 
-def _across(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs that share a band but not a component of ``links``."""
+def _open(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of bands that hold several components of ``links``; weight is how many others a node meets."""
     root = kept(components(links)).select(F.col("node").alias("of"), "root")
-    roots = kept(nodes.join(root, F.col("node") == F.col("of"), "left").select("node", "n", F.coalesce("root", "node").alias("root")))
-    times = members.groupBy("node").agg(F.count("*").alias("times"))
-    total = members.count()
-    labelled = kept(hot_join(members.select("key", "node", "size"), kept(times.join(roots, "node").select("node", "times", "root")), "node", "times", total))
-    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("p"))
+    roots = kept(nodes.join(root, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root")))
+    times = members.groupBy("node").agg(F.count("*").alias("times"), F.sum("m").alias("weight"))
+    of_node = kept(times.join(roots, "node"))
+    return _mixed_groups(kept(hot_join(members.select("key", "node", "size"), of_node, "node", "times", members.count()).drop("times")))
+
+
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """The ``rows(key, root, ...)`` of groups with several roots, with the most frequent root ``top`` and the number of rows ``m``."""
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("p"))
     largest = parts.groupBy("key").agg(F.max(F.struct("p", "root")).alias("top"), F.count("*").alias("roots"), F.sum("p").alias("m"))
     mixed = kept(largest.where("roots > 1").select("key", F.col("top.root").alias("top"), "m"))
-    rows = kept(hot_join(labelled.select("key", "node", "size", "root"), mixed, "key", "m", total))
-    strays = rows.where("root <> top").groupBy("key").agg(
-        F.collect_set(F.struct("node", "size", "root")).alias("strays"), F.max("m").alias("m")
-    )
-    met = hot_join(rows.select("key", "node", "size", "root"), kept(strays), "key", "m", total)
-    met = met.select("node", "size", "root", F.explode("strays").alias("s")).where("s.root <> root")
-    swap = F.col("node") < F.col("s.node")
-    return met.select(
-        F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"),
-        F.when(swap, F.col("size")).otherwise(F.col("s.size")).alias("a_size"),
-        F.when(swap, F.col("s.size")).otherwise(F.col("size")).alias("b_size"),
+    return kept(hot_join(rows, mixed, "key", "m", rows.count()))
+
+
+def _by_centre(members: DataFrame) -> DataFrame:
+    """Pairs of each member and the one of its band that meets most others."""
+    centres = kept(members.groupBy("key").agg(F.max(F.struct("weight", "node", "size", "root")).alias("c"), F.max("m").alias("m")))
+    met = hot_join(members.select("key", "node", "size", "root"), centres, "key", "m", members.count()).where("root <> c.root")
+    return _ordered(met.select(F.struct("node", "size").alias("x"), F.struct("c.node", "c.size").alias("y")))
+
+
+def _by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``sets(node, size, root, grams)`` of two roots that may be alike: sets of sizes n
+    and m must share ``least(n, m)`` shingles, so the first they share, rare ones first, has
+    that many behind it in both."""
+    share = similarity / (1 + similarity)
+
+    def least(both: Column) -> Column:
+        return F.ceil(both * share - 1e-6)
+
+    def class_of(size: Column) -> Column:
+        return F.floor(F.log(F.greatest(size, F.lit(1.0))) / _CLASS)
+
+    tokens = kept(sets.select("node", "size", "root", "grams").mapInArrow(_spelled, "node long, size int, root long, token long"))
+    often = kept(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+    shared = kept(hot_join(tokens, often, "token", "often", tokens.count()))
+    own = Window.partitionBy("node")
+    # shingles of no other set come first
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "token")) - 1
+    behind = F.col("size") - F.col("at")
+    placed = kept(shared.withColumn("at", at).select("node", "size", "root", "token", behind.alias("behind")).where(F.col("behind") >= similarity * F.col("size") - 1e-6))
+    small = placed.where(F.col("behind") >= least(2 * F.col("size"))).select("*", F.lit(True).alias("small"), class_of(F.col("size")).alias("class"))
+    low = similarity * F.col("size") - 1e-6
+    large = placed.select("*", F.lit(False).alias("small"), F.explode(F.sequence(class_of(low), class_of(F.col("size")))).alias("class"))
+    large = large.where(F.col("behind") >= least(F.col("size") + F.greatest(low, F.exp(F.col("class") * _CLASS))))
+    rows = kept(small.unionByName(large).select(F.xxhash64("token", "class").alias("key"), "node", "size", "root", "behind", "small"))
+    mixed = _mixed_groups(rows)
+    strays = mixed.where("root <> top").groupBy("key").agg(
+        F.collect_set(F.struct("node", "size", "root", "behind", "small")).alias("strays"), F.max("m").alias("m")
     )
+    met = hot_join(mixed.drop("top", "m"), kept(strays), "key", "m", mixed.count())
+    met = met.select("node", "size", "root", "behind", "small", F.explode("strays").alias("s")).where("s.root <> root AND s.small <> small")
+    needed = least(F.col("size") + F.col("s.size"))
+    met = met.where((F.col("behind") >= needed) & (F.col("s.behind") >= needed))
+    return _ordered(met.select(F.struct("node", "size").alias("x"), F.struct("s.node", "s.size").alias("y")))
 
 
 def one_of_each(documents: DataFrame, words_in_shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
