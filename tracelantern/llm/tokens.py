@@ -31,17 +31,29 @@ def added_tokens(config: dict) -> tuple[regex.Pattern | None, dict[str, int]]:
     return (regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if ids else None), ids
 
 
+def _ranges(name: str) -> str:
+    """The first 65,536 characters of a property, as the regex library knows them, for a character class."""
+    runs = regex.findall(rf"\p{{{name}}}+", "".join(map(chr, range(1 << 16))))
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in runs)
+
+
 class Cutter:
     """Pieces of a text by a pattern whose properties stand within character classes."""
 
     def __init__(self, pattern: str):
-        self._any = regex.compile(pattern.replace(r"\s", SPACE)).findall
+        pattern = pattern.replace(r"\s", SPACE)
+        self._any = regex.compile(pattern).findall
+        # the faster engine looks up what is spelled out in a table of the first 65,536 characters
+        self._most = re.compile(re.sub(r"\\p\{(\w+)\}", lambda found: _ranges(found[1]), pattern)).findall
+        self._beyond = re.compile("[\U00010000-\U0010ffff]").search
         # the same classes among the first 128 characters, for the faster engine
-        plain = pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        plain = pattern.replace(SPACE, r"\t-\r ").replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
         self._ascii = re.compile(plain).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self._ascii(text) if text.isascii() else self._any(text)
+        if text.isascii():
+            return self._ascii(text)
+        return self._any(text) if self._beyond(text) else self._most(text)
 
 
 class Encoder:
@@ -71,14 +83,25 @@ class Encoder:
         return self.all([text])[0]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what is not remembered goes to the tokenizer at once."""
+        """The ids of each text; pieces not remembered go to the tokenizer, those of all texts at once."""
         if not self.by_piece:
             return [_packed(found.ids) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # pieces, and ids where an added token stands
         cut = [self._pieces(text) for text in texts]
-        self._learn(set().union(*cut))
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
+        found = [self._remembered(pieces) for pieces in cut]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            self._learn(set().union(*(cut[k] for k in new)))
+            for k in new:
+                found[k] = self._remembered(cut[k])
+        return found
+
+    def _remembered(self, pieces: list[str]) -> bytes | None:
+        """The ids of pieces that are all remembered."""
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return None
 
     def _pieces(self, text: str) -> list[str]:
         if self.added is None or not self.added.search(text):
