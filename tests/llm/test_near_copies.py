@@ -86,3 +86,18 @@ def test_many_texts_just_below_the_similarity_are_not_all_compared(spark, monkey
     sets = {i: _shingles(t) for i, t in rows}
     assert found == plain.components(sets, [p for p in combinations(sets, 2) if _similarity(sets[p[0]], sets[p[1]]) >= 0.8])
     assert sum(met) <= 2 * near_copies.BANDS * len(rows)  # a pair for each member of a band, twice
+
+
+def test_first_shingles_find_all_alike_sets(spark):
+    rnd, sets = random.Random(17), {}
+    for k in range(40):
+        base = rnd.sample(range(500), rnd.randint(1, 120))
+        for j in range(6):
+            some = set(rnd.sample(base, rnd.randint(-(-9 * len(base) // 10), len(base)))) | {10**6 + rnd.randrange(10**6) for _ in range(rnd.randint(0, len(base) // 12))}
+            sets[10 * k + j - 200] = some
+    rows = [(k, len(v), k, bytearray(np.array(sorted(v), "<u4").tobytes())) for k, v in sets.items()]
+    found = near_copies._by_prefix(spark.createDataFrame(rows, "node long, size int, root long, grams binary"), 0.8)
+    found = {(r.a, r.b) for r in found.distinct().collect()}
+    alike = {(a, b) for a, b in combinations(sorted(sets), 2) if _similarity(sets[a], sets[b]) >= 0.8 and sets[a] != sets[b]}
+    assert len(alike) > 200 and alike <= found
+    assert len(found) < 3 * len(alike)

@@ -252,11 +252,13 @@ def _by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
     large = large.where(F.col("behind") >= least(F.col("size") + F.greatest(low, F.exp(F.col("class") * _CLASS))))
     rows = kept(small.unionByName(large).select(F.xxhash64("token", "class").alias("key"), "node", "size", "root", "behind", "small"))
     mixed = _mixed_groups(rows)
-    strays = mixed.where("root <> top").groupBy("key").agg(
-        F.collect_set(F.struct("node", "size", "root", "behind", "small")).alias("strays"), F.max("m").alias("m")
+    # a set that looks for smaller ones meets only those, so the key of the one side names the role of the other
+    strays = mixed.where("root <> top").groupBy(F.xxhash64("key", ~F.col("small")).alias("key")).agg(
+        F.collect_set(F.struct("node", "size", "root", "behind")).alias("strays"), F.max("m").alias("m")
     )
-    met = hot_join(mixed.drop("top", "m"), kept(strays), "key", "m", mixed.count())
-    met = met.select("node", "size", "root", "behind", "small", F.explode("strays").alias("s")).where("s.root <> root AND s.small <> small")
+    roles = mixed.select(F.xxhash64("key", "small").alias("key"), "node", "size", "root", "behind")
+    met = hot_join(roles, kept(strays), "key", "m", mixed.count())
+    met = met.select("node", "size", "root", "behind", F.explode("strays").alias("s")).where("s.root <> root")
     needed = least(F.col("size") + F.col("s.size"))
     met = met.where((F.col("behind") >= needed) & (F.col("s.behind") >= needed))
     return _ordered(met.select(F.struct("node", "size").alias("x"), F.struct("s.node", "s.size").alias("y")))
