@@ -1,5 +1,6 @@
 """Tables whose tasks have an end, however many rows a byte of input holds."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelantern.functions.stages import kept, spread_rows
@@ -7,6 +8,7 @@ from tracelantern.operators import rollup
 from tracelantern.plans import analysis
 from tracelantern.plans.analysis import Analysis
 from tracelantern.sources import views
+from tracelantern.sources.store import Store
 
 
 def test_splits_follow_the_number_of_rows(spark):
@@ -37,3 +39,22 @@ def test_events_and_roll_up_are_dealt_by_rows(spark, monkeypatch, tmp_path):
     with Analysis(lines, kinds=rollup.DETAILED) as dealt:
         assert dealt.rollup.rdd.getNumPartitions() == -(-len(want) // 100)
         assert sorted(map(str, dealt.rollup.collect())) == want
+
+
+class Watched(Store):
+    """Answers the bytes of the largest batch that a worker got, and writes nothing."""
+
+    def _writer(self, folder):
+        def watch(batches):
+            most = max((batch.nbytes for batch in batches), default=0)
+            yield pa.RecordBatch.from_pydict({"name": pa.array(["most"]), "size": pa.array([most], pa.int64())})
+
+        return watch
+
+
+def test_long_bodies_reach_the_writer_in_small_batches(spark):
+    rows = spark.range(400).select(F.lit("one").alias("name"), F.col("id").alias("part"), F.repeat(F.lit("x"), 65536).alias("body"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    most = Watched().write(rows, "/nowhere")[1]  # one name, so one task has them all
+    assert 1 << 20 < most < 6 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelantern.functions.stages import kept, spread_rows
+from tracelantern.functions.stages import arrow_bytes, kept, spread_rows
 
 # What Spark's and Hadoop's writers, and ``Store.replace``, put beside the data.
 _BOOKKEEPING = re.compile(r"_SUCCESS|_temporary|_committed_.*|_started_.*|\..*\.crc|\.[0-9a-f-]{36}\.unready")
@@ -85,7 +85,9 @@ class Store:
         columns = rows.select("name", F.col("part").cast("long"), F.col("body").cast("binary"))
         dealt = columns.repartition("name").sortWithinPartitions("name", "part")
         done = dealt.mapInArrow(self._writer(folder.rstrip("/")), "name string, size long")
-        return tuple(done.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
+        # long bodies would fill a batch of 64 MB in every worker
+        with arrow_bytes(rows.sparkSession, _BYTES_AT_ONCE):
+            return tuple(done.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
 
     def _writer(self, folder: str) -> Callable:
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
