@@ -101,3 +101,23 @@ def test_first_shingles_find_all_alike_sets(spark):
     alike = {(a, b) for a, b in combinations(sorted(sets), 2) if _similarity(sets[a], sets[b]) >= 0.8 and sets[a] != sets[b]}
     assert len(alike) > 200 and alike <= found
     assert len(found) < 3 * len(alike)
+
+
+def test_workers_get_texts_in_small_batches(spark, monkeypatch):
+    shingled = near_copies._shingled
+
+    def watched(words_in_shingle):
+        run = shingled(words_in_shingle)
+
+        def few(batches):
+            for batch in batches:
+                assert batch.nbytes < 40_000
+                yield batch
+
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(near_copies, "_shingled", watched)
+    monkeypatch.setattr(near_copies, "_BATCH_BYTES", 10_000, raising=False)
+    rows = [(k, " ".join(f"w{k // 2}x{j}" for j in range(200))) for k in range(100)]
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {tuple(r) for r in found.collect()} == {(k, k - k % 2) for k in range(100)}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelantern.functions.membership import maybe_in
-from tracelantern.functions.stages import kept
+from tracelantern.functions.stages import arrow_bytes, kept
 from tracelantern.llm.components import components
 from tracelantern.llm.shared import hot_join, slices, whole_bytes
 from tracelantern.llm.simhash import links as fingerprint_links
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _AT_ONCE = 4096
+# What a worker gets at once; an executor holds a batch in its JVM and in Python for each core.
+_BATCH_BYTES = 4 << 20
 # Sizes of one class differ by 4 % at most; a set looks for smaller ones class by class.
 _CLASS = math.log(1.04)
 _SHINGLED = "doc_id long, node long, size int, fp long, keys array<long>, grams binary"
@@ -155,6 +157,12 @@ def near_copies(documents: DataFrame, words_in_shingle: int = WORDS, similarity:
     is one shingle of its own kind.  component_id is the smallest doc_id reached; null
     ids count as absent.  Columns other than doc_id and text are not read.
     """
+    # every step in Python is kept before the end of this
+    with arrow_bytes(documents.sparkSession, _BATCH_BYTES):
+        return _components_of(documents, words_in_shingle, similarity)
+
+
+def _components_of(documents: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = kept(texts.mapInArrow(_shingled(words_in_shingle), _SHINGLED).withColumn("row", F.monotonically_increasing_id()))
     nodes = kept(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("n"),
