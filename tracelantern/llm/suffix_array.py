@@ -1,4 +1,4 @@
-"""Linear-time suffix sorting by grouping."""
+"""Suffix sorting by grouping."""
 
 from __future__ import annotations
 
@@ -6,89 +6,42 @@ import numpy as np
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Starts of the suffixes of ``text`` in order; the last symbol must be smaller than all others.
+    """Starts of the suffixes of ``text`` in order; the last symbol must be smaller than all others."""
+    return suffix_order(np.asarray(text)).tolist()
 
-    Suffixes are grouped by a growing prefix, first by one symbol.  Groups are processed
-    from the highest down: each suffix of a group points to the nearest earlier suffix
-    of a lower group, and the suffixes pointed at leave their group for new ones right
-    above it, those with more pointers higher.  At the end every group holds the
-    suffixes with the same Lyndon prefix, and the pointers lead to the previous smaller
-    suffix.  What follows a Lyndon prefix is the next smaller suffix, so one pass over
-    the order found so far puts each suffix at the next free place of its group.
-    """
-    group, previous = _grouped(text)
-    n = len(text)
-    order, free, placed = [0] * n, list(range(n)), [False] * n
-    order[0] = n - 1
-    placed[n - 1] = True
-    for i in range(n):
-        # all suffixes whose next smaller suffix is this one
-        s = order[i] - 1
-        while s >= 0 and not placed[s]:
-            g = group[s]
-            order[free[g]] = s
-            free[g] += 1
-            placed[s] = True
-            s = previous[s]
-    return order
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of ``text`` in order; the last symbol must be smaller than all others.
 
-def _grouped(text: list[int]) -> tuple[list[int], list[int]]:
-    """Each suffix's group, named by its first place, and the previous smaller suffix."""
-    n = len(text)
-    symbols = np.asarray(text)
-    members = np.argsort(symbols, kind="stable")
-    place_array = np.empty(n, np.int64)
-    place_array[members] = np.arange(n)
-    ranked = symbols[members]
-    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    sizes = np.diff(np.append(starts, n))
-    size_array = np.zeros(n, np.int64)
-    size_array[starts] = sizes
-    group_array = np.empty(n, np.int64)
-    group_array[members] = np.repeat(starts, sizes)
-    members, place, group, size = members.tolist(), place_array.tolist(), group_array.tolist(), size_array.tolist()
-    previous = [-1] * n
-    end = n
-    while end > 0:
-        own = group[members[end - 1]]
-        pointers: dict[int, int] = {}
-        for s in sorted(members[own:end]) if end - own > 1 else members[own:end]:
-            p = s - 1
-            while p >= 0 and group[p] >= own:
-                p = previous[p]
-            previous[s] = p
-            if p >= 0:
-                pointers[p] = pointers.get(p, 0) + 1
-        end = own
-        if len(pointers) == 1:
-            batches = [[(group[p], p) for p in pointers]]
-        else:
-            by_number: dict[int, list[tuple[int, int]]] = {}
-            for p, number in pointers.items():
-                by_number.setdefault(number, []).append((group[p], p))
-            batches = [sorted(by_number[number]) for number in sorted(by_number, reverse=True)]
-        for batch in batches:
-            at = 0
-            while at < len(batch):
-                old = batch[at][0]
-                stop = at + 1
-                while stop < len(batch) and batch[stop][0] == old:
-                    stop += 1
-                if stop - at < size[old]:
-                    size[old] -= stop - at
-                    new = old + size[old]
-                    size[new] = stop - at
-                    # the moved suffixes change places with those at the end of the group
-                    to = new
-                    for _, p in batch[at:stop]:
-                        group[p] = new
-                    for _, p in batch[at:stop]:
-                        if place[p] < new:
-                            while group[members[to]] == new:
-                                to += 1
-                            other, here = members[to], place[p]
-                            members[to], members[here] = p, other
-                            place[p], place[other] = to, here
-                at = stop
-    return group, previous
+    Suffixes are grouped by a growing prefix, first by as many symbols as a number holds.
+    Each group is named by its first place in the order.  The name of a suffix and that of
+    the suffix behind its prefix stand for a prefix twice as long, so a round splits every
+    group by the groups of what follows.  A group of one has its place and is left alone.
+    """
+    symbols = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    n = len(symbols)
+    bits = max(1, int(symbols.max()).bit_length())
+    width = min(63 // bits, n)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        # the last symbol is no other's, so it does not matter what stands behind it
+        key[:n - k] |= symbols[k:] << bits * (width - 1 - k)
+    order = np.argsort(key)
+    group = np.empty(n, np.int64)
+    places = np.arange(n)
+    key = key[order]
+    while True:
+        new = np.append(True, key[1:] != key[:-1])
+        first = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        members = order[places]
+        group[members] = first
+        # suffixes that share their group
+        shared = ~(new & np.append(new[1:], True))
+        places, members, first = places[shared], members[shared], first[shared]
+        if not len(places):
+            return order
+        # two suffixes of a group agree in all of the prefix, so neither ends within it
+        key = first * n + group[members + width]
+        by = np.argsort(key)
+        order[places], key = members[by], key[by]
+        width *= 2

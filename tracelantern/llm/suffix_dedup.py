@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelantern.functions.stages import kept
 from tracelantern.llm.shared import slices, whole_bytes
-from tracelantern.llm.suffix_array import suffix_array
+from tracelantern.llm.suffix_array import suffix_order
 
 WIDTH = 50
 GRAM = 20
@@ -447,14 +447,16 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     windows = np.maximum(block.lengths - WIDTH + 1, 0)
     number = np.repeat(np.arange(len(contexts)), windows)
     place = np.repeat(block.starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    hashes = block.strings(place)
-    order = np.lexsort((docs[number], hashes))
-    h, d = hashes[order], docs[number][order]
-    new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-    edge = np.append(np.flatnonzero(new), len(h))
+    # the low bits make way for the string's number: strings with equal hashes are sorted side by side
+    bits = np.uint64(len(place).bit_length())
+    ranked = np.sort(block.strings(place) >> bits << bits | np.arange(len(place), dtype=np.uint64))
+    order = (ranked & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    h, d = ranked >> bits, docs[number][order]
     shared = np.zeros(len(h), bool)
     if len(h):
-        shared[order] = np.repeat(d[edge[1:] - 1] != d[edge[:-1]], np.diff(edge))
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        several = np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge)
+        shared[order] = np.repeat(several, np.diff(np.append(edge, len(h))))
     number, place = number[shared], place[shared]
     # the stretch of each context that its shared strings cover
     wanted, at = np.unique(number, return_index=True)
@@ -486,13 +488,15 @@ def _repeated(pieces: dict[bytes, list[tuple[int, int]]], docs: np.ndarray) -> l
     """
     if not pieces:
         return []
-    first = np.array([min(int(docs[c]) for c, _ in members) for members in pieces.values()])
+    sizes = np.array([len(members) for members in pieces.values()])
+    holders = np.array([c for members in pieces.values() for c, _ in members])
+    first = np.minimum.reduceat(docs[holders], np.cumsum(sizes) - sizes)
     lengths = np.array([len(p) for p in pieces])
     # 0 ends the text, 1 ends a stretch, bytes follow
     joined = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.int64) + 2
     ends = np.cumsum(lengths + 1) - 1
     joined[ends] = 1
-    order = np.array(suffix_array([*joined.tolist(), 0])[1:], dtype=np.int64)
+    order = suffix_order(np.append(joined, 0))[1:]
     number = np.repeat(np.arange(len(pieces)), lengths + 1)
     order = order[ends[number[order]] - order >= WIDTH]
     # neighbours in the order that share a string, and the smallest document of each
@@ -501,9 +505,12 @@ def _repeated(pieces: dict[bytes, list[tuple[int, int]]], docs: np.ndarray) -> l
     least = np.full(len(joined), _LAST)
     least[order] = np.repeat(np.minimum.reduceat(first[number[order]], edge), np.diff(np.append(edge, len(order))))
     out = []
-    for members, begin, end in zip(pieces.values(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+    begins = ends - lengths
+    # the strings of a stretch lie from its start to WIDTH - 1 before its end
+    borders = np.column_stack([begins, ends - WIDTH + 1]).ravel()
+    lows, highs = (ends_of.reduceat(least, borders)[::2].tolist() for ends_of in (np.minimum, np.maximum))
+    for members, begin, end, low, high in zip(pieces.values(), begins.tolist(), ends.tolist(), lows, highs, strict=True):
         own = least[begin:end - WIDTH + 1]
-        low, high = own.min(), own.max()
         for c, at in members:
             doc = docs[c]
             if high < doc:
