@@ -4,6 +4,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tracelantern.llm import pii, shared, tokens
+
 ROOT = str(Path(__file__).resolve().parent.parent.parent)
 
 CODE = f"""
@@ -39,3 +44,38 @@ def test_blind_workers(tmp_path):
     ran = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert ran.returncode == 0, ran.stderr[-2000:]
     assert ran.stdout.split() == ["3", "3", "1", "3", "2"]
+
+
+def test_pii_hands_over_little_at_once(spark, monkeypatch):
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes < 8 << 20
+            yield batch
+
+    monkeypatch.setattr(pii, "slices", small)
+    documents = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    kept = pii.redact(documents, pii.fit_judge(documents))
+    assert kept.agg(F.count("*"), F.sum(F.length("text"))).first() == (6000, 6000 * 5000)
+
+
+def test_a_worker_lets_go():
+    first = shared.in_worker(("made",), object)
+    assert shared.in_worker(("made",), object) is first
+    shared.free_worker()
+    assert shared.in_worker(("made",), object) is not first
+    shared.free_worker()
+
+
+def test_the_tokenizer_gets_few_pieces_at_once():
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(f"w{k:x}q" for k in range(10_000))
+    whole, most = encoder.tokenizer, []
+
+    class Watched:
+        def encode_batch(self, pieces, **options):
+            most.append(len(pieces))
+            return whole.encode_batch(pieces, **options)
+
+    encoder.tokenizer = Watched()
+    assert encoder(text) == tokens._packed(whole.encode(text, add_special_tokens=False).ids)
+    assert max(most) <= 5000

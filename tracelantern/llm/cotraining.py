@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracelantern.functions.stages import kept
 from tracelantern.llm.boosting import threshold_for
-from tracelantern.llm.shared import slices, whole_bytes
+from tracelantern.llm.shared import free_worker, slices, whole_bytes
 
 # Bounds of what the classifiers are fitted on: labelled rows of each label, unlabelled rows.
 LABELLED = 2000
@@ -223,6 +223,7 @@ def good_documents(documents: DataFrame, quality: Quality | None) -> DataFrame:
         return documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in slices(batches):
             views = batch
             for name in ("lang", "source"):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tracelantern.functions.membership import maybe_in
 from tracelantern.functions.stages import arrow_bytes, kept
 from tracelantern.llm.components import components
-from tracelantern.llm.shared import hot_join, slices, whole_bytes
+from tracelantern.llm.shared import free_worker, hot_join, slices, whole_bytes
 from tracelantern.llm.simhash import links as fingerprint_links
 from tracelantern.llm.simhash import majority
 
@@ -80,6 +80,7 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 
 def _shingled(words_in_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in slices(batches):
             sets = [shingles(text, words_in_shingle) for text in whole_bytes(batch.column(1))]
             keys = [band_keys(grams) for grams in sets]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelantern.functions.stages import kept
+from tracelantern.functions.stages import arrow_bytes, kept
 from tracelantern.llm.shared import slices
 from tracelantern.llm.tokens import encoder
 
@@ -28,6 +28,8 @@ TOKENS = 1024
 END_ID = 2
 # Pieces that one rank bucket of one length holds at most, about.
 _BUCKET_ROWS = 100_000
+# What a worker gets at once.
+_BATCH_BYTES = 4 << 20
 
 
 _PIECE = pa.schema([
@@ -146,7 +148,8 @@ def pack(
     gaps.  Columns other than doc_id and text are not read.
     """
     spark = documents.sparkSession
-    rows = kept(pieces(documents, tokenizer, capacity.tokens, end_id))
+    with arrow_bytes(spark, _BATCH_BYTES):
+        rows = kept(pieces(documents, tokenizer, capacity.tokens, end_id))
     # at most ``capacity`` rows, whatever the corpus
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(256, sum(counts.values()) // _BUCKET_ROWS)

@@ -7,6 +7,7 @@ fixed number, and gives the tokenizer only pieces it does not remember.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -20,6 +21,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 # How byte-level tokenizers cut a text (fixed values).
 BYTE_LEVEL = r"'(?:[stmd]|re|ve|ll)| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+"
 REMEMBERED = 400_000
+# Pieces that the tokenizer gets at once; what it returns is some 100 times larger.
+_LEARNED_AT_ONCE = 4096
 
 
 def added_tokens(config: dict) -> tuple[regex.Pattern | None, dict[str, int]]:
@@ -121,8 +124,9 @@ class Encoder:
                 known[piece] = _packed([self.added_ids[piece]])
             else:
                 missing.append(piece)
-        for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[piece] = _packed(found.ids)
+        for some in itertools.batched(missing, _LEARNED_AT_ONCE):
+            for piece, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                known[piece] = _packed(found.ids)
 
 
 def _packed(ids: list[int]) -> bytes:
