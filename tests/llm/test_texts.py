@@ -1,5 +1,6 @@
 """HTML, quality, language model, tokens, personal data and packing against plain versions."""
 
+import functools
 import hashlib
 import math
 import os
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm import plain
@@ -219,6 +221,43 @@ def test_judge_adds_what_the_base_rules_miss():
     assert judge.spans("no numbers but 4111111111111112 4111111111111112 here")[1] == []
 
 
+def test_judge_is_fitted_on_all_candidates_in_memory_or_in_tasks(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [f"card {rnd.randrange(10**16):016d} or call +1 555 {rnd.randrange(10**rnd.choice([3, 7]))}" for _ in range(9000)]
+    rows = [(k // 2, text) for k, text in enumerate(texts)] + [(None, "mail a@b.org " + "1" * 300)] * 2
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = Counter()
+    for i, text in rows:
+        base, failed, _ = pii.candidates(text)
+        for span in base + failed:
+            want[xxhash.xxh64_intdigest(f"{i}:{span.kind}:{span.start}".encode()) % 3 == 2] += 1
+    assert sum(want.values()) > 17_000
+    got, fit = [], boosting.Boosted.fit
+
+    def watched(self, rows, labels, counts=None):
+        got.append(len(rows) if counts is None else counts.sum())
+        return fit(self, rows, labels, counts)
+
+    monkeypatch.setattr(boosting.Boosted, "fit", watched)
+    monkeypatch.setattr(pii, "Boosted", functools.partial(boosting.Boosted, rounds=4))
+    near = pii.fit_judge(documents)
+    assert got == [want[False]]
+    far = pii.fit_judge(documents, in_memory=0)
+    assert len(got) == 1 and near.thresholds == far.thresholds and len(near.trees.trees) == len(far.trees.trees) == 4
+    for one, other in zip(near.trees.trees, far.trees.trees):
+        assert np.array_equal(one.feature, other.feature) and np.array_equal(one.cut, other.cut) and np.array_equal(one.value, other.value)
+    none = pii.fit_judge(documents.where("doc_id IS NULL"), in_memory=0)
+    assert none.trees is None and none.thresholds == {}
+
+
+def test_coded_features_keep_their_order():
+    values = np.array([0, 1, 255, 256, 2047, 2048, 2070, 99_999, 10**9], float)
+    shares = np.unique([a / b for b in range(1, 50) for a in range(b)])
+    codes = pii.coded(np.column_stack([np.resize(values, len(shares)), shares, shares]))
+    assert len(set(codes[:len(values), 0])) == len(values) and (np.diff(codes[:len(values), 0]) > 0).all()
+    assert (np.diff(codes[:, 1]) > 0).all() and codes.max() < 4096
+
+
 def test_boosting_and_threshold():
     rnd = np.random.default_rng(1)
     rows = rnd.normal(size=(600, 4))
