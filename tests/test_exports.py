@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import plain
-from tracelantern.operators import rollup
+from tracelantern.operators import extract, rollup
 from tracelantern.plans import dossier, report, stix
 from tracelantern.plans.analysis import Analysis
 from tracelantern.plans.report import Limits
@@ -134,3 +134,15 @@ def test_ranks_without_a_limit_take_one_window(spark, lines):
     indicators = stix.stix_indicators(Analysis(lines).iocs, None)
     assert indicators._jdf.queryExecution().executedPlan().toString().count("RunningWindowFunction") <= 1
     assert indicators._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_bundles_without_a_limit_are_shuffled_by_file_once(spark, lines, tmp_path):
+    iocs = rollup.ioc_set(extract.iocs(lines))
+    bundles = stix.stix_bundle(stix.stix_objects(stix.stix_indicators(iocs, None), F.lit("2024-05-06 07:08:09").cast("timestamp")))
+    plan = bundles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # of the set of indicators, and by file
+    done = {}
+    for whole in (False, True):
+        done[whole] = stix.write_bundles(bundles, str(tmp_path / str(whole)), dealt=True, whole=whole)
+    found = {whole: {p.name: p.read_bytes() for p in (tmp_path / str(whole)).rglob("*.json")} for whole in done}
+    assert done[False] == done[True] and found[False] == found[True] and len(found[True]) == done[True][0] > 0

@@ -1,5 +1,7 @@
 """Tables whose tasks have an end, however many rows a byte of input holds."""
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -58,3 +60,49 @@ def test_long_bodies_reach_the_writer_in_small_batches(spark):
     most = Watched().write(rows, "/nowhere")[1]  # one name, so one task has them all
     assert 1 << 20 < most < 6 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_rows_come_together_unless_a_task_would_be_crowded(spark):
+    rows = kept(spark.range(10_000).withColumn("k", F.col("id") % 400).withColumn("hot", F.when(F.col("id") < 9000, 0).otherwise(F.col("id"))).coalesce(1))
+    dealt = spread_rows(rows, 500, key=("id",), together="k")
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.select("k", F.spark_partition_id().alias("task")).distinct().count() == 400
+    grouped = dealt.groupBy("k").agg(F.max("id"))._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange") == 1
+    hot = spread_rows(rows, 500, key=("id",), together="hot")
+    assert hot.rdd.getNumPartitions() == 20
+    assert max(r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()) < 1000
+
+
+def _shuffled(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {block for k in range(blocks.size()) if (block := blocks.apply(k).name()).startswith("shuffle_")}
+
+
+def test_a_kept_table_leaves_no_shuffle_behind(spark):
+    rows = spark.range(20_000).groupBy((F.col("id") % 999).alias("k")).count()
+    before = _shuffled(spark)
+    assert kept(rows).count() == 999
+    until = time.time() + 20
+    # the count has a shuffle of its own, of one block a task
+    while len(left := {b.split("_")[1] for b in _shuffled(spark) - before}) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+class Counted(Store):
+    """Answers the number of tasks that got rows and of the rows, and writes nothing."""
+
+    def _writer(self, folder):
+        def count(batches):
+            rows = sum(batch.num_rows for batch in batches)
+            yield pa.RecordBatch.from_pydict({"name": pa.array(["rows"] * (rows > 0)), "size": pa.array([rows] * (rows > 0), pa.int64())})
+
+        return count
+
+
+def test_whole_files_are_written_where_they_are(spark):
+    rows = spark.range(0, 300, 1, 3).select(F.col("id").cast("string").alias("name"), F.lit(0).alias("part"), F.lit("x").alias("body"))
+    assert Counted().write(rows, "/nowhere", whole=True) == (3, 300)
+    assert Counted().write(rows, "/nowhere") == (1, 300)  # a small shuffle comes as one partition
