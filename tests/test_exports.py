@@ -146,3 +146,11 @@ def test_bundles_without_a_limit_are_shuffled_by_file_once(spark, lines, tmp_pat
         done[whole] = stix.write_bundles(bundles, str(tmp_path / str(whole)), dealt=True, whole=whole)
     found = {whole: {p.name: p.read_bytes() for p in (tmp_path / str(whole)).rglob("*.json")} for whole in done}
     assert done[False] == done[True] and found[False] == found[True] and len(found[True]) == done[True][0] > 0
+
+
+def test_steps_of_a_report_are_kept(spark, lines):
+    analysis = Analysis(lines)
+    plan = report.documents(analysis)._jdf.queryExecution().executedPlan().toString()
+    # counters and rules, quoted lines and ranked rows are tables by then
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Window [" not in plan
+    analysis.close()

@@ -64,14 +64,14 @@ class Analysis:
     def rollup(self) -> DataFrame:
         self._kept.append(new_path(self._spark))
         found = rollup.rollup(self.lines, self.rules, self._kinds)
-        rows = kept(found, "kind", "file_id", path=self._kept[-1])
+        rows = kept(found, "kind", "file_id", path=self._kept[-1], codec="zstd")
         key = [name for name in ("file_id", "kind", "value", "block") if name in rows.columns]
-        return spread_rows(rows, ROWS_AT_ONCE, key=tuple(key))
+        return spread_rows(rows, ROWS_AT_ONCE, key=tuple(key), together="file_id")
 
     def keep(self, found: DataFrame) -> DataFrame:
         """A table written beside the roll-up."""
         self._kept.append(new_path(self._spark))
-        return kept(found, path=self._kept[-1])
+        return kept(found, path=self._kept[-1], codec="zstd")
 
     def _counted(self, kind: str) -> DataFrame:
         return self.rollup.where(F.col("kind") == kind).select("file_id", "value", "cnt", "first_seen")

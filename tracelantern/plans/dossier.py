@@ -56,7 +56,8 @@ def counters(rows: DataFrame) -> DataFrame:
     }
     first = [F.min(F.when(kind == t, F.col("first_seen"))).alias(f"seen_{t}") for t in extract.IOC_TYPES]
     stamps = [(F.min if n.startswith("first") else F.max)(n).alias(n) for n in rollup.STAMPS]
-    found = rows.groupBy("file_id").agg(
+    # numbers of matching lines are no counters
+    found = rows.where(kind != rollup.HIT).groupBy("file_id").agg(
         F.sum(F.when(kind == rollup.LINE, F.col("cnt"))).alias("total_lines"),
         *[F.count(F.when(test, 1)).alias(name) for name, test in counted.items()], *first, *stamps,
     )
@@ -111,14 +112,20 @@ def fetched(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, ["file_id", "line_no"])
 
 
-def lists(rows: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """(file_id, rule, ip, user, event_id, ioc, detail): ordered lists of (at, name, text, n)."""
+def counted(rows: DataFrame) -> DataFrame:
+    """``counters`` and ``rule``, the list (at, name, text, n) of the rules that fired, by order of first hit."""
+    return counters(rows).join(_collected(_rule_part(rows), ("rule",)), "file_id", "left")
+
+
+def lists(first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file_id, ip, user, event_id, ioc, detail): ordered lists of (at, name, text, n)."""
     kind = F.col("kind")
     shown = first.where(kind != rollup.HIT).select(
         *_part(F.when(kind.isin(*_TOKENS), kind).otherwise("ioc"), kind, F.col("value"), F.col("cnt"), F.col("rank"))
     )
     details = texts.select(*_part(F.lit("detail"), F.col("rule_id"), strip(F.col("line")), F.col("line_no"), F.col("line_no")))
-    return _collected(_rule_part(rows).unionByName(shown).unionByName(details), ("rule", *_TOKENS, "ioc", "detail"))
+    # entries take less room in a shuffle than lists of them
+    return _collected(shown.unionByName(details).repartition("file_id"), (*_TOKENS, "ioc", "detail"))
 
 
 def _collected(parts: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -200,7 +207,7 @@ def ioc_map(values: Column) -> Column:
 
 def flat(rows: DataFrame, rules, correlations) -> DataFrame:
     """Counters, period, score, and numbers of techniques and correlations per file."""
-    found = counters(rows).join(_collected(_rule_part(rows), ("rule",)), "file_id", "left")
+    found = counted(rows)
     made = Conclusions(rules, correlations, F.col("rule"))
     found = found.withColumn("matches", made.matches())
     found = found.withColumn("threat_score", made.threat_score(F.col("matches")))

@@ -34,10 +34,12 @@ def documents(analysis: Analysis, files: DataFrame | None = None, limits: Limits
     size are null, as for lines that come from tables.  ``dossier.left_out`` counts what
     ``limits`` keep out.
     """
+    # kept one after the other, so that the shuffles of one step are gone when the next begins
     rows = analysis.rollup
     first = analysis.keep(dossier.ranked(rows, limits))
-    texts = dossier.fetched(analysis.lines, dossier.quoted(first, limits))
-    whole = dossier.counters(rows).join(dossier.lists(rows, first, texts), "file_id", "left")
+    counted = analysis.keep(dossier.counted(rows))
+    texts = analysis.keep(dossier.fetched(analysis.lines, dossier.quoted(first, limits)))
+    whole = counted.join(dossier.lists(first, texts), "file_id", "left")
     made = dossier.Conclusions(analysis.rules, analysis.correlation_rows, F.col("rule"))
     whole = whole.withColumn("matches", made.matches())
     whole = whole.withColumn("threat_score", made.threat_score(F.col("matches")))
